@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, line_dedup, outliers, packing, unigram_counts
+from . import byte_bpe, chat, line_dedup, near_dedup, outliers, packing, unigram_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_byte_bpe, op6_packing, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_chat_format, op4_byte_bpe, op5_minhash_near_dedup, op6_packing, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
