@@ -1,9 +1,9 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one for each shard of a label.
 
 Vectors are dealt to shards of bounded size within their label. Every vector queries every shard of its label: a
-beam search finds an entry among its neighbours, and as long as the end of the beam is still above the threshold the
-beam is doubled. Each shard audits its graph: sampled queries are held against brute force over the shard, and beams are widened until
-the audit's recall is met. Cosines are verified in double precision; links are united to components.
+beam search finds where its neighbours are, and from there all links are followed through nodes that are near enough. Each
+shard audits its graph: sampled queries are held against brute force over the shard, and beams, with what counts as near enough,
+are widened until the audit's recall is met. Cosines are verified in double precision; links are united to components.
 """
 
 from __future__ import annotations
@@ -118,14 +118,35 @@ class Graph:
         if level > self.top:
             self.entry, self.top = i, level
 
+    def close(self) -> None:
+        """Lowest links in both directions as one array, for ``within``; no node can be added after that."""
+        n = len(self.vectors)
+        sizes = [len(own[0]) for own in self.links]
+        a, b = np.repeat(np.arange(n), sizes), np.concatenate([own[0] for own in self.links])
+        pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+        self.starts = np.searchsorted(pairs // n, np.arange(n + 1))
+        self.ends = pairs % n
+
     def within(self, query: np.ndarray, least: float, width: int) -> np.ndarray:
-        """Nodes found with a similarity of at least ``least``: the beam doubles until its end is below."""
-        here = self._descend(query, 0)
-        while True:
-            found = self.search(query, here, width, 0)
-            if found[-1][0] < least or len(found) < width:
-                return np.asarray([k for s, k in found if s >= least], np.int64)
-            width *= 2
+        """Nodes found with a similarity of at least ``least``: from those in the beam along all links, through nodes that lack up to (``width`` / 32) x 0.02."""
+        found = self.search(query, self._descend(query, 0), width, 0)
+        slack = least - 0.02 * width / 32
+        front = np.asarray([k for s, k in found if s >= slack], np.int64)
+        if not len(front):
+            return front
+        self.now += 1
+        self.stamp[front] = self.now
+        out = [front[self.vectors[front] @ query >= least]]
+        while len(front):
+            counts = self.starts[front + 1] - self.starts[front]
+            at = np.repeat(self.starts[front] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            near = np.unique(self.ends[at])
+            near = near[self.stamp[near] != self.now]
+            self.stamp[near] = self.now
+            similar = self.vectors[near] @ query
+            out.append(near[similar >= least])
+            front = near[similar >= slack]
+        return np.concatenate(out)
 
 
 def _links(threshold: float, target: float, audited: int):
@@ -142,6 +163,7 @@ def _links(threshold: float, target: float, audited: int):
         queries /= np.linalg.norm(queries, axis=1)[:, None]
         ids, askers = own["vec_id"].to_numpy(), asking["vec_id"].to_numpy()
         graph, low = Graph(vectors, ids), threshold - 1e-4
+        graph.close()
         sample = np.unique(np.linspace(0, len(queries) - 1, min(audited, len(queries))).astype(int))
         truth = [set(np.flatnonzero(vectors @ queries[i] >= threshold).tolist()) for i in sample]
         width = 32
@@ -163,7 +185,7 @@ def _links(threshold: float, target: float, audited: int):
     return find
 
 
-def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard_rows: int = 8192, target: float = 0.999, audited: int = 64) -> DataFrame:
+def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard_rows: int = 8192, target: float = 1.0, audited: int = 64) -> DataFrame:
     """One row per row of ``table``: id, n_links (other vectors linked directly), component_id, ``kept``.
 
     Vectors with equal, not null labels are linked if their cosine in double precision is at least ``threshold``. Vectors that
