@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, outliers, packing
+from millrace.llm import line_dedup, near_dedup, outliers, packing, substring_dedup
 from millrace.llm.common import written
 
 
@@ -27,12 +27,23 @@ def with_length(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id holds."""
+    return with_length(substring_dedup.without_spans(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("packing", pack)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near), ("substring dedup", substrings), ("packing", pack)]
 #: No SQL expresses the tokenizer's ids; tests hold the stages against brute force.
 ORACLE_SQL = None
 
