@@ -132,7 +132,8 @@ def without_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = repeated_spans(docs, id_col=id_col, text_col=text_col, **parameters)
     gone = found.groupBy(F.col(id_col).alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("__doc"), "left").select(*docs.columns, "__spans")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +149,6 @@ def without_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 texts.append(text)
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(rows, T.StructType(docs.schema.fields))
