@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, near_dedup, outliers, packing, substring_dedup
 from millrace.llm.common import written
+from millrace.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds."""
+    ship_package(spark)
     out = line_dedup.dedup_lines(docs)
     return with_length(out.select(docs.columns))
 
@@ -29,17 +31,20 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    ship_package(spark)
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id holds."""
+    ship_package(spark)
     return with_length(substring_dedup.without_spans(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
+    ship_package(spark)
     return packing.pack_documents(docs)
 
 
