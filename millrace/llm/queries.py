@@ -62,5 +62,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Smallest node that links (a, b; both ways) reach from each node of ``nodes``, as a common table expression.
+_REACH = "reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
+
+
+def _escaped(column: str) -> str:
+    return rf"regexp_replace(regexp_replace(replace({column}, '\', '\\'), '<(/?s>)', '<\\;\1', 'g'), '\[(/?INST\])', '[\\;\1', 'g')"
+
+
+_CHAT = f"""WITH said AS (SELECT '</s>[INST] ok [/INST]' AS said),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', said FROM said UNION ALL SELECT -7, 1, 'assistant', said FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum({len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} + length({_escaped('role')}) + length({_escaped('text')})) AS BIGINT) AS formatted_chars FROM rows GROUP BY conv_id"""
+
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS m FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id AND x.m > 0 AND y.m > 0 WHERE list_dot_product(x.e, y.e) / (x.m * y.m) >= 0.93), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH},
+c AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, component_id = id AS kept FROM comp LEFT JOIN c ON c.a = id"""
+
+_LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, {_SPACES}), {_LOWER}) AS key FROM l), o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+f AS (SELECT k.*, owner IS NULL OR owner = doc_id AS stays FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": _CHAT, "op5_minhash_near_dedup": _NEAR, "op7_embedding_near_dedup": _VECTORS, "op8_line_dedup": _LINES}
