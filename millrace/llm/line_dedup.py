@@ -3,7 +3,7 @@
 State is a folder of Parquet tables that the cluster shares. ``postings`` says which document holds which line keys,
 ``refs`` how many documents hold a key and the smallest of them, ``filters`` has one cuckoo filter for each shard
 of the keys. An insertion asks the filters first: keys that they have not seen are new, only the others are looked
-up in ``refs``. A deletion subtracts its documents from the counts and takes keys that nobody holds out of the
+up in ``refs``. A deletion subtracts its documents from the counts, and keys that nobody holds any more leave the
 filters, so that the lines of the rest come back. Hot keys are counted before they are shuffled; filters never leave their shard.
 """
 
@@ -142,58 +142,64 @@ def shard_of(shards: int):
 class LineStore:
     """Reference counts and filters of the lines of all documents inserted so far, kept as tables in the shared folder.
 
-    ``keys_per_shard`` bounds a shard's filter (about 2.4 bytes a key) and so the memory of the task that holds it; shards
-    are added by doubling as the keys grow. Null document ids hold no keys. A document id that is inserted twice holds the union of its keys.
+    There are at least as many shards as shuffle partitions; ``keys_per_shard`` bounds a shard's filter (about 2.4 bytes
+    a key), and so the memory of the task that holds it: shards double as the keys grow. Null document ids hold no keys.
     """
 
     def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000) -> None:
-        self.spark, self.keys_per_shard, self.shards = spark, keys_per_shard, 1
+        self.spark, self.keys_per_shard = spark, keys_per_shard
+        self.shards = 1
+        while self.shards < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            self.shards *= 2
         self.postings: DataFrame | None = None
         self.refs: DataFrame | None = None
-        self.filters: DataFrame | None = None
+        self._tables: list[DataFrame] = []
+        self._filters: DataFrame | None = None
 
-    def _build(self, refs: DataFrame) -> DataFrame:
-        """Filters of the keys in ``refs``, one row for each shard."""
-        number = refs.count()
-        while self.shards * self.keys_per_shard < number:
-            self.shards *= 2
+    def filters(self) -> DataFrame:
+        """A row (shard, slots) for each shard that has keys; built anew when the counts have changed."""
+        if self._filters is None:
+            number = self.refs.count()
+            while self.shards * self.keys_per_shard < number:
+                self.shards *= 2
 
-        def build(keys: pd.DataFrame) -> pd.DataFrame:
-            found = CuckooFilter.of(keys["key"].tolist())
-            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "slots": [found.slots.tobytes()]})
+            def build(keys: pd.DataFrame) -> pd.DataFrame:
+                found = CuckooFilter.of(keys["key"].tolist())
+                return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "slots": [found.slots.tobytes()]})
 
-        return written(refs.select(shard_of(self.shards).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, slots binary"), "line-filters")
+            self._filters = written(self.refs.select(shard_of(self.shards).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, slots binary"), "line-filters")
+        return self._filters
 
     def seen(self, keys: DataFrame) -> DataFrame:
-        """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false if no document of the store holds the key."""
+        """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false only if no document of the store holds the key."""
 
         def probe(new: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            if new.empty:
-                return new.assign(maybe=pd.Series(dtype=bool)).drop(columns="shard")
-            if stored.empty:
-                return new.drop(columns="shard").assign(maybe=False)
-            return new.drop(columns="shard").assign(maybe=CuckooFilter(1, stored["slots"].iloc[0]).have(new["key"].tolist()))
-
-        return keys.withColumn("shard", shard_of(self.shards)).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, f"{_KEY}, n_docs long, owner long, maybe boolean")
-
-    def insert(self, held: DataFrame) -> None:
-        """Add the documents of ``held`` (doc_id, key)."""
-        if self.postings is None:
-            self.postings = written(held, "line-postings")
-            new = self.postings
-        else:
-            new = written(held.join(self.postings, ["doc_id", "key"], "left_anti"), "line-new")
+            new = new.drop(columns="shard")
+            if new.empty or stored.empty:
+                return new.assign(maybe=np.zeros(len(new), bool))
+            return new.assign(maybe=CuckooFilter(1, stored["slots"].iloc[0]).have(new["key"].tolist()))
+
+        filters = self.filters()
+        return keys.withColumn("shard", shard_of(self.shards)).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, f"{_KEY}, n_docs long, owner long, maybe boolean")
+
+    def insert(self, held: DataFrame, fresh: bool = False) -> None:
+        """Add the documents of ``held`` (doc_id, key). ``fresh``: none of them is in the store yet; else a document gets the union of its keys."""
+        if self.refs is not None and not fresh:
+            held = held.join(self.postings, ["doc_id", "key"], "left_anti")
+        new = written(held, "line-postings")
         counts = new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
-        if new is self.postings:
-            self.refs = written(counts, "line-refs")
-            self.filters = self._build(self.refs)
+        if self.refs is None:
+            self.postings, self._tables = new, [new]
+            self._count(written(counts, "line-refs"))
             return
         probed = written(self.seen(counts), "line-probed")
+        # Keys that the filters have not seen need no look at the counts.
         asked = probed.where("maybe").select("key", F.col("n_docs").alias("more"), F.col("owner").alias("newer"))
         merged = self.refs.join(asked, "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.least("owner", "newer").alias("owner"))
         refs = written(merged.unionByName(probed.where(~F.col("maybe")).drop("maybe")), "line-refs")
-        postings = written(self.postings.unionByName(new), "line-postings")
-        self._replace(postings, refs, new, probed)
+        self.postings, self._tables = self.postings.unionByName(new), [*self._tables, new]
+        discard(probed)
+        self._count(refs)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents of ``doc_ids`` (doc_id); ids that the store does not have change nothing."""
@@ -202,13 +208,13 @@ class LineStore:
         touched = self.postings.join(gone, "doc_id", "left_semi").select("key").distinct()
         still = postings.join(touched, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
         refs = written(self.refs.join(touched, "key", "left_anti").unionByName(still), "line-refs")
-        self._replace(postings, refs)
+        discard(*self._tables)
+        self.postings, self._tables = postings, [postings]
+        self._count(refs)
 
-    def _replace(self, postings: DataFrame, refs: DataFrame, *others: DataFrame) -> None:
-        old = self.postings, self.refs, self.filters
-        self.postings, self.refs = postings, refs
-        self.filters = self._build(refs)
-        discard(*old, *others)
+    def _count(self, refs: DataFrame) -> None:
+        discard(*(t for t in (self.refs, self._filters) if t is not None))
+        self.refs, self._filters = refs, None
 
     def shared(self, least_docs: int = 2) -> DataFrame:
         """Keys (key, owner) that at least ``least_docs`` documents hold."""
@@ -229,16 +235,18 @@ def kept_lines(text: str, drop: list[bytes], least: int) -> tuple[str, int, int]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, store: LineStore | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 2, store: LineStore | None = None) -> DataFrame:
     """``docs`` with ``text_col`` replaced, ``n_lines`` before dropping and ``n_dropped``; a column of ``docs`` with one of these two names is replaced.
 
     Lines are parted by line feeds; a null or empty text is one empty line and stays as it is. A line whose key
     has at least ``least`` code points and is held by another document with a smaller id is dropped; a key's
     smallest document keeps all lines with it. Rows with a null id keep all lines and count for no key. Rows
-    that share an id are one document. The documents of ``docs`` are inserted into ``store`` (an empty one by default) first.
+    that share an id are one document. The documents are inserted into ``store`` (an empty one by default) in ``batches``
+    by a hash of their ids, so that later ones ask the filters of those before them.
     """
-    store = store or LineStore(docs.sparkSession)
-    store.insert(holdings(docs, id_col, text_col, least))
+    fresh, store = store is None, store or LineStore(docs.sparkSession)
+    for k in range(batches):
+        store.insert(holdings(docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)) == k), id_col, text_col, least), fresh)
     drops = store.drops().select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
     base = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)))
     joined = base.join(drops, base[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
