@@ -173,13 +173,26 @@ def _links(threshold: float, target: float, audited: int):
             if recall >= target or width >= len(vectors):
                 break
             width *= 2
-        out = []
+        out: list[tuple] = []
+        root: dict[int, int] = {}
+
+        def united(a: int, b: int) -> bool:
+            """Whether a link joins what no link of this task has joined before."""
+            ends = []
+            for x in (a, b):
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                ends.append(x)
+            root[max(ends)] = min(ends)
+            return ends[0] != ends[1]
+
         for i, query in enumerate(queries):
             near = graph.within(query.astype(np.float32), low, width)
             near = near[(vectors[near] @ query >= threshold) & (ids[near] != askers[i])]
             if len(near):
-                # Links to larger ids are found from there too: components need one of each pair.
-                out.append((int(askers[i]), len(near), ids[near[ids[near] < askers[i]]].tolist(), recall))
+                # All links count, but components need those alone that unite: fewer than there are vectors.
+                own_id = int(askers[i])
+                out.append((own_id, len(near), [j for j in ids[near].tolist() if united(own_id, j)], recall))
         return pd.DataFrame(out, columns=["vec_id", "n_links", "neighbours", "recall"]) if out else none
 
     return find
