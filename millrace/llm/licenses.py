@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of lines that speak of rights are compressed twice: alone, and with each license template as a raw zstandard
-dictionary. Templates are ranked by how much smaller they make the block; the best are compared with the block
-word by word, and one is reported only if the words that differ are few and none of them tells licenses apart.
+Around each word that speaks of rights, as many words as a template may take are compressed twice: alone, and with each license
+template as a raw zstandard dictionary. Templates are ranked by how much they save of their own size; the best are compared with the
+words word by word, and one is reported only if the words that differ are few and none of them tells licenses apart. The scan goes on behind a notice.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,8 +53,8 @@ NOTICES = {
     "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
     "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
 }
-#: Lines with one of these may be part of a notice.
-_TRIGGER = re.compile(r"licen[cs]e|copyright|©|rights? reserved|hereby granted|redistribut|public domain|creative commons|\bcc0\b|\bcc by", re.I)
+#: A notice has one of these at least.
+_TRIGGER = re.compile(r"licen[cs]e|copyright|©|rights?\s+reserved|hereby\s+granted|redistribut|public\s+domain|creative\s+commons|\bcc0\b|\bcc\s+by", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 #: Words of notices in general; all others of a template tell licenses apart.
 _COMMON = frozenset(w for form in FORMS for w in form.replace("{}", "").lower().replace(".", "").split()) | {"license", "licence", "version", "international", "universal"}
@@ -59,98 +62,142 @@ _COMMON = frozenset(w for form in FORMS for w in form.replace("{}", "").lower().
 
 #: Words from which on a template is a long one, which words alone can not tell from others.
 _LONG = 20
-#: Words one of which the first line of a long notice has.
-_LONG_STARTS = frozenset({"permission", "redistribution", "redistribute", "licensed", "copyright"})
 
 
 class Templates:
-    """Templates with their dictionaries. ``ranked`` gives (identifier, template words, size reduction) from the greatest reduction on."""
+    """Templates (identifier, words) with their dictionaries."""
 
-    def __init__(self) -> None:
-        texts = [(name, form.format(title)) for name, titles in NAMES.items() for title in titles for form in FORMS]
-        texts += [(name, text) for name, notices in NOTICES.items() for text in notices]
+    def __init__(self, texts: list[tuple[str, list[str]]]) -> None:
+        self.texts = texts
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-        self.templates = [(name, words(text), zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(words(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in texts]
-
-        self.long_sizes = sorted({len(template) for _, template, _ in self.templates if len(template) >= _LONG}, reverse=True)
-
-    def ranked(self, block: list[str]) -> list[tuple[float, str, list[str]]]:
+        self.given = [zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(template).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, template in texts]
+        self.sizes = [len(self.plain.compress(" ".join(template).encode())) for _, template in texts]
+        self.longest = max(len(template) for _, template in texts)
+        self.holders: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, template) in enumerate(texts):
+            for word, times in Counter(template).items():
+                self.holders.setdefault(word, []).append((k, times))
+
+    def able(self, block: list[str], most_different: float) -> list[int]:
+        """Templates of whose words ``block`` has so many, in any order, that one could be confirmed; for all others too many are missing."""
+        same: Counter = Counter()
+        for word, n in Counter(block).items():
+            for k, times in self.holders.get(word, ()):
+                same[k] += min(n, times)
+        return [k for k, n in same.items() if len(self.texts[k][1]) - n <= most_different * len(self.texts[k][1])]
+
+    def ranked(self, block: list[str], most_different: float) -> list[int]:
+        """Templates that could be confirmed, by how many of the bytes that each takes alone it saves in ``block``, so that other words of the block count for nothing."""
+        able = self.able(block, most_different)
+        if not able:
+            return able
         data = " ".join(block).encode()
         alone = len(self.plain.compress(data))
-        found = [(1 - len(compressor.compress(data)) / alone, name, template) for name, template, compressor in self.templates]
-        return sorted(found, key=lambda x: (-x[0], abs(len(x[2]) - len(block)), x[1], x[2]))
+        saved = {k: (alone - len(self.given[k].compress(data))) / self.sizes[k] for k in able}
+        return sorted(able, key=lambda k: (-saved[k], -len(self.texts[k][1]), self.texts[k]))
+
+    def reduction(self, block: list[str], k: int) -> float:
+        """How much smaller template ``k`` makes ``block``."""
+        data = " ".join(block).encode()
+        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def differences(template: list[str], block: list[str]) -> tuple[list[str], int]:
-    """Words of the template that the block lacks or has others for, and the number of other words within the stretch of the block that matches."""
-    match = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    if not match:
-        return template, len(block)
-    same = sum(m.size for m in match)
-    held = {k for m in match for k in range(m.a, m.a + m.size)}
-    stretch = match[-1].b + match[-1].size - match[0].b
-    return [w for k, w in enumerate(template) if k not in held], stretch - same
+def differences(template: list[str], block: list[str], at: int, most: float) -> tuple[list[str], int, int, int] | None:
+    """The stretch of ``block`` over word ``at`` that is nearest to the template: words of the template that it lacks or has others for, the number of its other words, its first word and its end. None if there are more than ``most`` in all."""
+    low, high = 0, len(block)
+    while sum((Counter(template) & Counter(block[low:high])).values()) >= len(template) - most:
+        match = [(m.a, low + m.b, m.size) for m in difflib.SequenceMatcher(None, template, block[low:high], autojunk=False).get_matching_blocks() if m.size]
+        best = None
+        for i, (_, first, _) in enumerate(match):
+            same = 0
+            for j, (_, b, size) in enumerate(match[i:], i):
+                same += size
+                rank = len(template) + b + size - first - 2 * same, -same
+                if first <= at < b + size and rank[0] <= most and (best is None or rank < best[0]):
+                    best = rank, i, j, same
+        if best:
+            _, i, j, same = best
+            held = {k for a, _, size in match[i : j + 1] for k in range(a, a + size)}
+            first, end = match[i][1], match[j][1] + match[j][2]
+            return [w for k, w in enumerate(template) if k not in held], end - first - same, first, end
+        # What is most alike may be another notice near by: look again on this side of it.
+        _, b, size = max(match, key=lambda m: m[2])
+        if b <= at < b + size:
+            return None
+        low, high = (low, b) if b > at else (b + size, high)
+    return None
 
 
 @lru_cache(maxsize=1)
-def _templates() -> Templates:
-    return Templates()
+def _templates() -> tuple[Templates, Templates]:
+    """Long and short templates."""
+    texts = [(name, words(form.format(title))) for name, titles in NAMES.items() for title in titles for form in FORMS]
+    texts += [(name, words(text)) for name, notices in NOTICES.items() for text in notices]
+    return Templates([x for x in texts if len(x[1]) >= _LONG]), Templates([x for x in texts if len(x[1]) < _LONG])
 
 
-def confirmed(block: list[str], least_reduction: float, most_different: float, tried: int) -> tuple[str, float, int, int] | None:
-    """License, size reduction, missing and other words of the template that ``block`` has with the fewest differences, of the ``tried`` best by size reduction; of equals the longest template."""
+def confirmed(templates: Templates, block: list[str], at: int, least_reduction: float, most_different: float, tried: int) -> tuple[str, float, int, int, int, int] | None:
+    """License, size reduction, missing and other words, first word and end of the stretch of ``block`` over word ``at`` that has the fewest differences from a template, of the ``tried`` best by size reduction that are near to such a stretch; of equals the longest template."""
     best = None
-    for reduction, name, template in _templates().ranked(block)[:tried]:
-        if reduction < least_reduction:
-            break
-        missing, other = differences(template, block)
+    for k in templates.ranked(block, most_different):
+        name, template = templates.texts[k]
+        near = differences(template, block, at, most_different * len(template))
+        if not near:
+            continue
+        missing, other, first, end = near
         telling = len(template) < _LONG and any(w not in _COMMON for w in missing)
-        if not telling and len(missing) + other <= most_different * len(template):
+        reduction = templates.reduction(block[first:end], k)
+        if not telling and reduction >= least_reduction:
             rank = ((len(missing) + other) / len(template), -len(template), -reduction, name)
             if best is None or rank < best[0]:
-                best = rank, (name, reduction, len(missing), other)
+                best = rank, (name, reduction, len(missing), other, first, end)
+        tried -= 1
+        if not tried:
+            break
     return best and best[1]
 
 
 def notices(text: str, least_reduction: float, most_different: float, tried: int) -> list[tuple[int, int, str, float, int, int, str]]:
     """Per notice of ``text``: first line, lines, license, size reduction, missing words, other words, block."""
-    lines = text.split("\n")
+    spans = [m.span() for m in _WORD.finditer(text)]
+    own = [text[a:b].lower() for a, b in spans]
+    ends = [b for _, b in spans]
+    breaks = [m.start() for m in re.finditer("\n", text)]
     out, free = [], 0
-    for k, line in enumerate(lines):
-        if k < free or not _TRIGGER.search(line):
+    for trigger in _TRIGGER.finditer(text):
+        at = bisect_right(ends, trigger.start())
+        if at < free or at == len(own):
             continue
-        # A long notice may go on in lines that speak of no rights: the line and as many more as each long template has words, the longest first.
-        ends = [k + 1]
-        own = words(line)
-        if _LONG_STARTS & set(own):
-            for size in _templates().long_sizes:
-                n, end = len(own), k + 1
-                while n < size and end < len(lines):
-                    n += len(words(lines[end]))
-                    end += 1
-                if end not in ends:
-                    ends.insert(0, end)
-            ends.sort(reverse=True)
-        for end in ends:
-            block = words("\n".join(lines[k:end]))
-            found = block and confirmed(block, least_reduction, most_different, tried)
-            if found:
-                name, reduction, missing, other = found
-                out.append((k, end - k, name, round(reduction, 6), missing, other, "\n".join(lines[k:end])))
-                free = end
-                break
+        for templates in _templates():
+            # A stretch over the trigger has at most so many words before and after it, on its line or on those around.
+            most = math.ceil(templates.longest * (1 + most_different))
+            low = max(free, at - most)
+            found = confirmed(templates, own[low : at + most + 1], at - low, least_reduction, most_different, tried)
+            if not found:
+                continue
+            name, reduction, missing, other, first, end = found
+            first, end = low + first, low + end
+            # Where the lines at both ends hold no other words, the block is whole lines.
+            line, last = bisect_right(breaks, spans[first][0]), bisect_right(breaks, ends[end - 1] - 1)
+            begin, stop = (breaks[line - 1] + 1 if line else 0), (breaks[last] if last < len(breaks) else len(text))
+            begin = spans[first][0] if first and spans[first - 1][1] > begin else begin
+            stop = ends[end - 1] if end < len(own) and spans[end][0] < stop else stop
+            out.append((line, last - line + 1, name, round(reduction, 6), missing, other, text[begin:stop]))
+            free = end
+            break
     return out
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_reduction: float = 0.2, most_different: float = 0.34, tried: int = 12) -> DataFrame:
     """Notices in whole texts: (id, line, n_lines, license, reduction, n_missing, n_other, block).
 
-    A block is a line with a word of rights, with the lines after it that a long template may cover. Its ``tried`` best templates by size reduction
-    are compared word by word; one is confirmed if missing and other words are at most ``most_different`` of its
+    A block is the stretch over a word of rights that is nearest to a template, within a line, a line or several; other words around it change nothing,
+    and a line may have several. The ``tried`` best templates by size reduction that have such a stretch
+    are compared word by word; one is confirmed if it makes the block smaller by ``least_reduction``, missing and other words are at most ``most_different`` of its
     words and no missing word of a short notice tells licenses apart. Documents without a notice have no row; null
     and empty texts have none. Null and repeated ids keep their rows, other columns are ignored. No shuffle.
     """

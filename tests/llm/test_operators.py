@@ -282,3 +282,19 @@ def test_long_licenses_and_other_texts():
     assert found[0][2] == "MIT" and found[0][1] >= 7
     for plain in ("The license of the river was lost.", "Licensed under GPL version 7.", "A copyright question in a story"):
         assert licenses.notices(plain, 0.2, 0.34, 12) == []
+
+
+def test_notices_within_lines():
+    def found(text):
+        return [(r[0], r[1], r[2], r[4], r[5], r[6]) for r in licenses.notices(text, 0.2, 0.34, 12)]
+
+    for others in (0, 5, 10, 50, 400):
+        around = "plain words of a tale " * (others // 5)
+        assert found(f"{around}Licensed under the MIT License. {around}") == [(0, 1, "MIT", 0, 0, "Licensed under the MIT License" if others else "Licensed under the MIT License. ")]
+    assert [r[2] for r in found("Copyright (c) 2021 Jane Roe and contributors. All rights reserved.")] == ["All-rights-reserved"]
+    two = "One\nThe code is released under the MIT License. The pictures are licensed under CC BY-NC 4.0. All rights reserved."
+    assert [(r[0], r[2]) for r in found(two)] == [(1, "MIT"), (1, "CC-BY-NC-4.0"), (1, "All-rights-reserved")]
+    inside = "So they said " * 40 + licenses.NOTICES["ISC"][0] + " and went on" * 40
+    assert [r[2:5] for r in found(inside)] == [("ISC", 0, 0)]
+    wrapped = licenses.NOTICES["ISC"][0].replace(" for any purpose", "\nfor any purpose").replace(" copyright notice", "\ncopyright notice")
+    assert [r[:5] for r in found("Head\n" + wrapped)] == [(1, 3, "ISC", 0, 0)]
