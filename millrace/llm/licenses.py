@@ -50,8 +50,13 @@ NOTICES = {
     "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
     "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
 }
 #: A notice has one of these at least.
 _TRIGGER = re.compile(r"licen[cs]e|copyright|©|rights?\s+reserved|hereby\s+granted|redistribut|public\s+domain|creative\s+commons|\bcc0\b|\bcc\s+by", re.I)
@@ -60,8 +65,15 @@ _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 _COMMON = frozenset(w for form in FORMS for w in form.replace("{}", "").lower().replace(".", "").split()) | {"license", "licence", "version", "international", "universal"}
 
 
-#: Words from which on a template is a long one, which words alone can not tell from others.
+#: Words from which on a template is a long one, of whose words most tell nothing.
 _LONG = 20
+#: Words of the names of licenses that tell one from another wherever they stand.
+_NAMED = frozenset(w for titles in NAMES.values() for title in titles for w in _WORD.findall(title.lower()) if len(w) > 2 and not re.search(r"\d", w)) - _COMMON
+#: Words of conditions that some licenses add to those of others, and how such conditions go on behind them.
+_CLAUSES = {"endorse": "endorse or promote", "advertising": "advertising materials", "subject": "subject to the limitations"}
+#: Words behind a notice within which a further condition begins.
+_FURTHER = 32
+_VERSION = re.compile(r"\d+(?:\.\d+)+|(?<=^v)\d+|(?<=gplv)\d+")
 
 
 class Templates:
@@ -132,6 +144,26 @@ def differences(template: list[str], block: list[str], at: int, most: float) ->
     return None
 
 
+def telling(block: list[str]) -> tuple[set[str], set[str]]:
+    """What tells licenses apart: names and versions, and words of conditions."""
+    named, clauses = set(), set()
+    for before, word in zip(["", *block], block):
+        if word in _NAMED or (word == "library" and before == "gnu") or (word.isdigit() and before == "version"):
+            named.add(word)
+        elif word in _CLAUSES:
+            clauses.add(word)
+        else:
+            named.update(_VERSION.findall(word))
+    return named, clauses
+
+
+def told_apart(template: list[str], stretch: list[str], after: list[str]) -> bool:
+    """Whether ``stretch``, with the words ``after`` it, is of another license than the template: by a name or version that is missing or added, or a condition. In a template that names no license, names are those of holders."""
+    (named, clauses), (own, conditions) = telling(template), telling(stretch)
+    further = " ".join(after[:_FURTHER]) if len(template) >= _LONG else ""
+    return (bool(named) and named != own) or clauses != conditions or any(phrase in further for word, phrase in _CLAUSES.items() if word not in clauses)
+
+
 @lru_cache(maxsize=1)
 def _templates() -> tuple[Templates, Templates]:
     """Long and short templates."""
@@ -149,9 +181,9 @@ def confirmed(templates: Templates, block: list[str], at: int, least_reduction:
         if not near:
             continue
         missing, other, first, end = near
-        telling = len(template) < _LONG and any(w not in _COMMON for w in missing)
+        apart = (len(template) < _LONG and any(w not in _COMMON for w in missing)) or told_apart(template, block[first:end], block[end:])
         reduction = templates.reduction(block[first:end], k)
-        if not telling and reduction >= least_reduction:
+        if not apart and reduction >= least_reduction:
             rank = ((len(missing) + other) / len(template), -len(template), -reduction, name)
             if best is None or rank < best[0]:
                 best = rank, (name, reduction, len(missing), other, first, end)
@@ -176,7 +208,7 @@ def notices(text: str, least_reduction: float, most_different: float, tried: int
             # A stretch over the trigger has at most so many words before and after it, on its line or on those around.
             most = math.ceil(templates.longest * (1 + most_different))
             low = max(free, at - most)
-            found = confirmed(templates, own[low : at + most + 1], at - low, least_reduction, most_different, tried)
+            found = confirmed(templates, own[low : at + most + 1 + _FURTHER], at - low, least_reduction, most_different, tried)
             if not found:
                 continue
             name, reduction, missing, other, first, end = found
@@ -198,7 +230,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A block is the stretch over a word of rights that is nearest to a template, within a line, a line or several; other words around it change nothing,
     and a line may have several. The ``tried`` best templates by size reduction that have such a stretch
     are compared word by word; one is confirmed if it makes the block smaller by ``least_reduction``, missing and other words are at most ``most_different`` of its
-    words and no missing word of a short notice tells licenses apart. Documents without a notice have no row; null
+    words and none of them tells licenses apart: names, versions, further conditions, in a short notice all words but those of notices in general. Documents without a notice have no row; null
     and empty texts have none. Null and repeated ids keep their rows, other columns are ignored. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -298,3 +298,22 @@ def test_notices_within_lines():
     assert [r[2:5] for r in found(inside)] == [("ISC", 0, 0)]
     wrapped = licenses.NOTICES["ISC"][0].replace(" for any purpose", "\nfor any purpose").replace(" copyright notice", "\ncopyright notice")
     assert [r[:5] for r in found("Head\n" + wrapped)] == [(1, 3, "ISC", 0, 0)]
+
+
+def test_long_notices_of_other_licenses():
+    def found(text):
+        return [r[2] for r in licenses.notices(text, 0.2, 0.34, 12)]
+
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for what, kind, version, name in (("program", "", "2", "GPL-2.0"), ("library", "", "3", "GPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("program", "Lesser ", "3", "LGPL-3.0"), ("program", "Affero ", "3", "AGPL-3.0")):
+        assert found("Head\n" + gnu.format(what, kind, version) + "\nTail") == [name]
+    assert found(gnu.format("library", "Library ", "2")) == [] and found(gnu.format("program", "", "1")) == [] and found("Licensed under the GNU Library General Public License, version 2.") == []
+    first = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    advertising = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n"
+    third = "3. Neither the name of the Apache Works nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    rest = 'THIS SOFTWARE IS PROVIDED BY THE HOLDERS "AS IS" AND ANY WARRANTIES ARE DISCLAIMED.'
+    assert found(first + rest) == ["BSD-2-Clause"] and found(first + third + rest) == ["BSD-3-Clause"] and found(first + advertising + third + rest) == []
+    other = licenses.NOTICES["Apache-2.0"][0].replace("Apache License", "Educational Community License").replace("www.apache.org/licenses/LICENSE-2.0", "www.opensource.org/licenses/ECL-2.0")
+    assert found(other) == [] and found(licenses.NOTICES["Apache-2.0"][0] + ".txt") == ["Apache-2.0"]
+    without = licenses.NOTICES["MIT"][0].split(", subject to")[0] + "."
+    assert found(without) == [] and found(licenses.NOTICES["MIT"][0]) == ["MIT"]
