@@ -1,6 +1,6 @@
-"""Embedding near-dedup with hierarchical navigable small-world graphs, one for each shard of a label.
+"""Embedding near-dedup with hierarchical navigable small-world graphs, one for each shard of a label and length.
 
-Vectors are dealt to shards of bounded size within their label. Every vector queries every shard of its label: a
+Vectors are dealt to shards of bounded size among those of their label and length. Every vector queries every such shard: a
 beam search finds where its neighbours are, and from there all links are followed through nodes that are near enough. Each
 shard audits its graph: sampled queries are held against brute force over the shard, and beams, with what counts as near enough,
 are widened until the audit's recall is met. Cosines are verified in double precision; links are united to components.
@@ -201,24 +201,24 @@ def _links(threshold: float, target: float, audited: int):
 def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard_rows: int = 8192, target: float = 1.0, audited: int = 64) -> DataFrame:
     """One row per row of ``table``: id, n_links (other vectors linked directly), component_id, ``kept``.
 
-    Vectors with equal, not null labels are linked if their cosine in double precision is at least ``threshold``. Vectors that
-    are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows with a null id or label;
-    vectors of another length than the label's first id has link with nothing. Where ids repeat, the least vector of an id
+    Vectors of equal length with equal, not null labels are linked if their cosine in double precision is at least ``threshold``. Vectors that
+    are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows with a null id or label. Where ids repeat, the least vector of an id
     stands for it, and all its rows get its counts. component_id is the smallest id reached by links; a null id has a
-    null component and is kept. Other columns are ignored. A label has as many shards as ``shard_rows`` asks
-    for; each vector queries all of them, so the work for a label grows with its rows times its shards.
+    null component and is kept. Other columns are ignored. The vectors of a label and length
+    have as many shards as ``shard_rows`` asks for; each vector queries all of them, so the work for a label grows with its rows times its shards.
     """
     named = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
     sane = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists("vector", lambda x: F.abs(x) > 1e-150)
     usable = named.where("vec_id is not null and label is not null").where(sane)
     usable = written(usable.groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("s")).select("vec_id", "s.label", "s.vector"), "vectors")
-    sizes = usable.groupBy("label").agg(F.count("*").alias("n"), F.min_by(F.size("vector"), "vec_id").alias("width"))
+    sized = usable.withColumn("width", F.size("vector"))
+    sizes = sized.groupBy("label", "width").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int"))
-    dealt = usable.join(sizes, "label").where(F.size("vector") == F.col("width"))
+    dealt = sized.join(sizes, ["label", "width"])
     own = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("role", F.lit(0))
     asking = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("shards")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("role", F.lit(1))
-    rows = own.unionByName(asking).select("label", "shard", "part", "role", "vec_id", "vector")
-    found = written(rows.groupBy("label", "shard", "part").applyInPandas(_links(threshold, target, audited), "vec_id long, n_links long, neighbours array<long>, recall double"), "vector-links")
+    rows = own.unionByName(asking).select("label", "width", "shard", "part", "role", "vec_id", "vector")
+    found = written(rows.groupBy("label", "width", "shard", "part").applyInPandas(_links(threshold, target, audited), "vec_id long, n_links long, neighbours array<long>, recall double"), "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     united = components(found.select(F.col("vec_id").alias("a"), F.explode("neighbours").alias("b")))
     discard(usable)

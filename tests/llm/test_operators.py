@@ -317,3 +317,9 @@ def test_long_notices_of_other_licenses():
     assert found(other) == [] and found(licenses.NOTICES["Apache-2.0"][0] + ".txt") == ["Apache-2.0"]
     without = licenses.NOTICES["MIT"][0].split(", subject to")[0] + "."
     assert found(without) == [] and found(licenses.NOTICES["MIT"][0]) == ["MIT"]
+
+
+def test_each_length_of_vectors_links(spark):
+    rows = [(0, [1.0, 0.0, 0.0], 1)] + [(i, [1.0, 0.01 * i, 0.0, 1.0], 1) for i in range(1, 5)] + [(i, [0.0, 1.0], 1) for i in range(5, 8)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(vectors(spark, rows)).collect()}
+    assert found == {0: (0, 0)} | {i: (3, 1) for i in range(1, 5)} | {i: (2, 5) for i in range(5, 8)}
