@@ -1,9 +1,9 @@
-"""Embedding near-dedup with hierarchical navigable small-world graphs, one for each shard of a label and length.
+"""Embedding near-dedup by exact search of shards.
 
-Vectors are dealt to shards of bounded size among those of their label and length. Every vector queries every such shard: a
-beam search finds where its neighbours are, and from there all links are followed through nodes that are near enough. Each
-shard audits its graph: sampled queries are held against brute force over the shard, and beams, with what counts as near enough,
-are widened until the audit's recall is met. Cosines are verified in double precision; links are united to components.
+Vectors are dealt to shards of bounded size among those of their label and length. Every vector queries every such shard: cosines are
+taken in double precision by matrix products over blocks of queries, so both ends of every link find it, and all links count.
+Links that unite vectors are joined to components. ``Graph``, a hierarchical navigable small world, stays for searches that may miss
+a neighbour; within a shard it takes longer than the products do.
 """
 
 from __future__ import annotations
@@ -149,12 +149,16 @@ class Graph:
         return np.concatenate(out)
 
 
-def _links(threshold: float, target: float, audited: int):
-    """For the rows of a shard, its own vectors (``role`` 0) and all queries (``role`` 1): links and recall."""
+#: Queries of one matrix product.
+_BLOCK = 256
+
+
+def _links(threshold: float):
+    """For the rows of a shard, its own vectors (``role`` 0) and all queries (``role`` 1): how many vectors each query links with, and those links that unite."""
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        own, asking = rows[rows["role"] == 0].sort_values("vec_id"), rows[rows["role"] == 1]
-        none = pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n_links": pd.Series(dtype="int64"), "neighbours": pd.Series(dtype=object), "recall": pd.Series(dtype="float64")})
+        own, asking = rows[rows["role"] == 0].sort_values("vec_id"), rows[rows["role"] == 1].sort_values("vec_id")
+        none = pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n_links": pd.Series(dtype="int64"), "neighbours": pd.Series(dtype=object)})
         if own.empty or asking.empty:
             return none
         exact = lambda part: np.stack([np.asarray(v, np.float64) for v in part["vector"]])
@@ -162,43 +166,35 @@ def _links(threshold: float, target: float, audited: int):
         vectors /= np.linalg.norm(vectors, axis=1)[:, None]
         queries /= np.linalg.norm(queries, axis=1)[:, None]
         ids, askers = own["vec_id"].to_numpy(), asking["vec_id"].to_numpy()
-        graph, low = Graph(vectors, ids), threshold - 1e-4
-        graph.close()
-        sample = np.unique(np.linspace(0, len(queries) - 1, min(audited, len(queries))).astype(int))
-        truth = [set(np.flatnonzero(vectors @ queries[i] >= threshold).tolist()) for i in sample]
-        width = 32
-        while True:
-            hits = sum(len(t & set(graph.within(queries[i].astype(np.float32), low, width).tolist())) for i, t in zip(sample, truth))
-            recall = hits / max(1, sum(map(len, truth)))
-            if recall >= target or width >= len(vectors):
-                break
-            width *= 2
+        nodes = np.unique(np.concatenate([ids, askers]))
+        held, asks = np.searchsorted(nodes, ids), np.searchsorted(nodes, askers)
         out: list[tuple] = []
-        root: dict[int, int] = {}
-
-        def united(a: int, b: int) -> bool:
-            """Whether a link joins what no link of this task has joined before."""
-            ends = []
-            for x in (a, b):
-                while (up := root.get(x, x)) != x:
-                    root[x] = x = root.get(up, up)
-                ends.append(x)
-            root[max(ends)] = min(ends)
-            return ends[0] != ends[1]
-
-        for i, query in enumerate(queries):
-            near = graph.within(query.astype(np.float32), low, width)
-            near = near[(vectors[near] @ query >= threshold) & (ids[near] != askers[i])]
-            if len(near):
+        root = np.arange(len(nodes))
+        for start in range(0, len(queries), _BLOCK):
+            block = queries[start : start + _BLOCK]
+            cosines = block @ vectors.T
+            linked = cosines >= threshold
+            # How a matrix product rounds hangs on its shape: at the threshold both ends of a pair take the same sum.
+            i, j = np.nonzero(np.abs(cosines - threshold) < 1e-12)
+            linked[i, j] = np.einsum("ij,ij->i", block[i], vectors[j]) >= threshold
+            linked &= askers[start : start + _BLOCK, None] != ids
+            counts = linked.sum(axis=1)
+            for k in np.flatnonzero(counts):
                 # All links count, but components need those alone that unite: fewer than there are vectors.
-                own_id = int(askers[i])
-                out.append((own_id, len(near), [j for j in ids[near].tolist() if united(own_id, j)], recall))
-        return pd.DataFrame(out, columns=["vec_id", "n_links", "neighbours", "recall"]) if out else none
+                near, here = np.flatnonzero(linked[k]), root[asks[start + k]]
+                joined, first = np.unique(root[held[near]], return_index=True)
+                new = joined != here
+                if new.any():
+                    gone = np.zeros(len(nodes), bool)
+                    gone[joined[new]] = True
+                    root[gone[root]] = here
+                out.append((int(askers[start + k]), int(counts[k]), ids[near[first[new]]].tolist()))
+        return pd.DataFrame(out, columns=["vec_id", "n_links", "neighbours"]) if out else none
 
     return find
 
 
-def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard_rows: int = 8192, target: float = 1.0, audited: int = 64) -> DataFrame:
+def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, shard_rows: int = 8192) -> DataFrame:
     """One row per row of ``table``: id, n_links (other vectors linked directly), component_id, ``kept``.
 
     Vectors of equal length with equal, not null labels are linked if their cosine in double precision is at least ``threshold``. Vectors that
@@ -218,7 +214,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     own = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("role", F.lit(0))
     asking = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("shards")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("role", F.lit(1))
     rows = own.unionByName(asking).select("label", "width", "shard", "part", "role", "vec_id", "vector")
-    found = written(rows.groupBy("label", "width", "shard", "part").applyInPandas(_links(threshold, target, audited), "vec_id long, n_links long, neighbours array<long>, recall double"), "vector-links")
+    found = written(rows.groupBy("label", "width", "shard", "part").applyInPandas(_links(threshold), "vec_id long, n_links long, neighbours array<long>"), "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     united = components(found.select(F.col("vec_id").alias("a"), F.explode("neighbours").alias("b")))
     discard(usable)

@@ -323,3 +323,15 @@ def test_each_length_of_vectors_links(spark):
     rows = [(0, [1.0, 0.0, 0.0], 1)] + [(i, [1.0, 0.01 * i, 0.0, 1.0], 1) for i in range(1, 5)] + [(i, [0.0, 1.0], 1) for i in range(5, 8)]
     found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(vectors(spark, rows)).collect()}
     assert found == {0: (0, 0)} | {i: (3, 1) for i in range(1, 5)} | {i: (2, 5) for i in range(5, 8)}
+
+
+def test_small_groups_beside_large_ones_link(spark):
+    rng = np.random.default_rng(1)
+    v = [c + rng.normal(size=(120, 16)) * 0.02 for c in rng.normal(size=(10, 16))] + [c + rng.normal(size=(2, 16)) * 0.1 for c in rng.normal(size=(150, 16))]
+    v = np.concatenate(v).astype(np.float32)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    for shard_rows in (8192, 400):
+        found = {r.vec_id: r for r in embedding_dedup.near_vectors(vectors(spark, [(i, w, 1) for i, w in enumerate(v.tolist())]), shard_rows=shard_rows).collect()}
+        assert [found[i].n_links for i in range(1500)] == want.tolist()
+        assert all(found[i].component_id == i for i in range(1500) if not want[i]) and len({r.component_id for r in found.values() if r.n_links}) < (want > 0).sum()
