@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer, models
 
-from millrace.llm import byte_bpe, packing, queries, substring_dedup, unigram_counts
+from millrace.llm import byte_bpe, packing, queries, unigram_counts
 
 from ..compare import mismatch
 
@@ -134,26 +134,6 @@ def test_quality_base_rules(spark):
         assert not (own[doc].base_failed and own[doc].kept)
 
 
-def test_repeated_spans_are_runs_of_chunks_seen_before(spark):
-    seen, want = {}, []
-    for doc, text in sorted(texts(spark).items()):
-        data, run = text.encode(), []
-        ends = substring_dedup.cuts(data, 6, 16, 256)
-        for a, b in [*zip([0, *ends], ends), (0, 0)]:
-            chunk = data[a:b]
-            if chunk and chunk in seen:
-                run.append((len(data[:a].decode()), len(chunk.decode()), chunk, seen[chunk]))
-                continue
-            if run:
-                words = len(WORDS.findall(b"".join(c for _, _, c, _ in run).decode()))
-                if words >= 15:
-                    want.append((doc, run[0][0], sum(n for _, n, _, _ in run), words, run[0][3]))
-                run = []
-            seen.setdefault(chunk, doc)
-    found = queries.queries()["op3_substring_dedup"](spark, SF)
-    assert sorted(map(tuple, found.select("doc_id", "start", "length", "n_words", "first_doc").collect())) == sorted(want) and want
-
-
 def test_licenses_are_found(spark):
     found = collections.defaultdict(set)
     for r in queries.queries()["op1_license_scan"](spark, SF).collect():

@@ -197,16 +197,19 @@ def test_sketches_estimate_and_merge():
 def test_chunks_resist_shifts():
     rng = random.Random(2)
     text = " ".join(f"word{rng.randrange(3000)}" for _ in range(3000)).encode()
-    cut = lambda t: {t[a:b] for a, b in zip([0, *substring_dedup.cuts(t, 6, 16, 256)], substring_dedup.cuts(t, 6, 16, 256))}
+    cut = lambda t: {t[a:b] for a, b in zip([0, *substring_dedup.cuts(t, 6, 16, 1024)], substring_dedup.cuts(t, 6, 16, 1024))}
     whole = cut(text)
     assert len(whole & cut(b"inserted words " + text)) >= len(whole) - 3
     h = 0
     for byte in text[:100]:
         h = (2 * h + int(substring_dedup._gear()[byte])) % 2**32
     assert substring_dedup.rolling(np.frombuffer(text[:100], np.uint8))[-1] == h
-    assert substring_dedup.cuts(b"", 6, 16, 256) == []
+    assert substring_dedup.cuts(b"", 6, 16, 1024) == []
     forced = substring_dedup.cuts("é".encode() * 1000, 6, 16, 255)
     assert forced[-1] == 2000 and all(x % 2 == 0 for x in forced)
+    ideographs = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000)).encode()
+    whole = cut(ideographs)
+    assert len(whole) > 100 and len(whole & cut("新しい".encode() + ideographs)) >= len(whole) - 4
 
 
 def test_shared_passages_go_and_others_stay(spark):
