@@ -23,7 +23,7 @@ def table(spark, rows):
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in ("n_links", "part", "shard", "role", "vector", "n")})
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in ("n_links", "beam", "shard", "node", "vector", "n", "a", "recall")})
 
 
 #: Operators over documents, with the number of rows they give for ODD (None: not one for each row).
@@ -259,11 +259,46 @@ def test_embedding_recall_against_brute_force():
     centres = rng.normal(size=(40, 32))
     v = (centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 32)) * 0.25).astype(np.float32)
     v /= np.linalg.norm(v, axis=1)[:, None]
-    graph = embedding_dedup.Graph(v, np.arange(1500))
-    graph.close()
+    graph = embedding_dedup.Graph.stored(v, embedding_dedup.Graph(v, np.arange(1500)).stores())
     truth = v @ v.T >= 0.93
-    hits = sum(len(np.intersect1d(graph.within(v[i], 0.93, 64), np.flatnonzero(truth[i]))) for i in range(1500))
-    assert hits >= 0.99 * truth.sum()
+    found, beam, recall = embedding_dedup.searched(graph, v, 0.93, 32, 0.99, 64)
+    assert recall >= 0.99 and (truth & found).sum() >= 0.99 * truth.sum() and beam <= 64
+    # Queries without neighbours have met the target and leave the beam as it is.
+    foreign = rng.normal(size=(300, 32)).astype(np.float32)
+    foreign /= np.linalg.norm(foreign, axis=1)[:, None]
+    found, beam, recall = embedding_dedup.searched(graph, foreign, 0.93, 32, 0.99, 64)
+    assert not found.any() and (beam, recall) == (32, 1.0)
+    # A graph with nodes that no link leads to fails its audit at every width, and is then searched whole.
+    graph.links[0][:] = -1
+    found, beam, recall = embedding_dedup.searched(graph, v, 0.93, 32, 0.99, 64)
+    assert (beam, recall) == (1500, 1.0) and (found == (v @ v.T >= 0.93 - 1e-5)).all()
+
+
+def test_each_shard_has_one_graph_and_beams_stay_narrow(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([c + rng.normal(size=(4, 16)) * 0.1 for c in rng.normal(size=(400, 16))])
+    made, kept = embedding_dedup.written, []
+    monkeypatch.setattr(embedding_dedup, "written", lambda df, label: kept.append((label, made(df, label))) or kept[-1][1])
+    monkeypatch.setattr(embedding_dedup, "discard", lambda *tables: None)
+    rows = [(i, w, i % 2) for i, w in enumerate(v.tolist())]
+    found = embedding_dedup.near_vectors(vectors(spark, rows), shard_rows=200).collect()
+    tables = dict(kept)
+    assert tables["vector-graphs"].count() == 8  # 800 vectors of each of two labels
+    audits = tables["vector-links"].where("vec_id is null").collect()
+    assert len(audits) == 2 * (4 * 5 // 2) and min(r.recall for r in audits) >= 0.99 and max(r.beam for r in audits) <= 64
+    assert all(r.recall >= 0.99 and r.beam <= 64 for r in found)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    truth = (unit @ unit.T >= 0.93) & (np.arange(1600)[:, None] % 2 == np.arange(1600) % 2)
+    assert sum(r.n_links for r in found) >= 0.999 * (truth.sum() - 1600)
+
+
+def test_copies_of_a_vector_and_extreme_components(spark):
+    rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(50)] + [(100, [1.01, 2.0, 3.0], 1), (101, [-1.0, 2.0, 0.0], 1)]
+    df = vectors(spark, rows).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    large = df.where("vec_id < 2").withColumn("vec_id", F.col("vec_id") + 200).withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(1e200)))
+    small = df.where("vec_id < 2").withColumn("vec_id", F.col("vec_id") + 300).withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(1e-300)))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df.unionByName(large).unionByName(small)).collect()}
+    assert found == {i: (54, 0) for i in [*range(50), 100, 200, 201, 300, 301]} | {101: (0, 101)}
 
 
 def test_outliers_go_and_the_rest_stays(spark):
