@@ -41,9 +41,39 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_millrace_path", None)
         if path:
-            sc = table.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            remove(table.sparkSession, path)
+
+
+def _filesystem(spark: SparkSession, path: str) -> tuple:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, target = _filesystem(spark, path)
+    return [found.getPath().getName() for found in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = _filesystem(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _filesystem(spark, path)
+    source = fs.open(target)
+    text = bytes(source.readAllBytes()).decode()
+    source.close()
+    return text
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
 
 
 class Memo(dict):

@@ -1,15 +1,19 @@
 """Incremental, reversible line dedup: exact reference counts behind sharded cuckoo filters.
 
-State is a folder of Parquet tables that the cluster shares. ``postings`` says which document holds which line keys,
-``refs`` how many documents hold a key and the smallest of them, ``filters`` has one cuckoo filter for each shard
-of the keys. An insertion asks the filters first: keys that they have not seen are new, only the others are looked
-up in ``refs``. A deletion subtracts its documents from the counts, and keys that nobody holds any more leave the
-filters, so that the lines of the rest come back. Hot keys are counted before they are shuffled; filters never leave their shard.
+State is a folder of Parquet tables that the cluster shares; each operation adds a numbered folder to it and ends with a marker, so
+a store can be opened again, and an operation that did not end counts for nothing. ``postings`` says which document holds which
+line keys, ``refs`` how many documents hold a key and the smallest of them, ``filters`` has a cuckoo filter for each shard of the keys.
+An insertion asks the filters first: keys that they have not seen are new, only the others are looked up in ``refs``; counts
+are appended, and new keys are added to the filters of their shards. A deletion counts its keys anew in the shards that it touches, and discards from their filters
+the keys that nobody holds any more, so that the lines of the rest come back. Hot keys are counted before they are shuffled; filters never leave their shard.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, SPACES, discard, written
+from .common import LOWER_AZ, SPACES, children, discard, read_text, remove, shared_dir, write_text, written
 
 _SPACES = SPACES.encode()
 _SLOTS = 4
@@ -125,8 +129,9 @@ class CuckooFilter:
         return ((self.slots[first] == mark[:, None]) | (self.slots[second] == mark[:, None])).any(axis=1)
 
     @classmethod
-    def of(cls, keys: list[bytes]) -> CuckooFilter:
-        capacity = len(keys)
+    def of(cls, keys: list[bytes], room: int = 1) -> CuckooFilter:
+        """A filter of ``keys`` with room for ``room`` times as many."""
+        capacity = room * len(keys)
         while True:
             out = cls(capacity)
             if all(map(out.add, keys)):
@@ -139,90 +144,218 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
 
+#: Columns of the tables of an operation; ``seq`` is its number.
+_TABLES = {
+    "postings": "doc_id long, key binary, seq int",
+    "refs": "shard int, key binary, n_docs long, owner long, seq int",
+    "filters": "shard int, slots binary, n_keys long, seq int",
+    "deleted": "doc_id long, seq int",
+    "resets": "shard int, seq int",
+}
+
+
+def _changed(seq: int):
+    """The filter of a shard after its ``changes`` (key, adds); null slots where it has no room for them."""
+
+    def change(changes: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if changes.empty:
+            return pd.DataFrame({"shard": [], "slots": [], "n_keys": [], "seq": []})
+        new, old = changes["key"][changes["adds"]].tolist(), changes["key"][~changes["adds"]].tolist()
+        number = (0 if stored.empty else int(stored["n_keys"].iloc[0])) + len(new) - len(old)
+        if stored.empty:
+            slots = CuckooFilter.of(new).slots
+        else:
+            held = CuckooFilter(1, stored["slots"].iloc[0])
+            for key in old:
+                held.discard(key)
+            room = number <= 0.9 * held.slots.size and all(map(held.add, new))
+            slots = held.slots if room else None
+        return pd.DataFrame({"shard": [changes["shard"].iloc[0]], "slots": [None if slots is None else slots.tobytes()], "n_keys": [number], "seq": [seq]})
+
+    return change
+
+
 class LineStore:
-    """Reference counts and filters of the lines of all documents inserted so far, kept as tables in the shared folder.
+    """Reference counts and filters of the lines of all documents inserted so far, in the folder ``path``: what it holds is opened.
 
     There are at least as many shards as shuffle partitions; ``keys_per_shard`` bounds a shard's filter (about 2.4 bytes
-    a key), and so the memory of the task that holds it: shards double as the keys grow. Null document ids hold no keys.
+    a key), and so the memory of the task that holds it: shards double as the keys grow. Null document ids hold no keys. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000) -> None:
+    def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000, path: str | None = None) -> None:
         self.spark, self.keys_per_shard = spark, keys_per_shard
+        self.path = path or f"{shared_dir(spark)}/millrace/lines-{uuid.uuid4().hex}"
         self.shards = 1
         while self.shards < int(spark.conf.get("spark.sql.shuffle.partitions")):
             self.shards *= 2
-        self.postings: DataFrame | None = None
-        self.refs: DataFrame | None = None
-        self._tables: list[DataFrame] = []
-        self._filters: DataFrame | None = None
+        #: Tables of each operation that has ended, and of the one that goes on.
+        self.done: dict[int, list[str]] = {}
+        for name in sorted(children(spark, self.path), key=int):
+            if "done" in children(spark, f"{self.path}/{name}"):
+                said = json.loads(read_text(spark, f"{self.path}/{name}/done"))
+                self.done[int(name)], self.shards = said["tables"], said["shards"]
+            else:
+                remove(spark, f"{self.path}/{name}")
+
+    def _read(self, table: str) -> DataFrame | None:
+        paths = [f"{self.path}/{seq}/{table}" for seq, tables in self.done.items() if table in tables]
+        return self.spark.read.schema(_TABLES[table]).parquet(*paths) if paths else None
+
+    def _write(self, seq: int, table: str, df: DataFrame) -> None:
+        df.withColumn("seq", F.lit(seq)).select(*(c.split()[0] for c in _TABLES[table].split(", "))).write.parquet(f"{self.path}/{seq}/{table}")
+        self.done.setdefault(seq, []).append(table)
+
+    @contextmanager
+    def _operation(self) -> Iterator[int]:
+        """The number of a new operation, which is ended or else undone."""
+        seq = max(self.done, default=-1) + 1
+        try:
+            yield seq
+            write_text(self.spark, f"{self.path}/{seq}/done", json.dumps({"tables": self.done[seq], "shards": self.shards}))
+        except BaseException:
+            self.done.pop(seq, None)
+            remove(self.spark, f"{self.path}/{seq}")
+            raise
+
+    def postings(self) -> DataFrame | None:
+        """(doc_id, key) of all documents that are in the store."""
+        found, deleted = self._read("postings"), self._read("deleted")
+        if found is None or deleted is None:
+            return found and found.drop("seq")
+        last = deleted.groupBy("doc_id").agg(F.max("seq").alias("gone"))
+        return found.join(last, "doc_id", "left").where("gone is null or seq > gone").select("doc_id", "key")
+
+    def refs(self) -> DataFrame:
+        """(shard, key, n_docs, owner) of all keys that a document holds."""
+        found, resets = self._read("refs"), self._read("resets")
+        if resets is not None:
+            last = resets.groupBy("shard").agg(F.max("seq").alias("reset"))
+            found = found.join(last, "shard", "left").where("reset is null or seq >= reset")
+        return found.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
 
     def filters(self) -> DataFrame:
-        """A row (shard, slots) for each shard that has keys; built anew when the counts have changed."""
-        if self._filters is None:
-            number = self.refs.count()
-            while self.shards * self.keys_per_shard < number:
-                self.shards *= 2
-
-            def build(keys: pd.DataFrame) -> pd.DataFrame:
-                found = CuckooFilter.of(keys["key"].tolist())
-                return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "slots": [found.slots.tobytes()]})
-
-            self._filters = written(self.refs.select(shard_of(self.shards).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard int, slots binary"), "line-filters")
-        return self._filters
+        """(shard, slots, n_keys): the last filter of each shard."""
+        last = F.max_by(F.struct("slots", "n_keys"), "seq").alias("f")
+        return self._read("filters").groupBy("shard").agg(last).select("shard", "f.slots", "f.n_keys")
 
     def seen(self, keys: DataFrame) -> DataFrame:
-        """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false only if no document of the store holds the key."""
+        """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false only if no document of the store holds the key. Filters of other shards are not read into tasks."""
 
         def probe(new: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            new = new.drop(columns="shard")
             if new.empty or stored.empty:
                 return new.assign(maybe=np.zeros(len(new), bool))
             return new.assign(maybe=CuckooFilter(1, stored["slots"].iloc[0]).have(new["key"].tolist()))
 
-        filters = self.filters()
-        return keys.withColumn("shard", shard_of(self.shards)).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, f"{_KEY}, n_docs long, owner long, maybe boolean")
+        keys = keys.select("key", "n_docs", "owner", shard_of(self.shards).alias("shard"))
+        return keys.groupBy("shard").cogroup(self._touched(keys).groupBy("shard")).applyInPandas(probe, f"{_KEY}, n_docs long, owner long, shard int, maybe boolean")
+
+    def _touched(self, keys: DataFrame) -> DataFrame:
+        """Filters of the shards of ``keys``."""
+        if self._read("filters") is None:
+            return self.spark.createDataFrame([], "shard int, slots binary, n_keys long")
+        return self.filters().join(keys.select(F.col("shard").alias("own")).distinct(), F.col("shard") == F.col("own"), "left_semi")
+
+    def _update(self, seq: int, changes: DataFrame) -> None:
+        """Bring the filters of the shards of ``changes`` (shard, key, adds) up to date; those without room are built anew from the exact keys."""
+        after = written(changes.groupBy("shard").cogroup(self._touched(changes).groupBy("shard")).applyInPandas(_changed(seq), _TABLES["filters"]), "line-filters")
+        full = after.where("slots is null").select("shard")
+        new = after.where("slots is not null")
+        if full.limit(1).count():
+            new = new.unionByName(self._built(self.refs().join(full, "shard", "left_semi")).withColumn("seq", F.lit(seq)))
+        self._write(seq, "filters", new)
+        discard(after)
+
+    def _built(self, refs: DataFrame) -> DataFrame:
+        def build(keys: pd.DataFrame) -> pd.DataFrame:
+            found = CuckooFilter.of(keys["key"].tolist(), room=2)
+            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "slots": [found.slots.tobytes()], "n_keys": [len(keys)]})
+
+        return refs.select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, slots binary, n_keys long")
+
+    def _reshard(self) -> None:
+        """Double the shards until they are small enough again; all counts and filters are written anew."""
+        number = self.filters().agg(F.sum("n_keys")).first()[0] or 0
+        if number <= self.shards * self.keys_per_shard:
+            return
+        refs, shards = written(self.refs(), "line-refs"), self.shards
+        while number > shards * self.keys_per_shard:
+            shards *= 2
+        every = self.spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+        dealt = refs.withColumn("shard", shard_of(shards))
+        # Shards without keys get empty filters, lest their old ones be asked.
+        none = every.join(dealt.select("shard").distinct(), "shard", "left_anti").select("shard", F.lit(CuckooFilter.of([]).slots.tobytes()).alias("slots"), F.lit(0).cast("long").alias("n_keys"))
+        before, self.shards = self.shards, shards
+        try:
+            with self._operation() as seq:
+                self._write(seq, "refs", dealt)
+                self._write(seq, "resets", every)
+                self._write(seq, "filters", self._built(dealt).unionByName(none))
+        except BaseException:
+            self.shards = before
+            raise
+        discard(refs)
 
     def insert(self, held: DataFrame, fresh: bool = False) -> None:
         """Add the documents of ``held`` (doc_id, key). ``fresh``: none of them is in the store yet; else a document gets the union of its keys."""
-        if self.refs is not None and not fresh:
-            held = held.join(self.postings, ["doc_id", "key"], "left_anti")
-        new = written(held, "line-postings")
-        counts = new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
-        if self.refs is None:
-            self.postings, self._tables = new, [new]
-            self._count(written(counts, "line-refs"))
-            return
-        probed = written(self.seen(counts), "line-probed")
-        # Keys that the filters have not seen need no look at the counts.
-        asked = probed.where("maybe").select("key", F.col("n_docs").alias("more"), F.col("owner").alias("newer"))
-        merged = self.refs.join(asked, "key", "full_outer").select("key", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.least("owner", "newer").alias("owner"))
-        refs = written(merged.unionByName(probed.where(~F.col("maybe")).drop("maybe")), "line-refs")
-        self.postings, self._tables = self.postings.unionByName(new), [*self._tables, new]
-        discard(probed)
-        self._count(refs)
+        if self._read("filters") is not None:
+            self._reshard()
+        before = self.postings()
+        if before is not None and not fresh:
+            held = held.join(before, ["doc_id", "key"], "left_anti")
+        with self._operation() as seq:
+            self._write(seq, "postings", held)
+            new = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/{seq}/postings")
+            counts = new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
+            if before is None:
+                probed = unknown = written(counts.select("key", "n_docs", "owner", shard_of(self.shards).alias("shard"), F.lit(False).alias("maybe")), "line-probed")
+            else:
+                probed = written(self.seen(counts), "line-probed")
+                # Keys that the filters have not seen need no look at the counts.
+                known = self.refs().select("key").join(probed.where("maybe").select("key"), "key", "left_semi")
+                unknown = probed.where("not maybe").unionByName(probed.where("maybe").join(known, "key", "left_anti"))
+            changes = written(unknown.select("shard", "key", F.lit(True).alias("adds")), "line-changes")
+            self._write(seq, "refs", probed)
+            self._update(seq, changes)
+        discard(probed, changes)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents of ``doc_ids`` (doc_id); ids that the store does not have change nothing."""
-        gone = doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-        postings = written(self.postings.join(gone, "doc_id", "left_anti"), "line-postings")
-        touched = self.postings.join(gone, "doc_id", "left_semi").select("key").distinct()
-        still = postings.join(touched, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
-        refs = written(self.refs.join(touched, "key", "left_anti").unionByName(still), "line-refs")
-        discard(*self._tables)
-        self.postings, self._tables = postings, [postings]
-        self._count(refs)
-
-    def _count(self, refs: DataFrame) -> None:
-        discard(*(t for t in (self.refs, self._filters) if t is not None))
-        self.refs, self._filters = refs, None
+        before = self.postings()
+        if before is None:
+            return
+        refs = self.refs()
+        ids = doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+        gone = written(before.join(ids, "doc_id", "left_semi"), "line-gone")
+        touched = written(gone.select("key").distinct().withColumn("shard", shard_of(self.shards)), "line-touched")
+        shards = touched.select("shard").distinct()
+        # The counts of touched shards are written anew, those of touched keys from the documents that stay.
+        rest = refs.join(shards, "shard", "left_semi").join(touched.select("key"), "key", "left_anti").select("shard", "key", "n_docs", "owner")
+        stay = before.join(touched, "key").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+        still = written(stay.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "line-still")
+        after = written(rest.unionByName(still), "line-refs")
+        with self._operation() as seq:
+            self._write(seq, "deleted", gone.select("doc_id").distinct())
+            self._write(seq, "refs", after)
+            self._write(seq, "resets", shards)
+            self._update(seq, touched.join(still.select("key"), "key", "left_anti").select("shard", "key", F.lit(False).alias("adds")))
+        discard(gone, touched, still, after)
 
     def shared(self, least_docs: int = 2) -> DataFrame:
         """Keys (key, owner) that at least ``least_docs`` documents hold."""
-        return self.refs.where(F.col("n_docs") >= least_docs).select("key", "owner")
+        return self.refs().where(F.col("n_docs") >= least_docs).select("key", "owner")
 
     def drops(self) -> DataFrame:
-        """Per document the keys that it loses: (doc_id, keys)."""
-        return self.postings.join(self.shared(), "key").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        """Per document the keys that it loses: (doc_id, keys), as a table of its own that outlives the store."""
+        # Written first, so that a line that very many documents hold can be split in the join.
+        shared = written(self.shared(), "line-shared")
+        out = written(self.postings().join(shared, "key").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "line-drops")
+        discard(shared)
+        return out
+
+    def remove(self) -> None:
+        """Delete the folder."""
+        remove(self.spark, self.path)
+        self.done = {}
 
 
 def kept_lines(text: str, drop: list[bytes], least: int) -> tuple[str, int, int]:
@@ -235,19 +368,22 @@ def kept_lines(text: str, drop: list[bytes], least: int) -> tuple[str, int, int]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 2, store: LineStore | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 2, store: LineStore | None = None, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with ``text_col`` replaced, ``n_lines`` before dropping and ``n_dropped``; a column of ``docs`` with one of these two names is replaced.
 
     Lines are parted by line feeds; a null or empty text is one empty line and stays as it is. A line whose key
     has at least ``least`` code points and is held by another document with a smaller id is dropped; a key's
     smallest document keeps all lines with it. Rows with a null id keep all lines and count for no key. Rows
     that share an id are one document. The documents are inserted into ``store`` (an empty one by default) in ``batches``
-    by a hash of their ids, so that later ones ask the filters of those before them.
+    by a hash of their ids, so that later ones ask the filters of those before them. ``keep_emptied``: whether rows that lose all their words stay, with what is left of their text.
     """
     fresh, store = store is None, store or LineStore(docs.sparkSession)
     for k in range(batches):
         store.insert(holdings(docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)) == k), id_col, text_col, least), fresh)
-    drops = store.drops().select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
+    found = store.drops()
+    if fresh:
+        store.remove()
+    drops = found.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
     base = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)))
     joined = base.join(drops, base[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
     names = base.columns
@@ -265,7 +401,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 dropped.append(gone)
             columns = [*batch.columns[: len(names)], pa.array(before, pa.int64()), pa.array(dropped, pa.int64())]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"])
+            stay = [keep_emptied or not gone or bool((text or "").strip(SPACES)) for text, gone in zip(texts, dropped)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"]).filter(pa.array(stay, pa.bool_()))
 
     return joined.select(*names, "__keys").mapInArrow(rows, schema)
 
