@@ -5,7 +5,7 @@ of exponential hash values of its shingles; registers of two sets merge by maxim
 to buckets. In every bucket all members are first compared with one centre, the member that stands in the
 fullest buckets; a pair's Jaccard index is estimated from both sketches and both set sizes by maximum likelihood,
 and what is not clearly below the threshold is confirmed on the full sets. Members that are then still in
-different components are compared block by block, so that no link within a bucket between two components is lost, and no pair is made a row.
+different components are compared block by block, sketches first and full sets of the promising ones then, so that no link within a bucket between two components is lost, and no pair is made a row.
 """
 
 from __future__ import annotations
@@ -100,29 +100,30 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest of the word sequence, n_shingles, registers) of ``docs`` (doc_id long, text)."""
+    """(doc_id, mark, digest of the word sequence, n_shingles, registers) of ``docs`` (doc_id long, mark, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
 
-        def flush(ids: list, digests: list, sets: list) -> pa.RecordBatch:
+        def flush(ids: list, marks: list, digests: list, sets: list) -> pa.RecordBatch:
             found = registers(sets)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.astype(">u2").tobytes() for r in found], pa.binary())], ["doc_id", "digest", "n_shingles", "registers"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.astype(">u2").tobytes() for r in found], pa.binary())], ["doc_id", "mark", "digest", "n_shingles", "registers"])
 
         for batch in batches:
-            ids, digests, sets, size = [], [], [], 0
-            for name, text in zip(batch.column(0), batch.column(1)):
+            ids, marks, digests, sets, size = [], [], [], [], 0
+            for name, mark, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = tokens(text.as_py())
                 ids.append(name.as_py())
+                marks.append(mark.as_py())
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sets.append(shingles.of(words))
                 size += len(sets[-1])
                 if size > 200_000:
-                    yield flush(ids, digests, sets)
-                    ids, digests, sets, size = [], [], [], 0
-            yield flush(ids, digests, sets)
+                    yield flush(ids, marks, digests, sets)
+                    ids, marks, digests, sets, size = [], [], [], [], 0
+            yield flush(ids, marks, digests, sets)
 
-    return docs.mapInArrow(rows, "doc_id long, digest binary, n_shingles long, registers binary")
+    return docs.mapInArrow(rows, "doc_id long, mark long, digest binary, n_shingles long, registers binary")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -184,47 +185,93 @@ def _links(mine: list[tuple], other: list[tuple], percent: int) -> Iterator[tupl
                 yield node, other[k][0]
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks of ``members`` (key, i, j, side, node, component, shingles): those on side 0 are compared with those on side 1."""
+def _promising(mine: tuple, other: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members (components, sizes, registers) of two sides have a partner of another component whose estimate is not clearly below the threshold."""
+    (part_a, n_a, r_a), (part_b, n_b, r_b) = mine, other
+    registers = r_a.shape[1]
+    likely = percent / 100
+    # Equal registers are a binomial number of at least the Jaccard index; six standard deviations leave nothing out.
+    least = registers * likely - 6 * math.sqrt(registers * likely * (1 - likely))
+    hit_a, hit_b = np.zeros(len(part_a), bool), np.zeros(len(part_b), bool)
+    for k in range(len(part_a)):
+        close = np.flatnonzero((part_b != part_a[k]) & (100 * np.minimum(n_b, n_a[k]) >= percent * np.maximum(n_b, n_a[k])))
+        close = close[(r_b[close] == r_a[k]).sum(axis=1) >= least]
+        if len(close):
+            found = likely_jaccard(np.repeat(r_a[k : k + 1], len(close), axis=0), r_b[close], np.full(len(close), float(n_a[k])), n_b[close].astype(float))
+            close = close[found >= likely - 6 * math.sqrt(0.25 / registers)]
+            hit_b[close] = True
+            hit_a[k] |= len(close) > 0
+    return hit_a, hit_b
+
+
+def _blocks(members: DataFrame, payload: list[str], found, schema: str) -> DataFrame:
+    """``found`` (rows of side 0, rows of side 1; lists of payload tuples) of each block of ``members`` (key, i, j, side, payload); blocks with one side give nothing."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sides = None, ([], [])
 
-        def found() -> pa.RecordBatch:
-            links = list(_links(*sides, percent)) if sides[0] and sides[1] else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def closed() -> pa.RecordBatch:
+            out = list(found(block, *sides)) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[c.split()[1]]) for k, c in enumerate(schema.split(", "))], names)
 
         for batch in batches:
-            for *name, side, node, component, shingles in zip(*(column.to_pylist() for column in batch.columns)):
-                if name != block:
-                    yield found()
-                    block, sides = name, ([], [])
-                sides[side].append((node, component, shingles))
-        yield found()
+            for key, i, j, side, *rest in zip(*(column.to_pylist() for column in batch.columns)):
+                if (key, i, j) != block:
+                    yield closed()
+                    block, sides = (key, i, j), ([], [])
+                sides[side].append(tuple(rest))
+        yield closed()
 
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "node", "component", "shingles").mapInArrow(rows, "a long, b long")
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", *payload).mapInArrow(rows, schema)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id and ``kept``.
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within blocks of ``members`` (key, i, j, side, node, component): those on side 0 are compared with those on side 1.
 
-    Sets are of distinct shingles of ``width`` words (A to Z lower-cased, parted by ASCII white space); documents whose
-    intersection is at least ``percent`` of the union are linked. component_id is the smallest id that links reach, itself
-    included; a document without words links with nothing. ``kept``: the id is the component's. Where
-    ids repeat, the least text of an id stands for its links, and all its rows get its component. A row with a null id links with
-    nothing, has a null component and is kept. Other columns are ignored. A link at the threshold is missed with a
-    probability of 3 in 1,000,000 (no common band); links found are always confirmed on full sets of 64-bit shingle hashes.
+    Sketches go to the blocks first; full sets (``sets``: node, n_shingles, registers, shingles) follow only for members with a promising partner there.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def promising(block: tuple, *sides: list[tuple]) -> Iterator[tuple]:
+        of = lambda side: (np.asarray([x[1] for x in side]), np.asarray([x[2] for x in side]), np.frombuffer(b"".join(x[3] for x in side), ">u2").reshape(len(side), -1))
+        for number, (side, hit) in enumerate(zip(sides, _promising(of(sides[0]), of(sides[1]), percent))):
+            for k in np.flatnonzero(hit):
+                yield (*block, number, side[k][0], side[k][1])
+
+    sketched = members.join(sets.select("node", "n_shingles", "registers"), "node")
+    near = written(_blocks(sketched, ["node", "component", "n_shingles", "registers"], promising, "key long, i int, j int, side int, node long, component long"), "promising")
+    full = near.join(sets.select("node", "shingles"), "node")
+    out = written(_blocks(full, ["node", "component", "shingles"], lambda block, mine, other: _links(mine, other, percent), "a long, b long"), "block-links")
+    discard(near)
+    return out
+
+
+def _numbered(named: DataFrame, width: int, percent: int) -> DataFrame:
+    """``_verdicts`` where ids repeat: each id and text gets a number, in order of the ids, and is a document."""
+    full = named.where("doc_id is not null")
+    ordered = full.select("doc_id", "mark").distinct().orderBy("doc_id", "mark")
+    numbers = written(ordered.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    texts = full.join(numbers, ["doc_id", "mark"]).groupBy("number").agg(F.min("text").alias("text")).select(F.col("number").alias("doc_id"), F.lit(0).cast("long").alias("mark"), "text")
+    found = _verdicts(texts, width, percent).select(F.col("doc_id").alias("number"), "n_shingles", F.col("component_id").alias("first"))
+    firsts = numbers.select(F.col("number").alias("first"), F.col("doc_id").alias("component_id"))
+    out = written(found.join(firsts, "first").join(numbers, "number").select("doc_id", "mark", "n_shingles", "component_id"), "verdicts")
+    discard(numbers)
+    without = sketches(named.where("doc_id is null"), width).select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return full.select("doc_id", "mark").join(out, ["doc_id", "mark"]).unionByName(without)
+
+
+def _verdicts(named: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) per row of ``named`` (doc_id, mark, text)."""
     all_rows = written(sketches(named, width), "sketches")
     rows = all_rows.where("doc_id is not null")
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-        rows = written(sketches(named, width), "sketches")
-    # Documents with the same word sequence are one node, the smallest of them.
+        discard(all_rows)
+        return _numbered(named, width, percent)
+    # Documents with the same word sequence are one node, the smallest of them. What is joined is written first, so that a join can split a hot digest.
     full = rows.where("n_shingles > 0")
-    nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    placed = written(full.select("doc_id", "digest", "n_shingles", "registers").join(nodes, "digest").select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("registers")).alias("registers")), "nodes")
+    firsts = written(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "digests")
+    placed = written(full.select("doc_id", "digest", "n_shingles", "registers").join(firsts, "digest").select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("registers")).alias("registers")), "nodes")
     unique = placed.where("doc_id = node").select("node", "n_shingles", "registers")
     wide = 2 * BAND
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", k * wide + 1, wide)) for k in range(REGISTERS // BAND)))
@@ -252,10 +299,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     mine = loose.where("component <> largest").withColumn("i", spot("n_loose", 1)).withColumn("j", every("size")).withColumn("side", F.lit(0))
     other = loose.withColumn("j", spot("size", 2)).withColumn("i", every("n_loose")).withColumn("side", F.lit(1))
-    block = mine.unionByName(other).select("key", "i", "j", "side", "node", "component").join(sets.select("node", "shingles"), "node")
-    more = written(_across(block, percent), "block-links")
-    found = components(links.unionByName(more))
-    out = all_rows.select("doc_id", "n_shingles").join(placed.select("doc_id", "node"), "doc_id", "left").join(found, "node", "left")
-    discard(members, sets, parts)
-    component = F.coalesce("component", "node", "doc_id")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    block = mine.unionByName(other).select("key", "i", "j", "side", "node", "component")
+    more = _across(block, sets, percent)
+    again = components(links.unionByName(more))
+    united = placed.select("doc_id", "node").join(again, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    out = written(all_rows.select("doc_id", "mark", "n_shingles").join(united, "doc_id", "left").select("doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "verdicts")
+    discard(all_rows, firsts, placed, members, sets, parts, links, more)
+    return out
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text): the mark tells the texts of an id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id and ``kept``.
+
+    Sets are of distinct shingles of ``width`` words (A to Z lower-cased, parted by ASCII white space); documents whose
+    intersection is at least ``percent`` of the union are linked. component_id is the smallest id that links reach, itself
+    included; a document without words links with nothing. ``kept``: the id is the component's. Rows that share an id but
+    not the text are documents of their own, each linked by its own text, and equal rows are one. A row with a null id links with
+    nothing, has a null component and is kept. Other columns are ignored; an empty table gives an empty result. A link at the threshold is missed with a
+    probability of 3 in 1,000,000 (no common band); links found are always confirmed on full sets of 64-bit shingle hashes.
+    """
+    out = _verdicts(_named(docs, id_col, text_col), width, percent)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` less the rows that ``near_duplicates`` does not keep; each row goes or stays by its own text."""
+    gone = _verdicts(_named(docs, id_col, text_col), width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left_anti")

@@ -103,26 +103,73 @@ def test_cuckoo_filters_forget_only_what_is_deleted():
     assert found.have(others).mean() < 0.01
 
 
+def held(part):
+    return line_dedup.holdings(part, "doc_id", "text", 10)
+
+
+def store_state(store):
+    """Counts, lost lines and number of keys in the filters."""
+    refs = sorted((bytes(r.key), r.n_docs, r.owner) for r in store.refs().collect())
+    return refs, sorted((r.doc_id, sorted(map(bytes, r["keys"]))) for r in store.drops().collect()), store.filters().agg(F.sum("n_keys")).first()[0]
+
+
 def test_line_store_is_reversible(spark):
     rng = random.Random(7)
     pool = [f"line number {i} of all" for i in range(12)]
-    docs = [(i, "\n".join(rng.choices(pool, k=5))) for i in range(12)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    held = lambda part: line_dedup.holdings(part, "doc_id", "text", 10)
-    state = lambda s: (sorted(map(tuple, s.refs.collect())), sorted((r.doc_id, sorted(r["keys"])) for r in s.drops().collect()))
+    df = spark.createDataFrame([(i, "\n".join(rng.choices(pool, k=5))) for i in range(12)], "doc_id long, text string")
     whole = line_dedup.LineStore(spark, 4)
     whole.insert(held(df))
-    steps = line_dedup.LineStore(spark, 4)
+    steps = line_dedup.LineStore(spark, 1)  # shards double on the way
     for k in range(3):
         steps.insert(held(df.where(F.col("doc_id") % 3 == k)))
-    assert state(steps) == state(whole)
+    steps.insert(held(df.where("doc_id < 4")))  # what is there already changes nothing
+    assert store_state(steps) == store_state(whole) and steps.shards > whole.shards
     some = line_dedup.LineStore(spark, 4)
     some.insert(held(df.where("doc_id > 3")))
     whole.delete(df.where("doc_id <= 3").select("doc_id"))
-    assert state(whole) == state(some)
-    keys = {r.key for r in some.refs.collect()}
-    probed = some.seen(some.refs.select("key", "n_docs", "owner"))
-    assert {r.key for r in probed.where("maybe").collect()} == keys
+    whole.delete(spark.createDataFrame([(99,), (None,)], "doc_id long"))
+    assert store_state(whole) == store_state(some)
+    again = line_dedup.LineStore(spark, 4, path=whole.path)
+    assert again.shards == whole.shards and store_state(again) == store_state(some)
+    again.insert(held(df.where("doc_id <= 3")))
+    assert store_state(again) == store_state(steps)
+    again.remove()
+    assert line_dedup.LineStore(spark, path=again.path).postings() is None
+
+
+def test_filters_live_with_their_shards(spark):
+    df = spark.createDataFrame([(i, "\n".join(f"line {i} number {k}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    store = line_dedup.LineStore(spark)
+    store.shards = 64
+    store.insert(held(df))
+    first = {r.shard for r in store._read("filters").collect()}
+    one = spark.createDataFrame([(100, "a line that is new\nline 3 number 5")], "doc_id long, text string")
+    store.insert(held(one))
+    touched = {r.shard for r in held(one).select(line_dedup.shard_of(64).alias("shard")).collect()}
+    added = {r.shard for r in held(one.selectExpr("doc_id", "'a line that is new' as text")).select(line_dedup.shard_of(64).alias("shard")).collect()}
+    assert len(first) > 32 and added <= touched and {r.shard for r in store._read("filters").where("seq = 1").collect()} == added
+    before = {r.shard: bytes(r.slots) for r in store.filters().collect()}
+    keys = held(df.where("doc_id = 7")).select("key", F.lit(1).cast("long").alias("n_docs"), "doc_id").withColumnRenamed("doc_id", "owner")
+    assert store.seen(keys).where("maybe").count() == 40
+    store.delete(df.where("doc_id = 7").select("doc_id"))
+    # The keys that only the deleted document held are gone from their filters, slot by slot, and no others are.
+    assert store.seen(keys).where("maybe").count() <= 1
+    after = {r.shard: bytes(r.slots) for r in store.filters().collect()}
+    lost = sum(int((np.frombuffer(before[s], np.uint16) != 0).sum()) - int((np.frombuffer(after[s], np.uint16) != 0).sum()) for s in before)
+    assert lost == 40 and all(len(after[s]) == len(before[s]) for s in before)
+    rest = held(df.where("doc_id <> 7")).select("key", F.lit(1).cast("long").alias("n_docs"), "doc_id").withColumnRenamed("doc_id", "owner")
+    assert store.seen(rest).where("maybe").count() == 19 * 40
+
+
+def test_unfinished_operations_count_for_nothing(spark):
+    df = spark.createDataFrame([(1, "the first line\nthe second line")], "doc_id long, text string")
+    store = line_dedup.LineStore(spark)
+    store.insert(held(df))
+    df.write.parquet(f"{store.path}/1/postings")  # an operation that died before its marker
+    again = line_dedup.LineStore(spark, path=store.path)
+    assert store_state(again) == store_state(store) and list(again.done) == [0]
+    again.insert(held(df.selectExpr("2L as doc_id", "text")))
+    assert [r.doc_id for r in again.drops().collect()] == [2]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -184,6 +231,27 @@ def test_near_groups_around_the_threshold(spark, monkeypatch, block):
     assert [found[i] for i in range(len(texts))] == jaccard_components(texts, 4)
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    a, b, c = variants(3, 1, 1)[0], variants(4, 1, 1)[0], variants(5, 1, 1)[0]
+    rows = [(5, a), (3, a + " x"), (3, b), (7, b), (7, b), (7, c), (None, a), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert found == sorted([(5, 116, 3, False), (3, 117, 3, True), (3, 116, 3, True), (7, 116, 3, False), (7, 116, 3, False), (7, 116, 7, True), (0, 116, 0, True), (9, 0, 9, True), (9, 0, 9, True)])
+    kept = [(r.doc_id, r.text) for r in near_dedup.without_near_duplicates(df).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a + " x"), (3, b), (7, c), (None, a), (9, None), (9, "")], key=str)
+
+
+def test_unlike_members_of_a_bucket_send_no_sets():
+    rng = np.random.default_rng(9)
+    universe = rng.integers(0, 2**63, (6, 400)).astype(np.uint64)
+    sets = [np.unique(u) for u in universe]
+    sets.append(np.unique(np.concatenate([sets[0][:380], universe[1][:15]])))
+    r = near_dedup.registers(sets)
+    n, part = np.asarray([len(s) for s in sets]), np.arange(len(sets))
+    mine, other = near_dedup._promising((part[:6], n[:6], r[:6]), (part, n, r), 80)
+    assert mine.tolist() == [True] + [False] * 5 and other.tolist() == [False] * 6 + [True]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(5)
     universe = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
