@@ -385,7 +385,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         store.remove()
     drops = found.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys"))
     base = docs.drop(*(c for c in ("n_lines", "n_dropped") if c in docs.columns and c not in (id_col, text_col)))
-    joined = base.join(drops, base[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = base.join(drops, base[id_col].cast("long") == drops["__doc"], "left").select(*(base[c] for c in base.columns), drops["__keys"])
     names = base.columns
     at = names.index(text_col)
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -404,7 +404,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             stay = [keep_emptied or not gone or bool((text or "").strip(SPACES)) for text, gone in zip(texts, dropped)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"]).filter(pa.array(stay, pa.bool_()))
 
-    return joined.select(*names, "__keys").mapInArrow(rows, schema)
+    return joined.mapInArrow(rows, schema)
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:

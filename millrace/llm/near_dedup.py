@@ -330,4 +330,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less the rows that ``near_duplicates`` does not keep; each row goes or stays by its own text."""
     gone = _verdicts(_named(docs, id_col, text_col), width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left_anti")
+    return docs.join(gone, (docs[id_col].cast("long") == gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__mark"]), "left_anti")

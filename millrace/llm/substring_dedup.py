@@ -166,7 +166,7 @@ def without_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A row all of whose words repeat stays with what is left, or goes where ``keep_emptied`` is false."""
     found = _spans(_marked(docs, id_col, text_col), one_in, least, most, least_words)
     gone = found.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    joined = docs.join(gone, (docs[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left").select(*(docs[c] for c in docs.columns), "__spans")
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__doc"]) & (F.xxhash64(docs[text_col]) == gone["__mark"]), "left").select(*(docs[c] for c in docs.columns), gone["__spans"])
     names = docs.columns
     at = names.index(text_col)
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what the one before has kept."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ def test_lines_go_but_in_the_smallest_document(stages):
     for d in sorted(before):
         for line in before[d].split("\n"):
             owner.setdefault(key(line), d)
-    assert after == {d: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == d) for d, t in before.items()}
+    want = {d: "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] == d) for d, t in before.items()}
+    assert after == {d: t for d, t in want.items() if t.split()} and len(after) < len(before)
 
 
 def test_one_document_of_each_group_stays(stages):
@@ -52,7 +54,10 @@ def test_one_document_of_each_group_stays(stages):
 
 def test_substrings_only_shorten(stages):
     before, after = ({r.doc_id: r.text for r in df.collect()} for df in stages[3:5])
-    assert set(before) == set(after) and all(len(after[d]) <= len(before[d]) for d in before)
+    assert set(after) <= set(before) and all(len(t) <= len(before[d]) and t.split() for d, t in after.items())
+    # What goes with a document is all there in others.
+    left = "\n".join(after.values())
+    assert all(any(" ".join(before[d].split()[k : k + 8]) in " ".join(t.split()) for t in after.values()) for d in set(before) - set(after) for k in (0, 20)) and left
 
 
 def test_packing_holds_all_documents(stages):
@@ -65,3 +70,50 @@ def test_packing_holds_all_documents(stages):
 def test_run_gives_the_last_stage(spark, stages):
     ours = corpus_pipeline.run(spark, SF).groupBy("doc_id").agg(F.sum("length").alias("n"))
     assert ours.exceptAll(stages[5].groupBy("doc_id").agg(F.sum("length").alias("n"))).count() == 0
+
+
+def odd(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit("a"), "kept": F.lit("b"), "mark": F.lit(3), "key": F.lit("c"), "__doc": F.lit("d"), "level": F.lit("e")})
+
+
+def through(spark, docs, tmp_path):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    return docs
+
+
+def prose(seed, n=120):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(1, a, "en", "s"), (2, f"{a} x", "en", "s"), (2, b, "en", None), (3, None, "en", "s"), (4, "", None, None), (None, c, "de", "s"), (None, c, "de", "s"), (5, b, "en", "s"), (6, "few words", "en", "s"), (1, c, "en", "s")]
+    docs = odd(spark, rows)
+    kept = through(spark, docs, tmp_path)
+    assert kept.columns == docs.columns
+    # (2, b) shares its id with a near copy of (1, a) and stays; (5, b) is a copy of it; rows with a null id stay.
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (1, c), (2, b), (0, c), (0, c)])
+    pieces = corpus_pipeline.pack(spark, kept, "").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, None}
+
+
+def test_an_empty_table_gives_nothing(spark, tmp_path):
+    kept = through(spark, odd(spark, []), tmp_path)
+    assert kept.count() == 0 and corpus_pipeline.pack(spark, kept, "").count() == 0
+
+
+def test_verdicts_do_not_hang_on_how_rows_are_split(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.quality(spark, docs.repartition(7), SF)
+    first.count()
+    again = corpus_pipeline.quality(spark, docs.repartition(3, "source"), SF)
+    assert first.exceptAll(again).count() == 0 and again.exceptAll(first).count() == 0
+
+
+def test_copies_are_gone_and_no_document_is_empty(stages):
+    texts = [r.text for r in stages[4].select("text").collect()]
+    assert len(texts) == len(set(texts)) and all(t.split() for t in texts)
