@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, near_dedup, outliers, packing, substring_dedup
-from millrace.llm.common import written
+from millrace.llm.common import discard, written
 from millrace.session import ship_package
 
 
@@ -16,10 +16,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a document with a smaller id holds."""
+    """Documents without the lines that a document with a smaller id holds. Those of which no word is left go; rows that share an id are one document here, null ids keep all lines."""
     ship_package(spark)
-    out = line_dedup.dedup_lines(docs)
-    return with_length(out.select(docs.columns))
+    return with_length(line_dedup.dedup_lines(docs, keep_emptied=False).select(docs.columns))
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -28,20 +27,19 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document, the smallest id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more. Rows with a null id or without words stay."""
     ship_package(spark)
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return near_dedup.without_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document with a smaller id holds."""
+    """Documents without the passages that a document with a smaller id, or the same further ahead, holds. Those of which no word is left go; rows with a null id stay as they are."""
     ship_package(spark)
-    return with_length(substring_dedup.without_spans(docs))
+    return with_length(substring_dedup.without_spans(docs, keep_emptied=False))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids; null and empty texts are one id, null and repeated ids are documents of their own."""
     ship_package(spark)
     return packing.pack_documents(docs)
 
@@ -52,9 +50,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of what the stages keep of ``documents``. Each stage reads what the one before has written, which goes when the next is written.
+
+    Null texts fail the quality rules. An empty table gives no pieces; columns beyond doc_id, text, lang and source are carried along, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
