@@ -186,21 +186,17 @@ def _links(mine: list[tuple], other: list[tuple], percent: int) -> Iterator[tupl
 
 
 def _promising(mine: tuple, other: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which members (components, sizes, registers) of two sides have a partner of another component whose estimate is not clearly below the threshold."""
+    """Which members (components, sizes, registers) of two sides have a partner of another component whose sketch is not clearly below the threshold."""
     (part_a, n_a, r_a), (part_b, n_b, r_b) = mine, other
-    registers = r_a.shape[1]
-    likely = percent / 100
-    # Equal registers are a binomial number of at least the Jaccard index; six standard deviations leave nothing out.
-    least = registers * likely - 6 * math.sqrt(registers * likely * (1 - likely))
+    registers, share = r_a.shape[1], percent / 100
+    # The number of equal registers is binomial, with the Jaccard index or more as its probability; six standard deviations leave nothing out.
+    least = registers * share - 6 * math.sqrt(registers * share * (1 - share))
     hit_a, hit_b = np.zeros(len(part_a), bool), np.zeros(len(part_b), bool)
     for k in range(len(part_a)):
         close = np.flatnonzero((part_b != part_a[k]) & (100 * np.minimum(n_b, n_a[k]) >= percent * np.maximum(n_b, n_a[k])))
         close = close[(r_b[close] == r_a[k]).sum(axis=1) >= least]
-        if len(close):
-            found = likely_jaccard(np.repeat(r_a[k : k + 1], len(close), axis=0), r_b[close], np.full(len(close), float(n_a[k])), n_b[close].astype(float))
-            close = close[found >= likely - 6 * math.sqrt(0.25 / registers)]
-            hit_b[close] = True
-            hit_a[k] |= len(close) > 0
+        hit_b[close] = True
+        hit_a[k] = len(close) > 0
     return hit_a, hit_b
 
 
