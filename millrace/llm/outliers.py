@@ -218,7 +218,13 @@ def estimates(members: DataFrame, *, share: float = 0.75) -> DataFrame:
     return out
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), vectors_per_statistic: int = 5, cutoff: float = 0.99999, share: float = 0.75, carry: bool = False) -> DataFrame:
+def _marks(*columns: str) -> dict[str, Column]:
+    """Two digests of a row's ``columns``; a null differs from all values."""
+    said = F.to_json(F.struct(*(F.isnull(c).alias(f"n{k}") for k, c in enumerate(columns))))
+    return {"h1": F.xxhash64(said, *columns), "h2": F.xxhash64(F.lit("second"), said, *columns)}
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), vectors_per_statistic: int = 5, cutoff: float = 0.99999, share: float = 0.75, marks: bool = False) -> DataFrame:
     """Per row of ``docs``: id, ``COUNTS``, ``base_failed``, ``distance`` (squared) and ``tail`` (the probability of one so great), both null where nothing was estimated, ``level`` and ``kept``.
 
     Base rules: at least 50 words, and at most half of the words in three-word windows that occur twice or more.
@@ -226,11 +232,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     ``group``, of its ``language`` or of ``all`` rows; the next is taken where one does not vary at all or has too few different vectors, fewer than five for each statistic, below which such
     estimates are held to be unsound. Without any (null level) the base rules decide. A row is kept if it passes the base rules and its tail is at least 1 - ``cutoff``.
     Null languages and sources are groups of their own; a null or empty text has no words and fails. Null and repeated ids are rows of their own; of other
-    columns nothing is read. An empty table gives an empty result. ``carry``: adds ``row``, the row of ``docs`` as it was, so that nothing need be joined to it.
+    columns nothing is read. An empty table gives an empty result. ``marks``: adds the digests ``h1`` and ``h2`` of what a verdict hangs on besides all other rows.
     """
     language, source = group_cols
-    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.to_json(F.struct(F.col(language).alias("l"))).alias("__l"), F.to_json(F.struct(F.col(language).alias("l"), F.col(source).alias("s"))).alias("__g"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
-    extra = ["row"] if carry else []
+    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.to_json(F.struct(F.col(language).alias("l"))).alias("__l"), F.to_json(F.struct(F.col(language).alias("l"), F.col(source).alias("s"))).alias("__g"), *(mark.alias(name) for name, mark in (_marks(text_col, language, source).items() if marks else ())))
+    extra = ["h1", "h2"] if marks else []
     stats = transformed(word_statistics(named, text_col="__t", keep=("__id", "__l", "__g", *extra)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", failed), "outlier-statistics")
@@ -263,3 +269,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     discard(*old)
     kept = ~F.col("base_failed") & F.coalesce(F.col("tail") >= 1 - cutoff, F.lit(True))
     return scored.select(F.col("__id").alias(id_col), *COUNTS, "base_failed", "distance", "tail", "level", kept.alias("kept"), *extra)
+
+
+def without_outliers(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, str] = ("lang", "source"), **settings) -> DataFrame:
+    """``docs`` less the rows that ``judge`` does not keep. A verdict is found again by the text, language and source that it was made for, so it holds for
+    all rows with them and lands on no other row, however rows are split and whatever their ids."""
+    gone = judge(docs, id_col=id_col, text_col=text_col, group_cols=group_cols, marks=True, **settings).where("not kept").select("h1", "h2").distinct()
+    own = _marks(*(docs[c] for c in (text_col, *group_cols)))
+    return docs.join(gone, (own["h1"] == gone["h1"]) & (own["h2"] == gone["h2"]), "left_anti")

@@ -39,7 +39,7 @@ def plain_estimate(vectors, share=0.75):
 
 def test_estimates_and_verdicts_are_those_of_a_plain_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = outliers.judge(docs, carry=True).select("*", "row.lang", "row.source", "row.text").collect()
+    rows = outliers.judge(docs).join(docs, "doc_id").collect()
     stats = {}
     for r in rows:
         words = regex.findall("[^\x20\x09-\x0d]+", r.text or "")
@@ -114,9 +114,9 @@ def test_statistics_that_do_not_vary_are_left_out(spark):
     assert [(r.level, r.kept) for r in outliers.judge(same).select("level", "kept").distinct().collect()] == [(None, True)]
 
 
-def test_rows_are_carried_as_they_were(spark):
+def test_verdicts_land_on_their_own_rows(spark):
     rng = random.Random(3)
-    rows = [(k % 3 or None, prose(rng, 30 + k), "en", "a") for k in range(60)]
-    docs = documents(spark, rows).withColumns({"distance": F.lit("x"), "kept": F.lit("y"), "key": F.lit(1), "row": F.lit("z"), "__id": F.lit(2)})
-    out = outliers.judge(docs, carry=True)
-    assert out.select("row.*").exceptAll(docs).count() == 0 and out.count() == 60 and out.select("row.*").columns == docs.columns
+    rows = [(k % 3 or None, prose(rng, 30 + k), rng.choice(["en", None]), "a") for k in range(60)]
+    docs = documents(spark, rows).withColumns({"distance": F.lit("x"), "kept": F.lit("y"), "key": F.lit(1), "h1": F.lit("z"), "__id": F.lit(2)})
+    out = outliers.without_outliers(docs)
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == sorted(t for _, t, *_ in rows if len(t.split()) >= 50)
