@@ -11,8 +11,8 @@ from millrace.session import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules. Whole rows go through the rules, so a verdict can land on no other row; rows with null or repeated ids are judged by their own text."""
-    return outliers.judge(docs, carry=True).where("kept").select("row.*")
+    """Documents that pass the quality rules; rows with null or repeated ids are judged by their own text."""
+    return outliers.without_outliers(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
