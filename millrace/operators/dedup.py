@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import shared_dir
+from millrace.sources.shared import discard, written
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage of an iteration."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranks ``r`` that a scan keeps, of rows (r, k) in order of r."""
+    held: set[str] = set()
+    now, keys = None, []
 
+    def closed() -> list:
+        if now is None or not held.isdisjoint(keys):
+            return []
+        held.update(keys)
+        return [now]
 
-def exact_dedup(df: DataFrame, rank: str, keys: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
+    out: list = []
+    for batch in batches:
+        for r, k in batch.itertuples(index=False):
+            if r != now:
+                out += closed()
+                now, keys = r, []
+            keys.append(k)
+    out += closed()
+    yield pd.DataFrame({"r": out})
+
+
+def exact_dedup(df: DataFrame, rank: str, keys: list[str], optional: tuple[str, ...] = (), few: int = 100_000) -> DataFrame:
     """The rows that a scan by ``rank`` keeps when it drops each row that shares a key with a row kept before; a dropped row reserves nothing.
 
     Rounds instead of a scan: a row that has the least rank among the undecided rows of all its keys is kept, undecided rows that share a
     key with it are dropped, until nothing is undecided (Blelloch, Fineman and Shun, 2012). Null keys never
-    conflict, nor do empty ones of the columns in ``optional``. Ranks must differ.
+    conflict, nor do empty ones of the columns in ``optional``. Ranks must differ. In random orders few rounds decide nearly all rows, but rows that each conflict with
+    the next in rank alone are decided two a round; so once at most ``few`` keys of undecided rows are left, one task scans those. More than that in such chains take as many rounds as they are long.
     """
     keyed = F.array(*(F.when(F.col(k) != "", F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) if k in optional else F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in keys))
     links = written(df.select(F.col(rank).alias("r"), F.explode(F.filter(keyed, lambda k: k.isNotNull())).alias("k")), "dedup-keys")
     kept = written(df.select(F.col(rank).alias("r")).join(links.select("r"), "r", "left_anti"), "dedup-kept")
-    while True:
+    parts, old = [kept], [links]
+    while links.limit(few + 1).count() > few:
         least = links.groupBy("k").agg(F.min("r").alias("m"))
         winners = written(links.join(least, "k").groupBy("r").agg(F.min(F.expr("r = m")).alias("w")).where("w").select("r"), "dedup-winners")
         taken = links.join(winners, "r", "left_semi").select("k").distinct()
         gone = links.join(taken, "k", "left_semi").select("r").distinct()
-        rest = written(links.join(gone, "r", "left_anti"), "dedup-keys")
-        kept = kept.unionByName(winners)
-        if rest.isEmpty():
-            break
-        links = rest
+        parts.append(winners)
+        links = written(links.join(gone, "r", "left_anti"), "dedup-keys")
+        old.append(links)
+    kind = df.schema[rank].dataType.simpleString()
+    parts.append(written(links.repartition(1).sortWithinPartitions("r", "k").mapInPandas(_scan, f"r {kind}"), "dedup-winners"))
+    discard(*old)
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.unionByName(part)
     return df.join(kept.withColumnRenamed("r", "__r"), F.col(rank) == F.col("__r"), "left_semi")
 
 
@@ -94,9 +116,12 @@ def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         spread = labels.join(heard, "id", "left").select("id", "component", F.least("component", "other").alias("new"))
         jump = spread.select(F.col("id").alias("new"), F.col("new").alias("root"))
         after = written(spread.join(jump, "new", "left").select("id", "component", F.least("new", "root").alias("new")), "labels")
-        if after.where("new < component").isEmpty():
-            return after.select("id", F.col("new").alias("component"))
+        discard(labels)
         labels = after.select("id", F.col("new").alias("component"))
+        if after.where("new < component").isEmpty():
+            discard(both)
+            return labels
+        labels._millrace_path = after._millrace_path
 
 
 def near_dedup(df: DataFrame, rank: str, text_col: str, fallback_col: str | None = None, *, threshold: float = 0.93, neighbors: int | None = 8, max_features: int | None = 45_000) -> DataFrame:

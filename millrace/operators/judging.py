@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,4 +47,11 @@ def judge(df: DataFrame, limit: int, ask: Callable[[str, str], tuple[float, str]
 
     best = df.orderBy(F.desc("deterministic_reward"), tie).limit(limit)
     answer = F.coalesce(F.element_at(F.filter("messages", lambda m: m["role"] == "assistant"), -1)["content"], F.lit(""))
-    return best.select("message_hash", F.substring("task_prompt", 1, 1800), F.right(answer, F.lit(2200))).mapInPandas(rows, schema)
+    return best.select("message_hash", F.substring("task_prompt", 1, 1800).alias("prompt"), F.right(answer, F.lit(2200)).alias("answer")).mapInPandas(rows, schema)
+
+
+def append_verdicts(verdicts: DataFrame, path: str) -> None:
+    """Append verdicts (message_hash, score, reason, api_success) to the log at ``path``: a folder of JSON lines, which ``sources.readers.judge_cache`` reads. Files of later runs sort behind those of earlier ones."""
+    glm = F.struct("score", "reason", "api_success").alias("glm")
+    lines = verdicts.select(F.to_json(F.struct("message_hash", glm), {"ignoreNullFields": "false"}).alias("value"))
+    lines.coalesce(1).write.mode("append").text(f"{path}/run={time.time_ns():020d}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,50 +49,57 @@ def group_summary(df: DataFrame, reward: str = "final_reward", tie: str = "index
     return rows.collect()
 
 
-def objective(val_n: int, val_levels: Counter, val_reward: float, n: int, levels: Counter, mean: float, deviation: float) -> float:
-    """Relative error of the level counts, plus the gap of mean rewards in standard deviations."""
-    share = val_n / n
-    error = sum(abs(val_levels[level] - count * share) / max(1.0, count * share) for level, count in levels.items())
-    return error + abs(val_reward / val_n - mean) / max(deviation, 1e-8)
+def _first_fits(orders: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """Which groups each order (a row of group numbers) takes when it goes along and takes what still fits into ``room``: a row of flags by group number."""
+    taken = np.zeros(orders.shape, bool)
+    left = np.full(len(orders), room)
+    rows = np.arange(len(orders))
+    for column in orders.T:
+        fits = sizes[column] <= left
+        left = left - np.where(fits, sizes[column], 0)
+        taken[rows, column] = fits
+    return taken
+
+
+def misfits(taken: np.ndarray, sizes: np.ndarray, levels: np.ndarray, rewards: np.ndarray, mean: float, deviation: float) -> np.ndarray:
+    """How unlike the whole pool the taken groups of each row are: relative errors of the level counts, plus the gap of mean rewards in standard deviations."""
+    n = taken @ sizes
+    expected = np.outer(n / sizes.sum(), levels.sum(axis=0))
+    errors = (np.abs(taken @ levels - expected) / np.maximum(1.0, expected)).sum(axis=1)
+    return errors + np.abs(taken @ rewards / n - mean) / max(deviation, 1e-8)
 
 
 def group_split(pool: DataFrame, val_size: int, seed: int = 42, trials: int = 8000, reward: str = "final_reward", tie: str = "index") -> DataFrame:
     """``pool`` with ``split`` (train or validation): whole groups of exactly ``val_size`` rows go to validation.
 
-    Of ``trials`` shuffles of the groups, each filled in order as far as groups fit, the first with the least objective wins. Only one row
+    Of ``trials`` successive shuffles of the groups, each filled in order as far as groups fit, the first with the least misfit wins. Only one row
     for each group of the pool, whose size is a setting, comes to the driver. Raises ValueError if no shuffle fits.
     """
     groups = group_summary(pool, reward, tie)
+    names = sorted({x["level"] for g in groups for x in g["levels"]}, key=str)
+    sizes, rewards = np.asarray([g["n"] for g in groups], np.int64), np.asarray([g["reward"] for g in groups], float)
+    levels = np.zeros((len(groups), len(names)))
+    for k, g in enumerate(groups):
+        for x in g["levels"]:
+            levels[k, names.index(x["level"])] = x["n"]
     stats = pool.agg(F.avg(reward), F.stddev_pop(reward)).first()
-    total = sum(g["n"] for g in groups)
-    levels: Counter = Counter()
-    for g in groups:
-        for level in g["levels"]:
-            levels[level["level"]] += level["n"]
-    size = {g["group"]: g["n"] for g in groups}
-    gain = {g["group"]: g["reward"] for g in groups}
-    by_level = {g["group"]: Counter({x["level"]: x["n"] for x in g["levels"]}) for g in groups}
-    names, rng, best, least = [g["group"] for g in groups], random.Random(seed), None, float("inf")
-    for _ in range(trials):
-        rng.shuffle(names)
-        chosen, count = [], 0
-        for name in names:
-            if count + size[name] <= val_size:
-                chosen.append(name)
-                count += size[name]
-                if count == val_size:
-                    break
-        if count != val_size or not chosen:
-            continue
-        found: Counter = Counter()
-        for name in chosen:
-            found.update(by_level[name])
-        value = objective(count, found, sum(gain[name] for name in chosen), total, levels, stats[0], stats[1])
-        if value < least:
-            least, best = value, set(chosen)
+    order, shuffle = list(range(len(groups))), random.Random(seed).shuffle
+    least, best = math.inf, None
+    for start in range(0, trials, 500):
+        orders = np.empty((min(500, trials - start), len(groups)), np.int64)
+        for row in orders:
+            shuffle(order)
+            row[:] = order
+        taken = _first_fits(orders, sizes, val_size)
+        exact = taken[(taken @ sizes == val_size) & taken.any(axis=1)]
+        if len(exact):
+            found = misfits(exact, sizes, levels, rewards, stats[0], stats[1])
+            if found.min() < least:
+                least, best = found.min(), exact[found.argmin()]
     if best is None:
         raise ValueError("no whole groups add up to the validation size: try another seed or max_per_group")
-    return pool.withColumn("split", F.when(F.col("group").isin(sorted(best)), "validation").otherwise("train"))
+    held = [groups[k]["group"] for k in np.flatnonzero(best)]
+    return pool.withColumn("split", F.when(F.col("group").isin(held), "validation").otherwise("train"))
 
 
 def split_checks(split: DataFrame) -> DataFrame:

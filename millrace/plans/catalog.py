@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from millrace.functions import text as X
 from millrace.operators import commerce, dedup, encoding, guard, judging, profiling, scenario, selection, trajectory
 from millrace.session import ship_package
 from millrace.sources import sinks
+from millrace.sources.shared import written
 from millrace.streaming import trend
 
 from .adapters import PART_WORDS, TRAJ, TXN, _category_sql, _fraction, table, trajectories, transactions
@@ -293,17 +295,19 @@ def python_syntax(spark, d):
     return trajectories(spark, d).select("id", trajectory.syntax_score(X.code_blocks(trajectory.joined(F.col("messages"), "assistant"))).alias("syntax_score"))
 
 
-@query(f"WITH {TRAJ}, {_REWARD}, p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY final_reward DESC, idx) AS place FROM rw) SELECT id, grp AS \"group\", final_reward FROM p WHERE place <= 3 ORDER BY final_reward DESC, idx LIMIT 40")
+@query(f"WITH {TRAJ}, {_REWARD}, p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY final_reward DESC, idx) AS place FROM rw) SELECT id, grp AS \"group\", final_reward FROM p WHERE place <= 6 ORDER BY final_reward DESC, idx LIMIT 2500")
 def capped_topk(spark, d):
     scored = _scored(spark, d).withColumn("final_reward", F.round("final_reward", 8))
-    return selection.capped_pool(scored, 40, 3).select("id", "group", "final_reward")
+    return selection.capped_pool(scored, 2500, 6).select("id", "group", "final_reward")
 
 
 def _split(spark, d) -> DataFrame:
-    pool = selection.capped_pool(_scored(spark, d).withColumn("final_reward", F.round("final_reward", 8)), 40, 3)
-    from millrace.operators.dedup import written
-
-    return selection.group_split(written(pool, "pool"), 10, trials=500)
+    plain = selection.Selection()
+    pool = written(selection.capped_pool(_scored(spark, d).withColumn("final_reward", F.round("final_reward", 8)), plain.train_size + plain.val_size, plain.max_per_group), "pool")
+    # Where there are fewer conversations than a production pool has, validation takes the first groups that hold a fifth of them: a size that whole groups reach.
+    sizes = [r["count"] for r in pool.groupBy("group").count().orderBy("group").collect()]
+    fifth = next(n for n in itertools.accumulate(sizes) if 5 * n >= sum(sizes))
+    return selection.group_split(pool, min(plain.val_size, fifth), plain.seed, plain.trials)
 
 
 @query()
@@ -316,7 +320,10 @@ def split_checks(spark, d):
     return selection.split_checks(_split(spark, d)).withColumn("overlap", F.col("overlap").cast("int"))
 
 
-@query(f"WITH {TRAJ}, c AS (SELECT least(40, sum(least(n, 3))) AS n FROM (SELECT count(*) AS n FROM traj GROUP BY grp)) SELECT 'train' AS split, CAST(n - 10 AS INT) AS n FROM c UNION ALL SELECT 'validation', 10")
+@query(
+    f"""WITH {TRAJ}, g AS (SELECT grp, least(count(*), 6) AS k FROM traj GROUP BY grp), c AS (SELECT sum(k) OVER (ORDER BY grp) AS s, sum(k) OVER () AS n FROM g), v AS (SELECT max(n) AS n, min(s) FILTER (5 * s >= n) AS v FROM c)
+ SELECT 'train' AS split, CAST(n - v AS INT) AS n FROM v UNION ALL SELECT 'validation', CAST(v AS INT) FROM v"""
+)
 def split_stats(spark, d):
     return selection.split_stats(_split(spark, d)).select("split", F.col("n").cast("int"))
 

@@ -19,6 +19,14 @@ def _bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def _in_order(df: DataFrame) -> list:
+    """Columns that put the lines of text files into the order of the files, however they are split: file, start of the split, line within it."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__line")]
+
+
+_ORDER = ("__file", "__start", "__line")
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256 in upper-case hex) of the files at ``path``."""
     return _bytes(spark, path).select("path", F.upper(F.sha2("content", 256)).alias("sha256"))
@@ -46,8 +54,8 @@ def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = F
     """
     if lines:
         rows = spark.read.text(path).where(F.trim("value") != "")
-        items = rows.select(F.monotonically_increasing_id().alias("position"), F.parse_json("value").alias("item"))
-        items = trajectory.global_rank(items, F.col("position").asc()).select(F.col("__rank").alias("index"), "item")
+        items = rows.select(*_in_order(rows), F.parse_json("value").alias("item"))
+        items = trajectory.global_rank(items, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("index"), "item")
     else:
         whole = _bytes(spark, path).select(F.decode("content", "UTF-8").alias("text"))
         if whole.where(~F.startswith(F.ltrim(F.regexp_replace("text", r"(?U)^\s+", "")), F.lit("["))).limit(1).count():
@@ -66,7 +74,9 @@ def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = F
 
 def training_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """(index, messages) of JSON lines for training: role and content as text whatever their type, messages without both and lines without messages left out; ``limit`` counts lines that are kept."""
-    items = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("index"), F.parse_json("value").alias("item"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    items = lines.select(*_in_order(lines), F.parse_json("value").alias("item"))
+    items = trajectory.global_rank(items, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("index"), "item")
     raw = F.coalesce(F.try_variant_get("item", "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     text = lambda m, name: F.try_variant_get(m, f"$.{name}", "string")
     both = F.filter(F.transform(raw, lambda m: F.struct(text(m, "role").alias("role"), text(m, "content").alias("content"))), lambda m: m["role"].isNotNull() & m["content"].isNotNull())
@@ -120,7 +130,9 @@ def judge_cache(spark: SparkSession, path: str) -> DataFrame:
     """(position, message_hash, score, reason, api_success) of a verdict log."""
     glm = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType()), T.StructField("api_success", T.BooleanType())])
     schema = T.StructType([T.StructField("message_hash", T.StringType()), T.StructField("glm", glm)])
-    return spark.read.schema(schema).json(path).select(F.monotonically_increasing_id().alias("position"), "message_hash", "glm.*")
+    log = spark.read.schema(schema).json(path)
+    log = log.select(*_in_order(log), "message_hash", "glm.*")
+    return trajectory.global_rank(log, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("position"), "message_hash", "score", "reason", "api_success")
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:

@@ -242,3 +242,71 @@ def test_streaming_trend_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((str(r.start), r.event_type, r.n) for r in df.collect())
     assert key(spark.table("trend")) == key(event_trend(source))
+
+
+def item(id_, prompt, answer, group, level="Easy"):
+    return {"id": id_, "db_id": group, "level": level, "extra": {"kept": [1, None]}, "messages": [{"role": "user", "content": prompt}, {"role": "assistant", "content": answer}]}
+
+
+def test_curation_from_file_to_outputs(spark, tmp_path):
+    import json
+
+    from millrace.plans import curation
+    from millrace.sources import readers
+
+    names = "copper lemon river violin harbour saddle meadow candle thunder walnut pepper glacier".split()
+    items = [item(f"t{i}", " ".join(names[(i + k) % 12] for k in (0, 1, 3, 5)), f"```python\nprint({i})\n```<answer>{n} {i}</answer>", f"db{i % 4}", "Easy" if i % 2 else "Hard") for i, n in enumerate(names)]
+    items += [item("t0", "Another task altogether with its own words", "x", "db9"), item("t98", items[1]["messages"][0]["content"], "short", "db1"), item("t99", items[2]["messages"][0]["content"] + "!", "short", "db2")]
+    items[0]["_selection"] = {"old": True}
+    source = tmp_path / "in.json"
+    source.write_text(json.dumps(items))
+    settings = selection.Selection(train_size=9, val_size=3, max_per_group=3, trials=200)
+    found = curation.run(spark, f"file://{source}", f"file://{tmp_path}/out", settings)
+    # t0 and t98 repeat an id and a prompt; t99 has a prompt that is the same but for one mark.
+    assert (found.source, found.source - found.after_exact >= 2, found.after_near) == (15, True, 12)
+    manifest = json.loads((tmp_path / "out/selection_manifest.json").read_text())
+    assert manifest["checks"] == {"group_overlap_count": 0, "id_overlap_count": 0, "message_hash_overlap_count": 0}
+    assert manifest["selection"]["exact_duplicates_removed"] + manifest["selection"]["near_duplicates_removed"] == 3
+    assert manifest["distributions"]["train_groups"] + manifest["distributions"]["validation_groups"] == 4 and len(manifest["input"]["sha256"]) == 1
+    lines = [json.loads(x) for part in sorted((tmp_path / "out/train_metadata.jsonl").glob("part-*")) for x in part.read_text().splitlines()]
+    assert len(lines) == 9 and all(x["extra"] == {"kept": [1, None]} and x["_selection"]["split"] == "train" and x["_selection"]["glm"] is None for x in lines)
+    assert [x["_selection"]["metrics"]["final_reward"] for x in lines] == sorted((x["_selection"]["metrics"]["final_reward"] for x in lines), reverse=True)
+    audit = (next((tmp_path / "out/selection_audit.csv").glob("part-*"))).read_text(encoding="utf-8")
+    assert audit.startswith("﻿split,id,group") and audit.count("split,id") == 1 and len(audit.splitlines()) == 13
+    # Metadata can be read again, in the order of the file.
+    again = readers.trajectories(spark, f"file://{tmp_path}/out/train_metadata.jsonl", lines=True).orderBy("index").collect()
+    assert [r.id for r in again] == [x["id"] for x in lines] and all(r["raw"].count('"_selection"') == 1 for r in again)
+    with pytest.raises(ValueError, match="are needed"):
+        curation.run(spark, f"file://{source}", f"file://{tmp_path}/no", selection.Selection(train_size=20, val_size=4, max_per_group=3, trials=5))
+
+
+def test_verdicts_are_cached_and_failures_tried_again(spark, tmp_path):
+    from millrace.plans import curation
+    from millrace.sources import readers
+
+    names = "copper lemon river violin harbour saddle".split()
+    items = [item(f"t{i}", f"{n} {m}", f"answer {n}", f"g{i}") for i, (n, m) in enumerate(zip(names, names[1:] + names[:1]))]
+    rows = [(i, x["id"], x["db_id"], x["level"], [(m["role"], m["content"]) for m in x["messages"]]) for i, x in enumerate(items)]
+    df = spark.createDataFrame(rows, "index long, id string, group string, level string, messages array<struct<role:string,content:string>>")
+    settings = selection.Selection(train_size=4, val_size=2, max_per_group=1, trials=50)
+    path = f"file://{tmp_path}/cache"
+
+    def ask(prompt, answer):
+        if prompt.startswith("lemon"):
+            raise RuntimeError("down")
+        return (5, "good") if prompt.startswith("river") else (2, "poor")
+
+    curation.curate(df, settings, ask=ask, judged=6, cache_path=path)
+    first = readers.judge_cache(spark, path).collect()
+    assert len(first) == 6 and sum(r.api_success for r in first) == 5
+    split = curation.curate(df, settings, ask=lambda p, a: (4, "late"), judged=6, cache=readers.judge_cache(spark, path), cache_path=path).split
+    later = readers.judge_cache(spark, path).orderBy("position").collect()
+    assert len(later) == 7 and later[-1].reason == "late" and split.where("glm_api_success").count() == 6
+
+
+def test_chains_of_conflicts_end_in_a_scan(spark):
+    # Each row conflicts with the next in rank only.
+    df = spark.createDataFrame([(i, f"a{i // 2}", f"b{(i + 1) // 2}", None if i else "x") for i in range(60)], "rank long, a string, b string, c string")
+    for few in (1000, 0):
+        kept = sorted(r["rank"] for r in dedup.exact_dedup(df.where("rank < 12") if few == 0 else df, "rank", ["a", "b", "c"], few=few).collect())
+        assert kept == list(range(0, 12 if few == 0 else 60, 2))
