@@ -35,15 +35,18 @@ _WORD = re.compile(rf"[{_A}]+|[!-&(-/:-@\[-`{{-~]+|[0-9]")
 
 
 class WordBPE:
-    """Ids of whole texts by the tokenizers library, remembered part by part. Names of special tokens in a text are ordinary text."""
+    """Ids of whole texts by the tokenizers library, remembered part by part. Names of special tokens in a text are those tokens, as the library has it, or with ``special_as_text`` ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        named = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with such a name go to the library whole.
+        self.special = re.compile("|".join(named), re.I) if named and not special_as_text else None
         self.merges = self.tokenizer.model.tokenize
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         #: Latin-1 letters as the characters that stand for their UTF-8 bytes.
@@ -59,12 +62,15 @@ class WordBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.memo.__getitem__, _PARTS.findall(text)))
 
 
-@lru_cache(maxsize=1)
-def _loaded(path: str) -> WordBPE:
-    return WordBPE(path)
+@lru_cache(maxsize=2)
+def _loaded(path: str, special_as_text: bool) -> WordBPE:
+    return WordBPE(path, special_as_text)
 
 
 class Room:
@@ -183,11 +189,12 @@ def packed(documents: Iterable[tuple[object, bytes]], window: int, block_ids: in
     yield from flush(True)
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, window: int = 2048, block_ids: int = 4_000_000, waste: float = 0.01) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, window: int = 2048, block_ids: int = 4_000_000, waste: float = 0.01, special_as_text: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``window`` ids.
 
-    A document's ids are those of its text without special tokens, then ``end_id``; a null or empty text is
-    that one id. Per piece: id, start (the document's ids before it), length, ids_crc32, doc_tokens,
+    A document's ids are those of its text without special tokens added, then ``end_id``; a null or empty text is
+    that one id. Names of special tokens that stand in a text are encoded as the library does by default, with ``special_as_text`` as ordinary text.
+    An empty table gives no pieces. Per piece: id, start (the document's ids before it), length, ids_crc32, doc_tokens,
     sequence_id and offset (gapless from 0). A sequence is padded to the window by whoever reads it, unless its
     length is a power of two; only windows that lack at most ``waste`` of their length are left unfilled. A
     document is cut at multiples of the window and, in windows that best fit leaves emptier, where they are cut
@@ -201,7 +208,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("window must be a power of two")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
-        bpe = _loaded(path)
+        bpe = _loaded(path, special_as_text)
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1)):
                 yield name.as_py(), bpe.encode(text.as_py() or "") + end

@@ -113,11 +113,15 @@ def test_best_fit_takes_the_tightest_window():
     assert sorted(64 - sum(lengths[i] for i in w) for w in found) == sorted(room)
 
 
-def test_word_parts_have_the_ids_of_whole_texts():
-    own, rng = packing.WordBPE(P.path("word_bpe_49k.json")), np.random.default_rng(4)
-    letters = list("ab'st llZÉé1½.,—≠\n\t\x1c ΣİK日<|endoftext|>")
-    odd = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
-    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == e.ids for t, e in zip(odd, own.tokenizer.encode_batch(odd, add_special_tokens=False)))
+@pytest.mark.parametrize("as_text", [False, True])
+def test_word_parts_have_the_ids_of_whole_texts(as_text):
+    own, rng = packing.WordBPE(P.path("word_bpe_49k.json"), as_text), np.random.default_rng(4)
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    if as_text:
+        lib.encode_special_tokens = True
+    letters = [*"ab'st llZÉé1½.,—≠\n\t\x1c ΣİK日<|endoftext|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    odd = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + ["hello <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>b"]
+    assert all(np.frombuffer(own.encode(t), "<u4").tolist() == e.ids for t, e in zip(odd, lib.encode_batch(odd, add_special_tokens=False)))
 
 
 def test_quality_base_rules(spark):
