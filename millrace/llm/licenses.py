@@ -26,11 +26,11 @@ NAMES = {
     "BSD-2-Clause": ["BSD 2-Clause License"],
     "BSD-3-Clause": ["BSD 3-Clause License"],
     "ISC": ["ISC License"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GPLv2"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GPLv3"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
-    "AGPL-3.0": ["GNU Affero General Public License, version 3"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPLv2", "GNU GPL v2", "GPL version 2", "GNU GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPLv3", "GNU GPL v3", "GPL version 3", "GNU GPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL version 3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL version 3"],
     "MPL-2.0": ["Mozilla Public License, version 2.0"],
     "EPL-2.0": ["Eclipse Public License, version 2.0"],
     "Unlicense": ["Unlicense"],
@@ -40,29 +40,41 @@ NAMES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "BSD": ["BSD License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
 #: How short notices speak of a license.
-FORMS = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}."]
+FORMS = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "This file is licensed under the {}."]
+#: How notices speak of a license by its identifier, and what identifiers of the GNU licenses end in.
+IDENTIFIER_FORMS = ["SPDX-License-Identifier: {}", "Licensed under {}.", "Licensed under the {} license.", "Released under the {} license."]
+IDENTIFIER_ENDS = ["", "-only", "-or-later"]
 #: Notices that are no form of a name.
 NOTICES = {
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."],
     "All-rights-reserved": ["All rights reserved.", "Copyright (c) All rights reserved."],
     "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
-    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
-    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
 }
-#: A notice has one of these at least.
-_TRIGGER = re.compile(r"licen[cs]e|copyright|©|rights?\s+reserved|hereby\s+granted|redistribut|public\s+domain|creative\s+commons|\bcc0\b|\bcc\s+by", re.I)
+#: A notice has one of these at least; every template does.
+_TRIGGER = re.compile(r"licen[cs]e|(?:released|distributed)\s+under|copyright|©|rights?\s+reserved|hereby\s+granted|redistribut|public\s+domain|creative\s+commons|\bcc0\b|\bcc\s+by", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 #: Words of notices in general; all others of a template tell licenses apart.
-_COMMON = frozenset(w for form in FORMS for w in form.replace("{}", "").lower().replace(".", "").split()) | {"license", "licence", "version", "international", "universal"}
+_COMMON = frozenset(w for form in FORMS + IDENTIFIER_FORMS for w in form.replace("{}", "").lower().replace(".", "").replace(":", "").split()) | {"license", "licence", "version", "international", "universal", "software"}
 
 
 #: Words from which on a template is a long one, of whose words most tell nothing.
@@ -85,6 +97,8 @@ class Templates:
         self.given = [zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(template).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, template in texts]
         self.sizes = [len(self.plain.compress(" ".join(template).encode())) for _, template in texts]
         self.longest = max(len(template) for _, template in texts)
+        #: Words that a stretch must have, whatever else may differ: those of a short template that tell licenses apart.
+        self.needed = [frozenset(template) - _COMMON if len(template) < _LONG else frozenset() for _, template in texts]
         self.holders: dict[str, list[tuple[int, int]]] = {}
         for k, (_, template) in enumerate(texts):
             for word, times in Counter(template).items():
@@ -96,7 +110,8 @@ class Templates:
         for word, n in Counter(block).items():
             for k, times in self.holders.get(word, ()):
                 same[k] += min(n, times)
-        return [k for k, n in same.items() if len(self.texts[k][1]) - n <= most_different * len(self.texts[k][1])]
+        held = set(block)
+        return [k for k, n in same.items() if len(self.texts[k][1]) - n <= most_different * len(self.texts[k][1]) and self.needed[k] <= held]
 
     def ranked(self, block: list[str], most_different: float) -> list[int]:
         """Templates that could be confirmed, by how many of the bytes that each takes alone it saves in ``block``, so that other words of the block count for nothing."""
@@ -168,12 +183,14 @@ def told_apart(template: list[str], stretch: list[str], after: list[str]) -> boo
 def _templates() -> tuple[Templates, Templates]:
     """Long and short templates."""
     texts = [(name, words(form.format(title))) for name, titles in NAMES.items() for title in titles for form in FORMS]
+    texts += [(name, words(form.format(name + end))) for name in NAMES if name != "BSD" for end in (IDENTIFIER_ENDS if "GPL" in name else [""]) for form in IDENTIFIER_FORMS]
     texts += [(name, words(text)) for name, notices in NOTICES.items() for text in notices]
+    texts = [(name, list(said)) for name, said in sorted({(name, tuple(said)) for name, said in texts})]
     return Templates([x for x in texts if len(x[1]) >= _LONG]), Templates([x for x in texts if len(x[1]) < _LONG])
 
 
-def confirmed(templates: Templates, block: list[str], at: int, least_reduction: float, most_different: float, tried: int) -> tuple[str, float, int, int, int, int] | None:
-    """License, size reduction, missing and other words, first word and end of the stretch of ``block`` over word ``at`` that has the fewest differences from a template, of the ``tried`` best by size reduction that are near to such a stretch; of equals the longest template."""
+def confirmed(templates: Templates, block: list[str], at: int, least_reduction: float, most_different: float) -> tuple[str, float, int, int, int, int] | None:
+    """License, size reduction, missing and other words, first word and end of the stretch of ``block`` over word ``at`` that has the fewest differences from a template, of all that save at least ``least_reduction`` of it; of equals the longest template."""
     best = None
     for k in templates.ranked(block, most_different):
         name, template = templates.texts[k]
@@ -187,13 +204,10 @@ def confirmed(templates: Templates, block: list[str], at: int, least_reduction:
             rank = ((len(missing) + other) / len(template), -len(template), -reduction, name)
             if best is None or rank < best[0]:
                 best = rank, (name, reduction, len(missing), other, first, end)
-        tried -= 1
-        if not tried:
-            break
     return best and best[1]
 
 
-def notices(text: str, least_reduction: float, most_different: float, tried: int) -> list[tuple[int, int, str, float, int, int, str]]:
+def notices(text: str, least_reduction: float, most_different: float) -> list[tuple[int, int, str, float, int, int, str]]:
     """Per notice of ``text``: first line, lines, license, size reduction, missing words, other words, block."""
     spans = [m.span() for m in _WORD.finditer(text)]
     own = [text[a:b].lower() for a, b in spans]
@@ -208,7 +222,7 @@ def notices(text: str, least_reduction: float, most_different: float, tried: int
             # A stretch over the trigger has at most so many words before and after it, on its line or on those around.
             most = math.ceil(templates.longest * (1 + most_different))
             low = max(free, at - most)
-            found = confirmed(templates, own[low : at + most + 1 + _FURTHER], at - low, least_reduction, most_different, tried)
+            found = confirmed(templates, own[low : at + most + 1 + _FURTHER], at - low, least_reduction, most_different)
             if not found:
                 continue
             name, reduction, missing, other, first, end = found
@@ -224,12 +238,12 @@ def notices(text: str, least_reduction: float, most_different: float, tried: int
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_reduction: float = 0.2, most_different: float = 0.34, tried: int = 12) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_reduction: float = 0.2, most_different: float = 0.34) -> DataFrame:
     """Notices in whole texts: (id, line, n_lines, license, reduction, n_missing, n_other, block).
 
     A block is the stretch over a word of rights that is nearest to a template, within a line, a line or several; other words around it change nothing,
-    and a line may have several. The ``tried`` best templates by size reduction that have such a stretch
-    are compared word by word; one is confirmed if it makes the block smaller by ``least_reduction``, missing and other words are at most ``most_different`` of its
+    and a line may have several. All templates of whose words it holds enough are ranked by size reduction
+    and compared word by word; one is confirmed if it makes the block smaller by ``least_reduction``, missing and other words are at most ``most_different`` of its
     words and none of them tells licenses apart: names, versions, further conditions, in a short notice all words but those of notices in general. Documents without a notice have no row; null
     and empty texts have none. Null and repeated ids keep their rows, other columns are ignored. No shuffle.
     """
@@ -243,7 +257,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             for name, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 if text and _TRIGGER.search(text):
-                    for notice in notices(text, least_reduction, most_different, tried):
+                    for notice in notices(text, least_reduction, most_different):
                         ids.append(name.as_py())
                         found.append(notice)
             columns = list(zip(*found)) or [[]] * len(kinds)

@@ -384,15 +384,15 @@ def test_long_licenses_and_other_texts():
     text = licenses.NOTICES["MIT"][0]
     words = text.split()
     wrapped = "Intro\n" + "\n".join(" ".join(words[k : k + 12]) for k in range(0, len(words), 12)) + "\nend of it"
-    found = licenses.notices(wrapped, 0.2, 0.34, 12)
+    found = licenses.notices(wrapped, 0.2, 0.34)
     assert found[0][2] == "MIT" and found[0][1] >= 7
     for plain in ("The license of the river was lost.", "Licensed under GPL version 7.", "A copyright question in a story"):
-        assert licenses.notices(plain, 0.2, 0.34, 12) == []
+        assert licenses.notices(plain, 0.2, 0.34) == []
 
 
 def test_notices_within_lines():
     def found(text):
-        return [(r[0], r[1], r[2], r[4], r[5], r[6]) for r in licenses.notices(text, 0.2, 0.34, 12)]
+        return [(r[0], r[1], r[2], r[4], r[5], r[6]) for r in licenses.notices(text, 0.2, 0.34)]
 
     for others in (0, 5, 10, 50, 400):
         around = "plain words of a tale " * (others // 5)
@@ -406,9 +406,33 @@ def test_notices_within_lines():
     assert [r[:5] for r in found("Head\n" + wrapped)] == [(1, 3, "ISC", 0, 0)]
 
 
+def test_identifiers_headers_and_titles():
+    def found(text):
+        return [r[2] for r in licenses.notices(text, 0.2, 0.34)]
+
+    cases = {
+        "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "Licensed under GPL-3.0": "GPL-3.0", "This file is licensed under the GNU GPL v2 or later.": "GPL-2.0", "Released under the BSD license": "BSD", "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+    }
+    assert {text: found(text) for text in cases} == {text: [name] for text, name in cases.items()}
+    for name, notices in licenses.NOTICES.items():
+        for text in notices:
+            assert found(f"Some words before it. {text} And some behind.")[:1] == [name], text
+    # The gate lets every template through, and each is found as its own license.
+    for templates in licenses._templates():
+        assert all(licenses._TRIGGER.search(" ".join(said)) for _, said in templates.texts)
+        assert all(found(" ".join(said)) == [name] for name, said in templates.texts)
+    assert found("SPDX-License-Identifier: NONE-1.0") == [] and found("He wrote about the license of MIT and of the river") == [] and found("Die Lizenz mit dem Hut") == []
+
+
+def test_long_texts_are_scanned_whole():
+    text = "ordinary words of a tale " * 20_000 + "Licensed under the MIT License." + " and so on" * 20_000
+    assert [r[2] for r in licenses.notices(text, 0.2, 0.34)] == ["MIT"]
+
+
 def test_long_notices_of_other_licenses():
     def found(text):
-        return [r[2] for r in licenses.notices(text, 0.2, 0.34, 12)]
+        return [r[2] for r in licenses.notices(text, 0.2, 0.34)]
 
     gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     for what, kind, version, name in (("program", "", "2", "GPL-2.0"), ("library", "", "3", "GPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("program", "Lesser ", "3", "LGPL-3.0"), ("program", "Affero ", "3", "AGPL-3.0")):
