@@ -38,6 +38,7 @@ def verdicts(responses: DataFrame) -> DataFrame:
     wrong = F.lit(False)
     for task, patterns in N.CONTRADICTIONS.items():
         wrong = wrong | ((F.col("task") == task) & _any(low, patterns))
+    # The reasons of a verdict, and above them the patterns of identifiers and numbers.
     reason = (
         F.when(~F.coalesce(F.col("task").isin(*N.CONTRADICTIONS), F.lit(False)), "not-applicable")
         .when(headings, "missing required narrative sections")
@@ -54,6 +55,7 @@ def verdicts(responses: DataFrame) -> DataFrame:
 def cleaned_response(value: Column) -> Column:
     """Markup that no reader should see goes; an open fence is closed; what is too short becomes a fixed message."""
     text = F.replace(F.coalesce(value, F.lit("None")), F.lit("&#x20;"), F.lit(" "))
+    # What markup goes, in this order.
     for pattern, by in ((r"(?is)```(?:xml|svg)\s*.*?(?:```|\z)", ""), (r"(?is)</?(?:code|svg|xml)(?:\s+[^>]*)?>", ""), (r"(?im)^\s*(?:svg|xml)\s*$", ""), (r"(?:\n\s*){3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, by)
     text = strip(text)
