@@ -363,10 +363,19 @@ def best_lr(spark, d):
 # Dedup.
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+#: One row after the other, with what the rows kept so far hold.
+_SCAN = """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, md5(text) AS a, left(text, 40) AS b, lang || '/' || n_chars AS c FROM documents),
+s(i, doc_id, keep, xa, xb, xc) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] UNION ALL
+ SELECT i, doc_id, k, CASE WHEN k THEN list_append(xa, a) ELSE xa END, CASE WHEN k THEN list_append(xb, b) ELSE xb END, CASE WHEN k THEN list_append(xc, c) ELSE xc END
+ FROM (SELECT d.*, xa, xb, xc, NOT (list_contains(xa, a) OR list_contains(xb, b) OR list_contains(xc, c)) AS k FROM s JOIN d ON d.i = s.i + 1))
+SELECT doc_id FROM s WHERE keep"""
+
+
+@query(_SCAN)
 def exact_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("doc_id").cast("string").alias("name"))
-    return dedup.exact_dedup(docs, "doc_id", ["hash", "name"]).select("doc_id")
+    """Documents by text, opening, and language with length: keys that conflict across one another."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.substring("text", 1, 40).alias("opening"), F.concat_ws("/", "lang", "n_chars").alias("measure"))
+    return dedup.exact_dedup(docs, "doc_id", ["hash", "opening", "measure"]).select("doc_id")
 
 
 _TERMS = """w AS (SELECT item_id AS id, unnest(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM benchmark), p AS (SELECT id, ' ' || w || ' ' AS p, count(*) AS c FROM w WHERE w <> '' GROUP BY ALL),
