@@ -43,11 +43,18 @@ def line_keys(text: str, least: int) -> list[bytes | None]:
     return out
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a worker holds few texts at a time."""
+    for batch in batches:
+        for k in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(k, rows)
+
+
 def holdings(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """One row (doc_id, key) for each distinct key of each document of ``docs``; rows that share an id are one document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, keys = [], []
             for name, text in zip(batch.column(0), batch.column(1)):
                 found = {k for k in line_keys(text.as_py() or "", least) if k is not None}
@@ -391,7 +398,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, before, dropped = [], [], []
             for text, keys in zip(batch.column(at), batch.column(len(names))):
                 text = text.as_py()
