@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ class CuckooFilter:
     """Approximate set of 128-bit keys that supports deletion: 16-bit fingerprints in buckets of four, two buckets a key.
 
     A key that was inserted is always found; one that was not is found with a probability of about 1/8,000.
-    The table doubles from the exact keys (``overflow``) when an insertion finds no place.
+    ``of`` doubles the table when there is no place for all keys.
     """
 
     def __init__(self, capacity: int, table: bytes | None = None) -> None:
@@ -95,24 +95,52 @@ class CuckooFilter:
     def _other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995)) & (self.buckets - 1)
 
+    def _all_places(self, keys: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_places`` of many keys; those in Arrow memory become no Python objects."""
+        if isinstance(keys, list):
+            number = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+        else:
+            fixed = keys.cast(pa.binary(16))
+            number = np.frombuffer(fixed.buffers()[1], "<u8").reshape(-1, 2)[fixed.offset : fixed.offset + len(fixed), 0] if len(fixed) else np.zeros(0, np.uint64)
+        mark = (number >> np.uint64(48)) % np.uint64(65_535) + np.uint64(1)
+        first = number & np.uint64(self.buckets - 1)
+        second = (first ^ (mark * np.uint64(0x5BD1E995))) & np.uint64(self.buckets - 1)
+        return mark.astype(np.uint16), first.astype(np.int64), second.astype(np.int64)
+
     def add(self, key: bytes) -> bool:
-        mark, first, second = self._places(key)
+        return self.add_all([key])
+
+    def add_all(self, keys: list[bytes] | pa.Array) -> bool:
+        """Add ``keys``; false, and only some of them added, if there is no place for all."""
+        marks, first, second = self._all_places(keys)
+        left = np.arange(len(marks))
         for bucket in (first, second):
-            row = self.slots[bucket]
-            for slot in range(_SLOTS):
-                if not row[slot]:
-                    row[slot] = mark
-                    return True
-        bucket = first
+            left = left[~self._fill(bucket[left], marks[left])]
+        return all(self._push(int(first[k]), int(marks[k])) for k in left)
+
+    def _fill(self, buckets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Put marks into free slots of their buckets; which of them found one."""
+        order = np.argsort(buckets, kind="stable")
+        sorted_buckets = buckets[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_buckets, sorted_buckets)
+        free = self.slots[sorted_buckets] == 0
+        own = free & (free.cumsum(axis=1) == rank[:, None] + 1)
+        fits = own.any(axis=1)
+        self.slots[sorted_buckets[fits], own.argmax(axis=1)[fits]] = marks[order][fits]
+        out = np.empty(len(order), bool)
+        out[order] = fits
+        return out
+
+    def _push(self, bucket: int, mark: int) -> bool:
+        """Put a mark into a full bucket, and the one that was there into its other bucket, until one finds a free slot."""
         for kick in range(500):
             slot = (kick + bucket) % _SLOTS
             mark, self.slots[bucket, slot] = int(self.slots[bucket, slot]), mark
             bucket = self._other(bucket, mark)
-            row = self.slots[bucket]
-            for free in range(_SLOTS):
-                if not row[free]:
-                    row[free] = mark
-                    return True
+            free = np.flatnonzero(self.slots[bucket] == 0)
+            if len(free):
+                self.slots[bucket, free[0]] = mark
+                return True
         return False
 
     def discard(self, key: bytes) -> None:
@@ -127,21 +155,18 @@ class CuckooFilter:
         mark, first, second = self._places(key)
         return bool((self.slots[first] == mark).any() or (self.slots[second] == mark).any())
 
-    def have(self, keys: list[bytes]) -> np.ndarray:
+    def have(self, keys: list[bytes] | pa.Array) -> np.ndarray:
         """For each key whether it may be in the set."""
-        number = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
-        mark = (number >> np.uint64(48)) % np.uint64(65_535) + np.uint64(1)
-        first = number & np.uint64(self.buckets - 1)
-        second = (first ^ (mark * np.uint64(0x5BD1E995))) & np.uint64(self.buckets - 1)
+        mark, first, second = self._all_places(keys)
         return ((self.slots[first] == mark[:, None]) | (self.slots[second] == mark[:, None])).any(axis=1)
 
     @classmethod
-    def of(cls, keys: list[bytes], room: int = 1) -> CuckooFilter:
+    def of(cls, keys: list[bytes] | pa.Array, room: int = 1) -> CuckooFilter:
         """A filter of ``keys`` with room for ``room`` times as many."""
         capacity = room * len(keys)
         while True:
             out = cls(capacity)
-            if all(map(out.add, keys)):
+            if out.add_all(keys):
                 return out
             capacity = 2 * max(capacity, 8)
 
@@ -161,23 +186,30 @@ _TABLES = {
 }
 
 
+_FILTER = pa.schema([("shard", pa.int32()), ("slots", pa.binary()), ("n_keys", pa.int64()), ("seq", pa.int32())])
+
+
+def _keys(table: pa.Table) -> pa.Array:
+    return pa.concat_arrays(table["key"].chunks) if table.num_rows else pa.array([], pa.binary())
+
+
 def _changed(seq: int):
     """The filter of a shard after its ``changes`` (key, adds); null slots where it has no room for them."""
 
-    def change(changes: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if changes.empty:
-            return pd.DataFrame({"shard": [], "slots": [], "n_keys": [], "seq": []})
-        new, old = changes["key"][changes["adds"]].tolist(), changes["key"][~changes["adds"]].tolist()
-        number = (0 if stored.empty else int(stored["n_keys"].iloc[0])) + len(new) - len(old)
-        if stored.empty:
-            slots = CuckooFilter.of(new).slots
-        else:
-            held = CuckooFilter(1, stored["slots"].iloc[0])
+    def change(changes: pa.Table, stored: pa.Table) -> pa.Table:
+        if not changes.num_rows:
+            return _FILTER.empty_table()
+        new, old = _keys(changes.filter(changes["adds"])), _keys(changes.filter(pc.invert(changes["adds"])))
+        number = (stored["n_keys"][0].as_py() if stored.num_rows else 0) + len(new) - len(old)
+        if stored.num_rows:
+            held = CuckooFilter(1, stored["slots"][0].as_py())
             for key in old:
-                held.discard(key)
-            room = number <= 0.9 * held.slots.size and all(map(held.add, new))
+                held.discard(key.as_py())
+            room = number <= 0.9 * held.slots.size and held.add_all(new)
             slots = held.slots if room else None
-        return pd.DataFrame({"shard": [changes["shard"].iloc[0]], "slots": [None if slots is None else slots.tobytes()], "n_keys": [number], "seq": [seq]})
+        else:
+            slots = CuckooFilter.of(new).slots
+        return pa.Table.from_pylist([{"shard": changes["shard"][0].as_py(), "slots": None if slots is None else slots.tobytes(), "n_keys": number, "seq": seq}], _FILTER)
 
     return change
 
@@ -186,7 +218,7 @@ class LineStore:
     """Reference counts and filters of the lines of all documents inserted so far, in the folder ``path``: what it holds is opened.
 
     There are at least as many shards as shuffle partitions; ``keys_per_shard`` bounds a shard's filter (about 2.4 bytes
-    a key), and so the memory of the task that holds it: shards double as the keys grow. Null document ids hold no keys. One writer at a time.
+    a key), and so the memory of the task that holds it: keys are counted first, and shards double before they are full. Null document ids hold no keys. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000, path: str | None = None) -> None:
@@ -248,13 +280,13 @@ class LineStore:
     def seen(self, keys: DataFrame) -> DataFrame:
         """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false only if no document of the store holds the key. Filters of other shards are not read into tasks."""
 
-        def probe(new: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            if new.empty or stored.empty:
-                return new.assign(maybe=np.zeros(len(new), bool))
-            return new.assign(maybe=CuckooFilter(1, stored["slots"].iloc[0]).have(new["key"].tolist()))
+        def probe(new: pa.Table, stored: pa.Table) -> pa.Table:
+            known = new.num_rows and stored.num_rows
+            maybe = CuckooFilter(1, stored["slots"][0].as_py()).have(_keys(new)) if known else np.zeros(new.num_rows, bool)
+            return new.append_column("maybe", pa.array(maybe, pa.bool_()))
 
         keys = keys.select("key", "n_docs", "owner", shard_of(self.shards).alias("shard"))
-        return keys.groupBy("shard").cogroup(self._touched(keys).groupBy("shard")).applyInPandas(probe, f"{_KEY}, n_docs long, owner long, shard int, maybe boolean")
+        return keys.groupBy("shard").cogroup(self._touched(keys).groupBy("shard")).applyInArrow(probe, f"{_KEY}, n_docs long, owner long, shard int, maybe boolean")
 
     def _touched(self, keys: DataFrame) -> DataFrame:
         """Filters of the shards of ``keys``."""
@@ -264,7 +296,7 @@ class LineStore:
 
     def _update(self, seq: int, changes: DataFrame) -> None:
         """Bring the filters of the shards of ``changes`` (shard, key, adds) up to date; those without room are built anew from the exact keys."""
-        after = written(changes.groupBy("shard").cogroup(self._touched(changes).groupBy("shard")).applyInPandas(_changed(seq), _TABLES["filters"]), "line-filters")
+        after = written(changes.groupBy("shard").cogroup(self._touched(changes).groupBy("shard")).applyInArrow(_changed(seq), _TABLES["filters"]), "line-filters")
         full = after.where("slots is null").select("shard")
         new = after.where("slots is not null")
         if full.limit(1).count():
@@ -273,56 +305,63 @@ class LineStore:
         discard(after)
 
     def _built(self, refs: DataFrame) -> DataFrame:
-        def build(keys: pd.DataFrame) -> pd.DataFrame:
-            found = CuckooFilter.of(keys["key"].tolist(), room=2)
-            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "slots": [found.slots.tobytes()], "n_keys": [len(keys)]})
+        def build(keys: pa.Table) -> pa.Table:
+            found = CuckooFilter.of(_keys(keys), room=2)
+            return pa.Table.from_pylist([{"shard": keys["shard"][0].as_py(), "slots": found.slots.tobytes(), "n_keys": keys.num_rows}], schema)
 
-        return refs.select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, slots binary, n_keys long")
+        schema = pa.schema([_FILTER.field(k) for k in range(3)])
+        return refs.select("shard", "key").groupBy("shard").applyInArrow(build, "shard int, slots binary, n_keys long")
 
-    def _reshard(self) -> None:
-        """Double the shards until they are small enough again; all counts and filters are written anew."""
-        number = self.filters().agg(F.sum("n_keys")).first()[0] or 0
-        if number <= self.shards * self.keys_per_shard:
-            return
-        refs, shards = written(self.refs(), "line-refs"), self.shards
-        while number > shards * self.keys_per_shard:
-            shards *= 2
-        every = self.spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-        dealt = refs.withColumn("shard", shard_of(shards))
+    def _grow(self, seq: int, counts: DataFrame, number: int) -> None:
+        """Write ``counts`` and all counts before them by more shards, enough for three times ``number`` keys, and build all filters anew."""
+        while 3 * number > self.shards * self.keys_per_shard:
+            self.shards *= 2
+        every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"))
+        stored = counts if self._read("refs") is None else self.refs().select(counts.columns).unionByName(counts)
+        both = written(stored.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner")).withColumn("shard", shard_of(self.shards)), "line-refs")
         # Shards without keys get empty filters, lest their old ones be asked.
-        none = every.join(dealt.select("shard").distinct(), "shard", "left_anti").select("shard", F.lit(CuckooFilter.of([]).slots.tobytes()).alias("slots"), F.lit(0).cast("long").alias("n_keys"))
-        before, self.shards = self.shards, shards
-        try:
-            with self._operation() as seq:
-                self._write(seq, "refs", dealt)
-                self._write(seq, "resets", every)
-                self._write(seq, "filters", self._built(dealt).unionByName(none))
-        except BaseException:
-            self.shards = before
-            raise
-        discard(refs)
+        empty = [F.lit(CuckooFilter.of([]).slots.tobytes()).alias("slots"), F.lit(0).cast("long").alias("n_keys")]
+        none = every.join(both.select("shard").distinct(), "shard", "left_anti").select("shard", *empty)
+        filters = self._built(both).unionByName(none)
+        self._write(seq, "refs", both)
+        self._write(seq, "resets", every)
+        self._write(seq, "filters", filters)
+        discard(both)
 
     def insert(self, held: DataFrame, fresh: bool = False) -> None:
         """Add the documents of ``held`` (doc_id, key). ``fresh``: none of them is in the store yet; else a document gets the union of its keys."""
-        if self._read("filters") is not None:
-            self._reshard()
-        before = self.postings()
+        before, shards = self.postings(), self.shards
         if before is not None and not fresh:
             held = held.join(before, ["doc_id", "key"], "left_anti")
-        with self._operation() as seq:
-            self._write(seq, "postings", held)
-            new = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/{seq}/postings")
-            counts = new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
-            if before is None:
-                probed = unknown = written(counts.select("key", "n_docs", "owner", shard_of(self.shards).alias("shard"), F.lit(False).alias("maybe")), "line-probed")
-            else:
-                probed = written(self.seen(counts), "line-probed")
-                # Keys that the filters have not seen need no look at the counts.
-                known = self.refs().select("key").join(probed.where("maybe").select("key"), "key", "left_semi")
-                unknown = probed.where("not maybe").unionByName(probed.where("maybe").join(known, "key", "left_anti"))
-            changes = written(unknown.select("shard", "key", F.lit(True).alias("adds")), "line-changes")
-            self._write(seq, "refs", probed)
-            self._update(seq, changes)
+        try:
+            with self._operation() as seq:
+                self._write(seq, "postings", held)
+                new = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/{seq}/postings")
+                counts = written(new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "line-counts")
+                self._count(seq, counts, before is None)
+        except BaseException:
+            self.shards = shards
+            raise
+        discard(counts)
+
+    def _count(self, seq: int, counts: DataFrame, first: bool) -> None:
+        """Add ``counts`` (key, n_docs, owner: one row a key) to the counts and filters."""
+        # The number of keys is known before any task holds those of a shard.
+        stored = 0 if first else self.filters().agg(F.sum("n_keys")).first()[0] or 0
+        number = stored + counts.count()
+        if number > self.shards * self.keys_per_shard:
+            self._grow(seq, counts, number)
+            return
+        if first:
+            unknown = probed = counts.withColumn("shard", shard_of(self.shards))
+        else:
+            probed = written(self.seen(counts), "line-probed")
+            # Keys that the filters have not seen need no look at the counts.
+            known = self.refs().select("key").join(probed.where("maybe").select("key"), "key", "left_semi")
+            unknown = probed.where("not maybe").unionByName(probed.where("maybe").join(known, "key", "left_anti"))
+        changes = written(unknown.select("shard", "key", F.lit(True).alias("adds")), "line-changes")
+        self._write(seq, "refs", probed)
+        self._update(seq, changes)
         discard(probed, changes)
 
     def delete(self, doc_ids: DataFrame) -> None:

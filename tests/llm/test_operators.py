@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,29 @@ def test_cuckoo_filters_forget_only_what_is_deleted():
     assert found.have(others).mean() < 0.01
 
 
+def test_cuckoo_filters_take_keys_from_arrow_memory():
+    keys = [hashlib.md5(b"%d" % i).digest() for i in range(3000)]
+    whole = pa.array([None, *keys], pa.binary())[1:]
+    found = line_dedup.CuckooFilter(3000)
+    assert found.add_all(whole) and int((found.slots != 0).sum()) == 3000
+    assert found.have(whole).all() and (found.have(whole) == found.have(keys)).all()
+    one = line_dedup.CuckooFilter(3000)
+    assert all(map(one.add, keys)) and one.have(whole).all()
+    # Equal keys need a slot each; nine do not fit into two buckets of four.
+    full = line_dedup.CuckooFilter(3000)
+    assert full.add_all(keys[:1] * 8) and not full.add_all(keys[:1])
+    assert line_dedup.CuckooFilter(1).add_all(pa.array([], pa.binary())) and not line_dedup.CuckooFilter(1).add_all(keys)
+
+
+def test_shards_are_enough_before_the_first_filter_is_built(spark):
+    df = spark.createDataFrame([(i, "\n".join(f"line {i} number {k}" for k in range(40))) for i in range(20)], "doc_id long, text string")
+    store = line_dedup.LineStore(spark, 20)
+    store.insert(held(df))
+    sizes = [r.n_keys for r in store.filters().collect()]
+    assert store.shards * 20 >= 3 * sum(sizes) and sum(sizes) == 800 and max(sizes) <= 40
+    assert line_dedup.LineStore(spark, 20, path=store.path).shards == store.shards
+
+
 def held(part):
     return line_dedup.holdings(part, "doc_id", "text", 10)
 
