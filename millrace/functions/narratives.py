@@ -25,6 +25,22 @@ DEFAULT_QUESTIONS = {
         TREND: "当前最值得优先调查的趋势或异常是什么？",
     },
 }
+#: Sentences over the totals of a table and over a simulation, by language.
+EVIDENCE = {
+    ENGLISH: "Rows={rows}; Orders={orders}; Observed net revenue={revenue}; Simulated contribution profit={profit}; Simulated margin={margin}; Simulated allocated ad spend={ads}; Return-line rate={returns}.",
+    CHINESE: "数据行数={rows}；订单数={orders}；观测净收入={revenue}；模拟贡献利润={profit}；模拟利润率={margin}；模拟广告分摊={ads}；退货交易行比例={returns}。",
+}
+SIMULATED = {
+    ENGLISH: "{trials} seeded trials · P5 {p5} · median {p50} · P95 {p95} · probability of loss {loss}. This is a planning simulation, not a forecast guarantee.",
+    CHINESE: "{trials} 次固定随机种子模拟 · P5 {p5} · 中位数 {p50} · P95 {p95} · 亏损概率 {loss}。这是规划模拟，不是预测保证。",
+}
+#: The rules by which decisions name their target, and what is said where nothing can be named.
+RULES = {MARKETING: "lowest contribution profit per advertising pound among paid channels", INVENTORY: "highest non-return unit demand among SKUs with sustained transaction frequency"}
+NO_TARGET = {
+    PROFIT: "Profit Leak requires at least one category with positive revenue",
+    MARKETING: "Marketing Efficiency requires at least one channel with positive ad spend",
+    INVENTORY: "Inventory Risk requires a SKU with sustained non-return demand",
+}
 #: Headings that a narrative must have.
 HEADINGS = {ENGLISH: ("### Interpretation", "### Recommended validation", "### Limitations"), CHINESE: ("### 解读", "### 建议验证", "### 局限性")}
 #: Findings by language and task.

@@ -57,6 +57,18 @@ def money(value: Column) -> Column:
     return F.concat(F.lit("£"), F.format_number(value, 0))
 
 
+def percent(value: Column, digits: int) -> Column:
+    return F.concat(F.format_number(value * 100, digits), F.lit("%"))
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with each ``{name}`` replaced by the text of that name."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return text
+
+
 def divided(a: Column, b: Column) -> Column:
     """``a`` / ``b``, null where ``b`` is 0."""
     return a / F.when(b != 0, b)

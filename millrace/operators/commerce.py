@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import divided, money, stable_fraction, strip
+from millrace.functions import narratives as N
+from millrace.functions.text import divided, filled, money, percent, stable_fraction, strip
 
 #: Categories by keyword, the first that matches wins; all other lines are DEFAULT_CATEGORY.
 CATEGORY_WORDS = {
@@ -153,14 +156,13 @@ def ordered(df: DataFrame, order) -> DataFrame:
 
 def profit_leak_decision(df: DataFrame) -> DataFrame:
     """The category to look at first, with its shares; no row if none has revenue."""
-    table = profit_leak(df)
-    known = table.agg(F.array_sort(F.collect_list("category")).alias("known_categories"))
+    table = profit_leak(df).withColumn("known_categories", F.array_sort(F.collect_list("category").over(Window.partitionBy())))
     top = ordered(table.where("revenue > 0"), LEAK_ORDER).limit(1)
     share = lambda c: F.col(c) / F.col("revenue")
     return top.select(
         F.lit("Profit Leak").alias("task"), F.col("category").alias("target_category"), F.col("revenue").alias("target_revenue"), F.col("contribution_profit").alias("target_profit"), F.col("margin").alias("target_margin"), "portfolio_margin", "margin_gap_pp",
-        "estimated_profit_leakage", share("cogs").alias("cogs_share"), share("ad_spend").alias("ad_share"), share("fulfilment").alias("fulfilment_share"), "return_line_rate", F.lit("simulated").alias("cost_basis"),
-    ).crossJoin(F.broadcast(known))
+        "estimated_profit_leakage", share("cogs").alias("cogs_share"), share("ad_spend").alias("ad_share"), share("fulfilment").alias("fulfilment_share"), "return_line_rate", F.lit("simulated").alias("cost_basis"), "known_categories",
+    )
 
 
 def marketing_efficiency(df: DataFrame) -> DataFrame:
@@ -174,13 +176,12 @@ EFFICIENCY_ORDER = (F.asc_nulls_last, "profit_per_ad_pound"), (F.asc_nulls_last,
 
 def marketing_decision(df: DataFrame) -> DataFrame:
     """The paid channel that earns least for a pound; no row if none is paid."""
-    table = marketing_efficiency(df)
-    known = table.agg(F.array_sort(F.collect_list("channel")).alias("known_entities"))
+    table = marketing_efficiency(df).withColumn("known_entities", F.array_sort(F.collect_list("channel").over(Window.partitionBy())))
     top = ordered(table.where("ad_spend > 0 and orders > 0"), EFFICIENCY_ORDER).limit(1)
     return top.select(
         F.lit("Marketing Efficiency").alias("task"), F.col("channel").alias("target_entity"), F.lit("channel").alias("target_kind"), F.col("revenue").alias("target_revenue"), F.col("contribution_profit").alias("target_profit"), F.col("ad_spend").alias("target_ad_spend"),
-        F.col("roas").alias("target_roas"), F.col("profit_per_ad_pound").alias("target_profit_per_ad_pound"), F.col("profit_per_order").alias("target_profit_per_order"), F.lit("simulated").alias("cost_basis"),
-    ).crossJoin(F.broadcast(known))
+        F.col("roas").alias("target_roas"), F.col("profit_per_ad_pound").alias("target_profit_per_ad_pound"), F.col("profit_per_order").alias("target_profit_per_order"), F.lit(N.RULES[N.MARKETING]).alias("selection_rule"), F.lit("simulated").alias("cost_basis"), "known_entities",
+    )
 
 
 def inventory_demand(df: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def inventory_decision(df: DataFrame, minimum_lines: int = 10) -> DataFrame:
     """The product in greatest demand; no row if none has enough lines. The skus it may be confused with are not gathered: the narrative check needs none."""
     return inventory_risk(df, minimum_lines, 1).select(
         F.lit("Inventory Risk").alias("task"), F.col("sku").cast("string").alias("target_entity"), F.lit("SKU").alias("target_kind"), F.col("description").alias("target_description"), F.col("units").alias("target_units"), F.col("orders").alias("target_orders"),
-        F.col("transaction_lines").alias("target_transaction_lines"), F.lit(minimum_lines).cast("long").alias("minimum_transaction_lines"), F.lit(False).alias("inventory_status_available"),
+        F.col("transaction_lines").alias("target_transaction_lines"), F.lit(minimum_lines).cast("long").alias("minimum_transaction_lines"), F.lit(N.RULES[N.INVENTORY]).alias("selection_rule"), F.lit(False).alias("inventory_status_available"),
     )
 
 
@@ -212,14 +213,44 @@ def monthly_trend(df: DataFrame, n: int = 18) -> DataFrame:
     return df.groupBy(month).agg(_sum(REVENUE).alias("revenue"), _sum(PROFIT).alias("contribution_profit")).orderBy(F.desc("month")).limit(n).orderBy("month")
 
 
-def evidence_text(totals: DataFrame) -> DataFrame:
+def evidence_text(totals: DataFrame, language: str = N.ENGLISH) -> DataFrame:
     """One sentence over the one row of ``portfolio_totals``."""
-    return totals.select(
-        F.concat(
-            F.lit("Rows="), F.format_number("n_rows", 0), F.lit("; Orders="), F.format_number("orders", 0), F.lit("; Observed net revenue="), money(F.col("revenue")), F.lit("; Simulated contribution profit="), money(F.col("profit")), F.lit("; Simulated margin="),
-            F.format_number(F.col("margin") * 100, 1), F.lit("%; Simulated allocated ad spend="), money(F.col("ad_spend")), F.lit("; Return-line rate="), F.format_number(F.col("return_line_rate") * 100, 2), F.lit("%."),
-        ).alias("evidence")
-    )
+    values = {
+        "rows": F.format_number("n_rows", 0), "orders": F.format_number("orders", 0), "revenue": money(F.col("revenue")), "profit": money(F.col("profit")),
+        "margin": percent(F.col("margin"), 1), "ads": money(F.col("ad_spend")), "returns": F.coalesce(percent(F.col("return_line_rate"), 2), F.lit("nan%")),
+    }
+    return totals.select(filled(N.EVIDENCE[language], values).alias("evidence"))
+
+
+@dataclass
+class Evidence:
+    """What is known about a task: a sentence, a table in the order of its chart, and the one row that names a target (None for trends)."""
+
+    text: DataFrame
+    table: DataFrame
+    decision: DataFrame | None
+
+
+def evidence(df: DataFrame, task: str, language: str = N.ENGLISH, minimum_lines: int = 10) -> Evidence:
+    """Evidence over transaction lines for a task by its name in any language; a name of none is a trend.
+
+    Raises ValueError if a task that names a target finds none, as in an empty table. Of the data only the row of the decision reaches the driver.
+    """
+    named = [t for names in N.TASK_LABELS.values() for t, label in names.items() if task in (t, label)]
+    task = named[0] if named else N.TREND
+    text = evidence_text(portfolio_totals(df), language)
+    decision = {N.PROFIT: profit_leak_decision, N.MARKETING: marketing_decision, N.INVENTORY: lambda d: inventory_decision(d, minimum_lines)}.get(task)
+    table = {
+        N.PROFIT: lambda: ordered(profit_leak(df), LEAK_ORDER), N.MARKETING: lambda: ordered(marketing_efficiency(df), EFFICIENCY_ORDER),
+        N.INVENTORY: lambda: inventory_risk(df, minimum_lines), N.TREND: lambda: monthly_trend(df),
+    }[task]()
+    if decision is None:
+        return Evidence(text, table, None)
+    found = decision(df)
+    row = found.collect()
+    if not row:
+        raise ValueError(N.NO_TARGET[task])
+    return Evidence(text, table, df.sparkSession.createDataFrame(row, found.schema))
 
 
 def inventory_mart(df: DataFrame, n: int = 500) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import narratives as N
-from millrace.functions.text import money, strip
+from millrace.functions.text import filled, money, percent, strip
 
 
 def _any(column: Column, patterns: tuple[str, ...]) -> Column:
@@ -63,29 +63,22 @@ def cleaned_response(value: Column) -> Column:
     return F.when(F.length(text) < 20, N.UNUSABLE).otherwise(text)
 
 
-def _filled(template: str, values: dict[str, Column]) -> Column:
-    text = F.lit(template)
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value)
-    return text
-
-
 def finding(decision: DataFrame, task: str, language: str = N.ENGLISH) -> DataFrame:
     """``decision`` (a decision of the commerce operators) with ``finding``, the fact in words."""
-    percent = lambda c: F.concat(F.format_number(F.col(c) * 100, 2), F.lit("%"))
+    share = lambda c: percent(F.col(c), 2)
     two = lambda c: F.format_number(F.col(c), 2)
     values = {
-        N.PROFIT: lambda: {"target": F.col("target_category"), "margin": percent("target_margin"), "portfolio": percent("portfolio_margin"), "gap": two("margin_gap_pp"), "leakage": money(F.col("estimated_profit_leakage"))},
+        N.PROFIT: lambda: {"target": F.col("target_category"), "margin": share("target_margin"), "portfolio": share("portfolio_margin"), "gap": two("margin_gap_pp"), "leakage": money(F.col("estimated_profit_leakage"))},
         N.MARKETING: lambda: {"target": F.col("target_entity"), "pound": two("target_profit_per_ad_pound"), "roas": two("target_roas"), "order": two("target_profit_per_order")},
         N.INVENTORY: lambda: {"target": F.col("target_entity"), "description": F.col("target_description"), "lines": F.col("minimum_transaction_lines").cast("string"), "units": F.format_number("target_units", 0), "orders": F.format_number("target_orders", 0)},
     }
-    return decision.withColumn("finding", _filled(N.FINDINGS[language, task], values[task]()) if task in values else F.lit(""))
+    return decision.withColumn("finding", filled(N.FINDINGS[language, task], values[task]()) if task in values else F.lit(""))
 
 
 def safe_narrative(decision: DataFrame, task: str, language: str = N.ENGLISH) -> DataFrame:
     """``decision`` with ``narrative``, which holds nothing that could be wrong."""
     target = F.col("target_category" if task == N.PROFIT else "target_entity")
-    return decision.withColumn("narrative", _filled(N.SAFE[language, task], {"target": target}))
+    return decision.withColumn("narrative", filled(N.SAFE[language, task], {"target": target}))
 
 
 def narrated(decision: DataFrame, task: str, narrator=None, language: str = N.ENGLISH) -> DataFrame:

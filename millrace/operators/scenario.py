@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import stable_fraction
+from millrace.functions import narratives as N
+from millrace.functions.text import filled, money, percent, stable_fraction
 
 from .commerce import ADS, PROFIT, REVENUE
 
@@ -43,6 +44,12 @@ def quantiles(runs: DataFrame) -> DataFrame:
     return runs.agg(p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg((F.col("profit") < 0).cast("int")).alias("loss_probability"), F.count("*").alias("trials"))
 
 
+def summary(points: DataFrame, language: str = N.ENGLISH) -> DataFrame:
+    """One sentence over the one row of ``quantiles``."""
+    values = {"trials": F.format_number("trials", 0), "p5": money(F.col("p5")), "p50": money(F.col("p50")), "p95": money(F.col("p95")), "loss": percent(F.col("loss_probability"), 1)}
+    return points.select(filled(N.SIMULATED[language], values).alias("summary"))
+
+
 def histogram(runs: DataFrame, bins: int = 45) -> DataFrame:
     """(bin from 1, low, high, n) over equal widths from the least to the greatest profit; empty bins have no row."""
     whole = Window.partitionBy()

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import narratives as N
 from millrace.functions import text as X
 from millrace.operators import commerce, dedup, encoding, guard, judging, profiling, scenario, selection, trajectory
 from millrace.session import ship_package
@@ -101,10 +103,28 @@ def monthly_trend_tail18(spark, d):
     return r(commerce.monthly_trend(transactions(spark, d)), 3)
 
 
-@query(f"WITH {TXN}, {_TOTALS} SELECT 'Rows=' || format('{{:,}}', n_rows) || '; Orders=' || format('{{:,}}', orders) AS head FROM totals")
+def _filled_sql(template: str, values: dict[str, str]) -> str:
+    """``template`` as a concatenation of its texts and the SQL of each ``{name}``."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"({values[piece]})" if k % 2 else "'" + piece.replace("'", "''") + "'" for k, piece in enumerate(pieces))
+
+
+def _money_sql(c: str) -> str:
+    return f"'£' || format('{{:,}}', CAST(round_even({c}, 0) AS BIGINT))"
+
+
+def _fixed_sql(c: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {c})"
+
+
+_SENTENCE = {"rows": "format('{:,}', n_rows)", "orders": "format('{:,}', orders)", "revenue": _money_sql("revenue"), "profit": _money_sql("profit"), "margin": _fixed_sql("100 * profit / revenue", 1) + " || '%'", "ads": _money_sql("ad_spend"), "returns": _fixed_sql("100 * return_line_rate", 2) + " || '%'"}
+
+
+@query(f"WITH {TXN}, {_TOTALS} " + " UNION ALL ".join(f"SELECT '{language}' AS language, {_filled_sql(N.EVIDENCE[language], _SENTENCE)} AS evidence FROM totals" for language in N.EVIDENCE))
 def evidence_text(spark, d):
-    text = commerce.evidence_text(commerce.portfolio_totals(transactions(spark, d)))
-    return text.select(F.substring_index("evidence", "; Observed", 1).alias("head"))
+    totals = commerce.portfolio_totals(transactions(spark, d))
+    english, chinese = (commerce.evidence_text(totals, language).select(F.lit(language).alias("language"), "evidence") for language in N.EVIDENCE)
+    return english.unionByName(chinese)
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS invoice_id, CAST(l_partkey AS VARCHAR) AS sku, l_quantity AS quantity, l_extendedprice AS unit_price_gbp, strftime(l_shipdate, '%Y-%m-%d') AS order_date, round(l_quantity * l_extendedprice, 4) AS net, 'Gifts' AS category FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice > 0 AND l_quantity <> 0")
@@ -185,6 +205,17 @@ def monte_carlo_quantiles(spark, d):
     return r(scenario.quantiles(scenario.simulate(transactions(spark, d), 10, 5, 0)), 2)
 
 
+_POINTS = "q AS (SELECT quantile_cont(p, 0.05) AS p5, quantile_cont(p, 0.5) AS p50, quantile_cont(p, 0.95) AS p95, avg(CAST(p < 0 AS INT)) AS loss, count(*) AS trials FROM runs)"
+_SUMMARY = {"trials": "format('{:,}', trials)", "loss": _fixed_sql("100 * loss", 1) + " || '%'"} | {p: _money_sql(p) for p in ("p5", "p50", "p95")}
+
+
+@query(f"WITH {TXN}, {_BASE_FIGURES}, {_RUNS}, {_POINTS} " + " UNION ALL ".join(f"SELECT '{language}' AS language, {_filled_sql(N.SIMULATED[language], _SUMMARY)} AS summary FROM q" for language in N.SIMULATED))
+def scenario_summary(spark, d):
+    points = scenario.quantiles(scenario.simulate(transactions(spark, d), 10, 5, 0))
+    english, chinese = (scenario.summary(points, language).select(F.lit(language).alias("language"), "summary") for language in N.SIMULATED)
+    return english.unionByName(chinese)
+
+
 @query(f"WITH {TXN}, {_BASE_FIGURES}, {_RUNS}, w AS (SELECT min(p) AS lo, (max(p) - min(p)) / 45 AS w FROM runs) SELECT CAST(least(floor((p - lo) / w) + 1, 45) AS BIGINT) AS bin, count(*) AS n FROM runs, w GROUP BY 1")
 def scenario_histogram(spark, d):
     return scenario.histogram(scenario.simulate(transactions(spark, d), 10, 5, 0)).select("bin", "n")
@@ -221,7 +252,11 @@ def traj_prompt(spark, d):
     return trajectories(spark, d).select("id", trajectory.task_prompt(F.col("messages")).alias("prompt"))
 
 
-@query(r"""SELECT doc_id, sha256(n) AS prompt_hash, length(n) AS n FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '`[^`]+`', ' CODE ', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', ' NUM ', 'g'), '[^\p{L}\p{N}\s_]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM documents)""")
+def _normal_prompt_sql(column: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({column}), '`[^`]+`', ' CODE ', 'g'), '\b[0-9]+(?:\.[0-9]+)?\b', ' NUM ', 'g'), '[^\p{{L}}\p{{N}}\s_]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, sha256(n) AS prompt_hash, length(n) AS n FROM (SELECT doc_id, {_normal_prompt_sql('text')} AS n FROM documents)")
 def prompt_normalize_hash(spark, d):
     df = table(spark, d, "documents").withColumn("n", X.normalize_prompt(F.col("text")))
     return df.select("doc_id", F.sha2(F.col("n").cast("binary"), 256).alias("prompt_hash"), F.length("n").cast("long").alias("n"))
@@ -378,8 +413,10 @@ def exact_dedup(spark, d):
     return dedup.exact_dedup(docs, "doc_id", ["hash", "opening", "measure"]).select("doc_id")
 
 
-_TERMS = """w AS (SELECT item_id AS id, unnest(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM benchmark), p AS (SELECT id, ' ' || w || ' ' AS p, count(*) AS c FROM w WHERE w <> '' GROUP BY ALL),
+#: Terms of a table ``t`` (id, text).
+_GRAMS = """w AS (SELECT id, unnest(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM t), p AS (SELECT id, ' ' || w || ' ' AS p, count(*) AS c FROM w WHERE w <> '' GROUP BY ALL),
 g AS (SELECT id, c, substring(p, CAST(s AS BIGINT), n) AS term FROM (SELECT id, p, c, n, unnest(range(1, length(p) - n + 2)) AS s FROM p, (VALUES (3), (4), (5)) t(n) WHERE length(p) >= n)), terms AS (SELECT id, term, CAST(sum(c) AS BIGINT) AS tf FROM g GROUP BY ALL)"""
+_TERMS = f"t AS (SELECT item_id AS id, text FROM benchmark), {_GRAMS}"
 _TFIDF = "voc AS (SELECT term, count(*) AS df FROM terms GROUP BY term HAVING count(*) >= 2), nn AS (SELECT count(DISTINCT id) AS n FROM terms), raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM terms JOIN voc USING (term), nn), vec AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw)"
 
 
@@ -397,7 +434,15 @@ def cosine_pairs(spark, d):
     return r(dedup.cosine_pairs(dedup.tfidf(_terms(spark, d), max_features=None), 0.3))
 
 
-@query()
+_SIMILAR = """voc AS (SELECT term, count(*) AS df, sum(tf) AS total FROM terms GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 45000), nn AS (SELECT count(DISTINCT id) AS n FROM terms),
+raw AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM terms JOIN voc USING (term), nn), vec AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS weight FROM raw),
+pairs AS (SELECT x.id AS a, y.id AS b, sum(x.weight * y.weight) AS s FROM vec x JOIN vec y ON x.term = y.term AND x.id <> y.id GROUP BY ALL HAVING sum(x.weight * y.weight) >= 0.93),
+near AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM pairs) WHERE k <= 7), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach(a, b) AS (SELECT id, id FROM t UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+_PROMPTS = f"t AS (SELECT idx AS id, CASE WHEN n <> '' THEN n ELSE prompt END AS text FROM (SELECT idx, prompt, {_normal_prompt_sql('prompt')} AS n FROM traj))"
+
+
+@query(f"WITH RECURSIVE {TRAJ}, {_PROMPTS}, {_GRAMS}, {_SIMILAR} SELECT a AS index FROM reach GROUP BY a HAVING min(b) = a")
 def near_dedup(spark, d):
     docs = trajectory.records(trajectories(spark, d), python_hash=False).select("index", "normalized_prompt", "task_prompt")
     return dedup.near_dedup(docs, "index", "normalized_prompt", "task_prompt").select("index")
@@ -424,18 +469,40 @@ def clean_response(spark, d):
     return spark.createDataFrame([("<svg>A good and&#x20;long enough text</svg>\n\n\n\n",)], "value string").select(guard.cleaned_response(F.col("value")).alias("text"))
 
 
-@query(f"WITH {TXN}, {_TOTALS}, {_LEAK} SELECT category AS target_category, starts_with('### Verified finding', '###') AS stated FROM leak WHERE revenue > 0 ORDER BY estimated_profit_leakage DESC, margin, category LIMIT 1")
+_FOUND = {
+    N.PROFIT: {"target": "category", "margin": _fixed_sql("100 * margin", 2) + " || '%'", "portfolio": _fixed_sql("100 * portfolio_margin", 2) + " || '%'", "gap": _fixed_sql("margin_gap_pp", 2), "leakage": _money_sql("estimated_profit_leakage")},
+    N.MARKETING: {"target": "channel", "pound": _fixed_sql("profit_per_ad_pound", 2), "roas": _fixed_sql("roas", 2), "order": "format('{:,}', CAST(trunc(profit_per_order) AS BIGINT)) || right(" + _fixed_sql("profit_per_order", 2) + ", 3)"},
+    N.INVENTORY: {"target": "CAST(sku AS VARCHAR)", "description": "description", "lines": "'10'", "units": "format('{:,}', CAST(units AS BIGINT))", "orders": "format('{:,}', orders)"},
+}
+_FIRST = {
+    N.PROFIT: "leak WHERE revenue > 0 ORDER BY estimated_profit_leakage DESC, margin, category LIMIT 1",
+    N.MARKETING: "eff WHERE ad_spend > 0 AND orders > 0 ORDER BY profit_per_ad_pound, roas, channel LIMIT 1",
+    N.INVENTORY: "dem WHERE transaction_lines >= 10 AND units > 0 ORDER BY units DESC, orders DESC, sku, description LIMIT 1",
+}
+
+
+@query(f"WITH {TXN}, {_TOTALS}, {_LEAK}, {_CHANNEL}, {_DEMAND} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{language}' AS language, '{task}' AS task, {_filled_sql(text, _FOUND[task])} AS finding FROM {_FIRST[task]})" for (language, task), text in N.FINDINGS.items()))
 def verified_finding(spark, d):
-    from millrace.functions.narratives import PROFIT
+    lines, out = transactions(spark, d), None
+    for task in _FOUND:
+        decision = commerce.evidence(lines, task).decision
+        for language in (N.ENGLISH, N.CHINESE):
+            said = guard.finding(decision, task, language).select(F.lit(language).alias("language"), F.lit(task).alias("task"), "finding")
+            out = said if out is None else out.unionByName(said)
+    return out
+
 
-    found = guard.finding(commerce.profit_leak_decision(transactions(spark, d)), PROFIT)
-    return found.select("target_category", F.startswith("finding", F.concat(F.lit("### Verified finding\n**"), "target_category")).alias("stated"))
+_AUDITED = {"final_reward": "final_reward", "deterministic_reward": "final_reward", "complexity_score": "cs", "syntax_score": "syntax_score", "execution_consistency_score": "exec", "completeness_score": "complete"}
+_COUNTED = {"assistant_turns": "assistant_turns", "code_blocks": _BLOCKS, "interpreter_turns": "good + bad", "characters": "length(alltext)"}
 
 
-@query(f"WITH {TRAJ}, {_REWARD} SELECT id, grp AS \"group\", level, printf('%.8f', final_reward) AS final_reward, CAST(assistant_turns AS VARCHAR) AS assistant_turns FROM rw")
+@query(
+    f"WITH {TRAJ}, {_REWARD} SELECT '' AS split, id, grp AS \"group\", level, {', '.join(f"printf('%.8f', {c}) AS {n}" for n, c in _AUDITED.items())}, {', '.join(f'CAST({c} AS VARCHAR) AS {n}' for n, c in _COUNTED.items())}, "
+    "'' AS glm_score, '' AS glm_api_success, '' AS glm_reason FROM rw"
+)
 def audit_rows(spark, d):
     scored = _scored(spark, d).withColumn("final_reward", F.round("final_reward", 8))
-    return sinks.audit_rows(scored).select("id", "group", "level", "final_reward", "assistant_turns")
+    return sinks.audit_rows(scored)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

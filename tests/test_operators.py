@@ -171,6 +171,15 @@ def test_commerce_nulls_and_zeros(spark):
     assert [r.month for r in commerce.monthly_trend(df).collect()] == ["NaT"]
     assert commerce.inventory_risk(df).count() == 0 and commerce.marketing_decision(df).first().target_entity == "Email"
     assert commerce.portfolio_totals(df.limit(0)).first().margin == 0.0
+    paid = commerce.evidence(df, "营销效率", N.CHINESE)
+    assert paid.decision.first().target_entity == "Email" and paid.decision.first().selection_rule == N.RULES[N.MARKETING] and paid.decision.first().known_entities == ["Email", "Organic"]
+    assert paid.text.first().evidence.startswith(f"数据行数={df.count()}；") and [r.channel for r in paid.table.collect()][0] == "Email"
+    assert commerce.evidence(df, "Profit Leak").decision.first().target_category in commerce.evidence(df, "Profit Leak").decision.first().known_categories
+    assert commerce.evidence(df, "no such task").decision is None and [r.month for r in commerce.evidence(df, "趋势诊断").table.collect()] == ["NaT"]
+    assert commerce.evidence(df.limit(0), N.TREND).text.first().evidence.startswith("Rows=0; Orders=0; Observed net revenue=£0;")
+    for task, none in ((N.PROFIT, df.limit(0)), (N.MARKETING, df.where("channel = 'Organic'")), (N.INVENTORY, df)):
+        with pytest.raises(ValueError, match=N.NO_TARGET[task]):
+            commerce.evidence(none, task)
 
 
 def test_guardrail(spark):
