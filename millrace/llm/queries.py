@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import ship_package
 
-from . import byte_bpe, chat, embedding_dedup, licenses, line_dedup, near_dedup, outliers, packing, substring_dedup, unigram_counts
+from . import byte_bpe, chat, embedding_dedup, licenses, line_dedup, merkle, near_dedup, outliers, packing, substring_dedup, unigram_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_chat_format, op3_substring_dedup, op4_byte_bpe, op5_minhash_near_dedup, op6_packing, op7_embedding_near_dedup, op8_line_dedup, op9_token_counts, op10_quality_rules)
+    found = (op1_license_scan, op2_chat_format, op3_substring_dedup, op4_byte_bpe, op5_minhash_near_dedup, op6_packing, op7_embedding_near_dedup, op8_line_dedup, op9_token_counts, op10_quality_rules, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
@@ -94,6 +98,43 @@ k AS (SELECT *, translate(trim(line, {_SPACES}), {_LOWER}) AS key FROM l), o AS
 f AS (SELECT k.*, owner IS NULL OR owner = doc_id AS stays FROM k LEFT JOIN o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
 
+#: CRC-32 of a text, bit by bit: its bytes enter the register at every eighth step.
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda r, b: xor(xor(r, b) >> 1, 3988292384::UBIGINT * (xor(r, b) & 1))), 4294967295::UBIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels ``name``0 (g, pos, digest, n: nodes of g) to ``name````levels``, each with the siblings of its nodes before and behind; a last node stays as it is."""
+    out = []
+    for k in range(levels):
+        run = f"(PARTITION BY g, pos // {merkle.RUN} ORDER BY pos ROWS BETWEEN "
+        out.append(f"{name}s{k} AS (SELECT *, CASE WHEN n = 1 THEN NULL ELSE coalesce(string_agg(digest, '') OVER {run}UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS a, CASE WHEN n = 1 THEN NULL ELSE coalesce(string_agg(digest, '') OVER {run}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS b FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT g, pos // {merkle.RUN} AS pos, CASE WHEN min(n) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest, (min(n) + {merkle.RUN - 1}) // {merkle.RUN} AS n FROM {name}s{k} GROUP BY g, pos // {merkle.RUN})")
+    return ", ".join(out)
+
+
+def _merkle_sql(levels: int = 5, top: int = 3) -> str:
+    """Trees of up to 16 ** ``levels`` leaves a source, over up to 16 ** ``top`` sources."""
+    siblings = ", ".join([f"s{k}.a AS a{k}, s{k}.b AS b{k}" for k in range(levels)] + [f"r{k}.a AS c{k}, r{k}.b AS d{k}" for k in range(top)])
+    joins = " ".join([f"JOIN ts{k} s{k} ON s{k}.g = l.g AND s{k}.pos = l.pos // {merkle.RUN**k}" for k in range(1, levels)] + [f"JOIN us{k} r{k} ON r{k}.pos = o.pos // {merkle.RUN**k}" for k in range(top)])
+    steps = [(f"a{k}", f"b{k}") for k in range(levels)] + [(f"c{k}", f"d{k}") for k in range(top)]
+    folds, of = [], "f0"
+    for k, (a, b) in enumerate(steps):
+        folds.append(f"g{k} AS (SELECT *, CASE WHEN {a} IS NULL THEN f{k} ELSE sha256({a} || f{k} || {b}) END AS f{k + 1} FROM {of if k == 0 else f'g{k - 1}'})")
+    proof = " || ".join(f"coalesce({a} || {b}, '')" for a, b in steps)
+    return f"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, {_leaf_sql('text')} AS digest, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql(f'translate(text, {_LOWER})')} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d), t0 AS (SELECT g, pos, digest, n FROM l), {_tree_sql('t', levels)},
+o AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t{levels}), u0 AS (SELECT 0 AS g, pos, digest, n FROM o), {_tree_sql('u', top)},
+f0 AS (SELECT l.doc_id, l.digest AS leaf, o.digest AS subroot, coalesce(l.tampered, l.digest) AS f0, {siblings} FROM l JOIN o ON o.g = l.g JOIN ts0 s0 ON s0.g = l.g AND s0.pos = l.pos {joins}), {', '.join(folds)}
+SELECT doc_id, leaf, subroot, u.digest AS root, sha256({proof}) AS proof_sha256, f{len(steps)} AS folded_root, f{len(steps)} = u.digest AS verified FROM g{len(steps) - 1}, u{top} u"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _CHAT, "op5_minhash_near_dedup": _NEAR, "op7_embedding_near_dedup": _VECTORS, "op8_line_dedup": _LINES}
+    return {"op2_chat_format": _CHAT, "op5_minhash_near_dedup": _NEAR, "op7_embedding_near_dedup": _VECTORS, "op8_line_dedup": _LINES, "op13_merkle_manifest": _merkle_sql()}
