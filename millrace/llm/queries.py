@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import ship_package
 
-from . import alignment, byte_bpe, chat, embedding_dedup, licenses, line_dedup, merkle, near_dedup, outliers, packing, substring_dedup, unigram_counts
+from . import alignment, byte_bpe, chat, embedding_dedup, licenses, line_dedup, merkle, near_dedup, outliers, packing, pages, substring_dedup, unigram_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_chat_format, op3_substring_dedup, op4_byte_bpe, op5_minhash_near_dedup, op6_packing, op7_embedding_near_dedup, op8_line_dedup, op9_token_counts, op10_quality_rules, op12_cross_tokenizer_alignment, op13_merkle_manifest)
+    found = (op1_license_scan, op2_chat_format, op3_substring_dedup, op4_byte_bpe, op5_minhash_near_dedup, op6_packing, op7_embedding_near_dedup, op8_line_dedup, op9_token_counts, op10_quality_rules, op11_html_extraction, op12_cross_tokenizer_alignment, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
