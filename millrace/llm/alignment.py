@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same bytes: groups between common ends, and which ids overlap in how many documents.
 
 Tokens of a byte-level BPE (A) and of a sentence-piece model (B) are intervals of bytes. Both models keep white space at the front of what follows, so neither joins bytes across a place where a space
-follows a character that is no white space: texts are cut there, both tokenizers end there, and in each chunk of a partition every different piece is encoded and aligned once. DuckDB does that over interval tables:
+follows a character that is no white space: texts are cut there, both tokenizers end there, and a task encodes and aligns every different piece once (or again, when it has met so many that it starts afresh). DuckDB does that over interval tables of many pieces at a time:
 as-of joins find the B tokens under the first and the last byte of each A token, a range join gives those between, window sums of common ends number the groups. It then adds up the pieces of each document, and the chunk's
 pairs by document; Spark merges these partial counts, and the counts go back to the documents.
 """
@@ -16,7 +16,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, count
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +30,10 @@ from .common import written
 
 #: A piece of a text: spaces, then all up to the next space behind a character that is no white space.
 _PIECE = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?:(?<=\s) +$)?| +")
-#: Bytes of text that are aligned at a time; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+#: Characters of text whose documents are put together at a time; a longer text is a chunk of its own.
+CHUNK = 2 << 20
+#: Pieces that are aligned at a time, and that a task remembers before it starts afresh.
+SLICE, KNOWN = 50_000, 300_000
 #: So many of the pairs found in most documents are broadcast (16 bytes each); all others are joined by their key.
 FREQUENT = 1 << 17
 _LISTS = "a array<int>, b array<int>, n array<int>"
@@ -60,6 +62,8 @@ class ByteLevel:
         for entry, number in vocabulary.items():
             self.bytes[number] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
         self.ranked = self._by_rank(path)
+        if self.ranked is not None:
+            self.model = None
 
     def _by_rank(self, path: str):
         """The same model as ranks, which is several times faster, if that is what the file holds: ids that rise with the merges, no normalizer, and the split of its kind."""
@@ -108,17 +112,17 @@ def _loaded(kind: type, path: str):
 #: The first B token under each A token, and the last, by as-of joins; where they differ, all behind the first by a range join.
 _MET = """CREATE OR REPLACE TEMP TABLE met AS SELECT f.piece, f.id AS a, f.nth AS nth, f.other AS b, f.first AS first, l.nth AS last
  FROM (SELECT a.*, b.nth AS first, b.id AS other FROM ta a ASOF JOIN tb b ON a.start >= b.start) f ASOF JOIN tb l ON f.stop - 1 >= l.start"""
-_LINKS = """CREATE OR REPLACE TEMP TABLE links AS SELECT piece, a, b, count(*) AS n FROM (
+_LINKS = """INSERT INTO links SELECT piece, a, b, count(*) AS n FROM (
  SELECT piece, a, b FROM met UNION ALL SELECT m.piece, m.a, b.id FROM (SELECT * FROM met WHERE last > first) m JOIN tb b ON b.nth > m.first AND b.nth <= m.last) GROUP BY ALL"""
 _GROUP = "SELECT id, coalesce(sum(cut) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM (SELECT {0}.nth, {0}.id, ({1}.stop IS NOT NULL)::INT AS cut FROM {0} LEFT JOIN {1} USING (stop)) ORDER BY nth"
 _PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT doc, a, b, sum(o.n * l.n)::INT AS n FROM held o JOIN links l ON l.piece = o.piece GROUP BY ALL"
 
 
-def _intervals(ids: list[list[int]], lengths: np.ndarray) -> dict[str, np.ndarray]:
-    """Tokens of pieces that are laid one behind the other: piece, number, id, bytes from ``start`` to ``stop``."""
+def _intervals(ids: list[list[int]], lengths: np.ndarray, base: int) -> dict[str, np.ndarray]:
+    """Tokens of pieces, numbered from ``base``, that are laid one behind the other: piece, number, id, bytes from ``start`` to ``stop``."""
     flat = np.array(list(chain.from_iterable(ids)), np.int32)
     stop = np.cumsum(lengths[flat], dtype=np.int64)
-    return {"piece": np.repeat(np.arange(len(ids), dtype=np.int32), [len(of) for of in ids]), "nth": np.arange(len(flat), dtype=np.int32), "id": flat, "start": stop - lengths[flat], "stop": stop}
+    return {"piece": np.repeat(np.arange(base, base + len(ids), dtype=np.int32), list(map(len, ids))), "nth": np.arange(len(flat), dtype=np.int32), "id": flat, "start": stop - lengths[flat], "stop": stop}
 
 
 def _given_back(pieces: list[str], ids: list[list[int]], table: list[bytes]) -> np.ndarray:
@@ -151,60 +155,88 @@ def _shown(sides: list[dict[str, np.ndarray]], numbers: list[np.ndarray]) -> tup
     return np.bincount(piece[begins], minlength=len(out)), out
 
 
+class _Known:
+    """Pieces that are encoded and aligned, by number: their tokens, groups, links and groups as text; links by pair are a table of DuckDB."""
+
+    def __init__(self, con, first: ByteLevel, second: Pieces) -> None:
+        self.con, self.models = con, (first, second)
+        self.lengths = [np.array([len(b) for b in model.bytes], np.int64) for model in self.models]
+        self.start()
+
+    def start(self) -> None:
+        self.codes: dict[str, int] = defaultdict(count().__next__)
+        self.shown: list[str] = []
+        self.good = np.zeros(0, bool)
+        #: n_a, n_b, n_groups and n_links of each piece.
+        self.totals = np.zeros((4, 0), np.int64)
+        self.con.execute("CREATE OR REPLACE TEMP TABLE links (piece INT, a INT, b INT, n BIGINT)")
+
+    def learn(self) -> None:
+        """Align the pieces that have got a number since the last time."""
+        new = list(islice(self.codes, len(self.shown), None))
+        for low in range(0, len(new), SLICE):
+            self._learn(new[low : low + SLICE])
+
+    def _learn(self, pieces: list[str]) -> None:
+        base, con = len(self.shown), self.con
+        encoded, good = [], np.ones(len(pieces), bool)
+        for model in self.models:
+            encoded.append(model.encode(pieces))
+            good &= _given_back(pieces, encoded[-1], model.bytes)
+        # A piece whose bytes a tokenizer does not give back leaves its documents without tokens, and must not shift those behind it.
+        held = [ids if good.all() else [of if ok else [] for of, ok in zip(ids, good)] for ids in encoded]
+        numbers = [np.array(list(map(len, ids)), np.int64) for ids in held]
+        for name, ids, lengths in zip(("ta", "tb"), held, self.lengths):
+            con.register(name, pa.table(_intervals(ids, lengths, base)))
+        con.execute(_MET)
+        con.execute(_LINKS)
+        groups, shown = _shown([con.execute(_GROUP.format(*names)).fetchnumpy() for names in (("ta", "tb"), ("tb", "ta"))], numbers)
+        counted = con.execute("SELECT piece, sum(n)::BIGINT AS n FROM links WHERE piece >= ? GROUP BY piece", [base]).fetchnumpy()
+        links = np.zeros(len(pieces), np.int64)
+        links[counted["piece"] - base] = counted["n"]
+        for name in ("ta", "tb"):
+            con.unregister(name)
+        self.shown += shown
+        self.good = np.r_[self.good, good]
+        self.totals = np.c_[self.totals, np.stack([*numbers, groups, links])]
+
+
 class _Chunk:
-    """Documents that are aligned together."""
+    """Documents that are put together from their pieces at a time."""
 
     def __init__(self) -> None:
-        self.codes: dict[str, int] = defaultdict(count().__next__)
         self.rows: list[int] = []
         self.docs: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, row: int, text: str | None) -> None:
+    def add(self, row: int, text: str | None, known: _Known) -> None:
         pieces = _PIECE.findall(" " + text) if text else []
-        self.docs.append(np.array(list(map(self.codes.__getitem__, pieces)), np.int32))
+        self.docs.append(np.array(list(map(known.codes.__getitem__, pieces)), np.int32))
         self.rows.append(row)
         self.size += len(text or "")
 
-    def aligned(self, con, first: ByteLevel, second: Pieces, with_groups: bool) -> Iterator[pa.RecordBatch]:
+    def aligned(self, known: _Known, with_groups: bool) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one without number for the chunk's pairs: how many of its documents hold each."""
-        pieces = list(self.codes)
-        sides, good = [], np.ones(len(pieces), bool)
-        for model in (first, second):
-            ids = model.encode(pieces)
-            good &= _given_back(pieces, ids, model.bytes)
-            sides.append((ids, np.array([len(b) for b in model.bytes], np.int64)))
-        # A piece whose bytes a tokenizer does not give back leaves its documents without tokens, and must not shift those behind it.
-        whole = np.array([bool(len(codes)) and bool(good[codes].all()) for codes in self.docs], bool)
-        held = [ids if good.all() else [of if ok else [] for of, ok in zip(ids, good)] for ids, _ in sides]
-        numbers = [np.array(list(map(len, ids)), np.int64) for ids in held]
-        for name, ids, (_, lengths) in zip(("ta", "tb"), held, sides):
-            con.register(name, pa.table(_intervals(ids, lengths)))
-        con.execute(_MET)
-        con.execute(_LINKS)
-        groups, shown = _shown([con.execute(_GROUP.format(*names)).fetchnumpy() for names in (("ta", "tb"), ("tb", "ta"))], numbers)
-        links = np.zeros(len(pieces), np.int64)
-        counted = con.execute("SELECT piece, sum(n)::BIGINT AS n FROM links GROUP BY piece").fetchnumpy()
-        links[counted["piece"]] = counted["n"]
-        parts = [np.unique(codes, return_counts=True) if ok else (codes[:0], codes[:0]) for codes, ok in zip(self.docs, whole)]
-        docs = np.repeat(np.arange(len(parts), dtype=np.int32), [len(codes) for codes, _ in parts])
-        join = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int32) if parts else np.zeros(0, np.int32)
-        con.register("held", pa.table({"doc": docs, "piece": join(0), "n": join(1)}))
+        known.learn()
+        con = known.con
+        docs = [codes if known.good[codes].all() else codes[:0] for codes in self.docs]
+        parts = [np.unique(codes, return_counts=True) for codes in docs]
+        join = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int32)
+        con.register("held", pa.table({"doc": np.repeat(np.arange(len(parts), dtype=np.int32), [len(codes) for codes, _ in parts]), "piece": join(0), "n": join(1)}))
         con.execute(_PAIRS)
-        pairs = con.execute("SELECT doc, a, b, n FROM pairs ORDER BY doc, a, b").to_arrow_table()
-        ends = np.searchsorted(pairs["doc"].to_numpy(), np.arange(len(parts) + 1)).astype(np.int32)
-        total = lambda by: pa.array([int(by[codes].sum()) if ok else 0 for codes, ok in zip(self.docs, whole)], pa.int64())
-        texts = [";".join([shown[c] for c in codes.tolist()]) if ok else "" for codes, ok in zip(self.docs, whole)]
-        column = lambda table, name: table[name].combine_chunks().cast(pa.int32())
-        lists = lambda table, ends: {name: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column(table, name)) for name in "abn"}
+        con.unregister("held")
+        pairs = con.execute("SELECT doc, a, b, n FROM pairs ORDER BY doc, a, b").fetchnumpy()
+        ends = np.searchsorted(pairs["doc"], np.arange(len(parts) + 1)).astype(np.int32)
+        totals = np.stack([known.totals[:, codes].sum(axis=1) for codes in docs])
+        texts = [";".join([known.shown[c] for c in codes.tolist()]) for codes in docs]
+        lists = lambda table, ends: {name: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(table[name].astype(np.int32))) for name in "abn"}
         digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string())
-        said = pa.array(texts if with_groups else [None] * len(texts), pa.string())
-        yield pa.RecordBatch.from_pydict({"row": pa.array(self.rows, pa.int64()), "n_a": total(numbers[0]), "n_b": total(numbers[1]), "n_groups": total(groups), "n_links": total(links), "groups": said, "groups_sha256": digests} | lists(pairs, ends))
-        partial = con.execute("SELECT a, b, count(*) AS n FROM pairs GROUP BY ALL").to_arrow_table()
-        nothing = {name: pa.nulls(1, kind) for name, kind in (("row", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("groups_sha256", pa.string()))}
-        yield pa.RecordBatch.from_pydict(nothing | lists(partial, [0, partial.num_rows]))
-        for name in ("ta", "tb", "held"):
-            con.unregister(name)
+        names = ("n_a", "n_b", "n_groups", "n_links")
+        said = {"groups": pa.array(texts if with_groups else [None] * len(texts), pa.string()), "groups_sha256": digests}
+        yield pa.RecordBatch.from_pydict({"row": pa.array(self.rows, pa.int64())} | {name: pa.array(totals[:, k], pa.int64()) for k, name in enumerate(names)} | said | lists(pairs, ends))
+        partial = con.execute("SELECT a, b, count(*) AS n FROM pairs GROUP BY ALL").fetchnumpy()
+        nothing = {name: pa.nulls(1, pa.int64()) for name in ("row", *names)} | {name: pa.nulls(1, pa.string()) for name in said}
+        yield pa.RecordBatch.from_pydict(nothing | lists(partial, np.array([0, len(partial["a"])], np.int32)))
 
 
 def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
@@ -223,10 +255,10 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
         con.execute("SET preserve_insertion_order = false")
         gc.disable()  # lists of ids hold no cycles, and looking for some takes a fifth of the time
         number = TaskContext.get().partitionId() << 36
-        chunk, ids = _Chunk(), []
+        known, chunk, ids = _Known(con, *models), _Chunk(), []
 
         def done() -> Iterator[pa.RecordBatch]:
-            for k, batch in enumerate(chunk.aligned(con, *models, with_groups)):
+            for k, batch in enumerate(chunk.aligned(known, with_groups)):
                 names = pa.array(ids, type_) if k == 0 else pa.nulls(1, type_)
                 yield pa.RecordBatch.from_arrays([names, *batch.columns], names=["id", *batch.schema.names])
 
@@ -235,11 +267,13 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
             type_ = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(name)
-                chunk.add(number, text.as_py())
+                chunk.add(number, text.as_py(), known)
                 number += 1
                 if chunk.size >= CHUNK:
                     yield from done()
                     chunk, ids = _Chunk(), []
+                    if len(known.codes) > KNOWN:
+                        known.start()
         if ids:
             yield from done()
         con.close()

@@ -103,7 +103,8 @@ def test_no_piece_of_the_model_goes_on_behind_a_space():
 
 @pytest.mark.parametrize("frequent", [alignment.FREQUENT, 3])
 def test_rows_are_those_of_plain_loops(spark, models, frequent, monkeypatch):
-    monkeypatch.setattr(alignment, "CHUNK", 500)
+    for name in ("CHUNK", "SLICE", "KNOWN"):
+        monkeypatch.setattr(alignment, name, 500 if name == "CHUNK" else 300)
     rows = [(k, text) for k, text in enumerate([*ODD, None, "", *ODD[:3]])] + [(3, "repeated id"), (None, "no id"), (3, "repeated id")]
     rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("a", F.lit(2)).withColumn("id", F.lit(3))
