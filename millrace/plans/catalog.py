@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from millrace.functions import narratives as N
 from millrace.functions import text as X
 from millrace.operators import commerce, dedup, encoding, guard, judging, profiling, scenario, selection, trajectory
 from millrace.session import ship_package
-from millrace.sources import sinks
-from millrace.sources.shared import written
+from millrace.sources import readers, sinks
+from millrace.sources.shared import shared_dir, written
 from millrace.streaming import trend
 
 from .adapters import PART_WORDS, TRAJ, TXN, _category_sql, _fraction, table, trajectories, transactions
@@ -247,6 +248,16 @@ def traj_messages(spark, d):
     return trajectories(spark, d).select("id", "group", "level", F.size("messages").cast("long").alias("n_messages"), F.length(trajectory.joined(F.col("messages"))).cast("long").alias("characters"))
 
 
+@query(f"WITH {TRAJ} SELECT id, grp AS \"group\", level, n_messages, length(alltext) AS characters FROM traj")
+def trajectory_lists(spark, d):
+    """Trajectories written as JSON lists, a list for each part, and read again by ranges of bytes."""
+    rows = trajectories(spark, d).select("id", F.col("group").alias("filename"), "level", "messages")
+    path = f"{shared_dir(spark)}/millrace/trajectory-lists-{uuid.uuid4().hex}"
+    sinks.write_lists(rows, path)
+    back = readers.trajectories(spark, path)
+    return back.select("id", "group", "level", F.size("messages").cast("long").alias("n_messages"), F.length(trajectory.joined(F.col("messages"))).cast("long").alias("characters"))
+
+
 @query(f"WITH {TRAJ} SELECT id, prompt FROM traj")
 def traj_prompt(spark, d):
     return trajectories(spark, d).select("id", trajectory.task_prompt(F.col("messages")).alias("prompt"))
@@ -383,10 +394,44 @@ def turn_encode_stats(spark, d):
     return stats.withColumns({c: F.col(c).cast("int") for c in ("template_alignment_fallbacks", "dropped_alignment_failures")})
 
 
+def _hex(ids) -> str:
+    """Ids of bytes as hex digits, ignored ones as dashes."""
+    return F.array_join(F.transform(ids, lambda i: F.when(i < 0, "--").otherwise(F.lpad(F.hex(i), 2, "0"))), "")
+
+
+_WHOLE = "(SELECT string_agg('<' || p.role || '>' || p.content || '</' || p.role || '>', '' ORDER BY p.turn) FROM msg p WHERE p.conv_id = m.conv_id AND p.turn <= m.turn)"
+_CLOSED = 2 * len("</assistant>")
+
+
+@query(
+    f"""WITH {TRAJ}, a AS (SELECT CAST(conv_id AS VARCHAR) AS id, (SELECT count(*) FROM msg p WHERE p.conv_id = m.conv_id AND p.turn < m.turn) AS turn, hex(encode(content)) AS target, hex(encode({_WHOLE})) AS whole FROM msg m WHERE m.role = 'assistant'),
+ w AS (SELECT *, length(target) BETWEEN 1 AND 4095 AS fits, right(whole, 4096) AS win FROM a)
+ SELECT id, turn, CASE WHEN fits THEN 'example' ELSE 'target_too_long' END AS status, fits AND length(whole) > 4096 AS left_truncated, CASE WHEN fits THEN sha256(win) END AS ids_sha256,
+ CASE WHEN fits THEN sha256(repeat('-', length(win) - length(right(target, greatest(length(win) - {_CLOSED}, 0))) - {_CLOSED}) || right(target, greatest(length(win) - {_CLOSED}, 0)) || repeat('-', {_CLOSED})) END AS labels_sha256 FROM w"""
+)
+def turn_encode(spark, d):
+    turns = encoding.encode_turns(trajectories(spark, d), 2048)
+    sha = lambda c: F.sha2(_hex(F.col(c)).cast("binary"), 256)
+    return turns.select("id", "turn", "status", "left_truncated", sha("input_ids").alias("ids_sha256"), sha("labels").alias("labels_sha256"))
+
+
+def _chat_tokenizer(path: str):
+    return lambda: encoding.ChatTokenizer(path)
+
+
+@query()
+def turn_encode_masked(spark, d):
+    """Turns by an installed vocabulary with a chat template that marks what assistants say. No SQL makes its ids; tests hold them against encoding each turn anew."""
+    import public_tokenizers
+
+    turns = encoding.encode_turns(trajectories(spark, d), 2048, _chat_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    return turns.select("id", "turn", "status", "aligned_by", "left_truncated", "input_ids", "labels")
+
+
 @query("SELECT event_type, round(sum(value * (user_id % 7 + 1)) / greatest(1.0, sum(user_id % 7 + 1)), 6) AS loss FROM events GROUP BY event_type")
 def weighted_loss(spark, d):
     events = table(spark, d, "events").withColumn("tokens", F.col("user_id") % 7 + 1)
-    return events.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("tokens")) / F.greatest(F.lit(1.0), F.sum("tokens").cast("double")), 6).alias("loss"))
+    return encoding.weighted_loss(events, "value", "tokens", "event_type").withColumn("loss", F.round("loss", 6))
 
 
 @query("SELECT event_type, round(min(value), 6) AS loss FROM events GROUP BY event_type ORDER BY min(value), event_type LIMIT 1")

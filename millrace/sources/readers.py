@@ -10,6 +10,8 @@ from millrace.functions.text import strip
 from millrace.operators import trajectory
 from millrace.operators.commerce import missing_columns
 
+from . import json_list
+
 #: Encodings of an upload, in the order in which they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 _FIELDS = ("id", "task_id", "filename", "db_id", "level", "difficulty")
@@ -33,10 +35,11 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _string_fields(item, names=_FIELDS):
-    """Fields of a JSON object as text; 0, false and empty values count as missing."""
+    """Fields of a JSON object as text; empty texts, 0, false and empty lists and objects count as missing, a text that says 0 does not."""
     for name in names:
         value = F.try_variant_get(item, f"$.{name}", "string")
-        yield F.when(~value.isin("", "0", "false", "[]", "{}", "0.0"), value).alias(name)
+        is_text = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")) == "STRING"
+        yield F.when((is_text & (value != "")) | (~is_text & ~value.isin("0", "false", "[]", "{}", "0.0")), value).alias(name)
 
 
 def _messages(item, field: str):
@@ -50,17 +53,14 @@ def _messages(item, field: str):
 def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = False) -> DataFrame:
     """(index, id, group, level, messages, raw) of a JSON list, or of JSON lines with ``lines``; only the first ``limit`` items if it is above 0.
 
-    Raises ValueError if a whole file is no list. A list is read by one task, as it is one value; large inputs should be lines.
+    Raises ValueError if a whole file is no list. A list is read by as many tasks as its file has splits.
     """
     if lines:
         rows = spark.read.text(path).where(F.trim("value") != "")
         items = rows.select(*_in_order(rows), F.parse_json("value").alias("item"))
         items = trajectory.global_rank(items, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("index"), "item")
     else:
-        whole = _bytes(spark, path).select(F.decode("content", "UTF-8").alias("text"))
-        if whole.where(~F.startswith(F.ltrim(F.regexp_replace("text", r"(?U)^\s+", "")), F.lit("["))).limit(1).count():
-            raise ValueError("a JSON list is expected")
-        items = whole.select(F.posexplode(F.try_variant_get(F.parse_json("text"), "$", "array<variant>")).alias("index", "item")).withColumn("index", F.col("index").cast("long"))
+        items = json_list.items(spark, path).select("index", F.parse_json("text").alias("item"))
     if limit > 0:
         items = items.where(F.col("index") < limit)
     extra = F.try_variant_get("item", "$.extra_info.db_id", "string").alias("extra_db_id")

@@ -78,3 +78,18 @@ def manifest(split: DataFrame, counts: dict, settings: dict, source: dict, outpu
         "outputs": outputs,
     }
     return json.dumps(said, indent=2, ensure_ascii=False)
+
+
+def write_lists(rows: DataFrame, path: str) -> None:
+    """Write rows as JSON lists, one file with a list for each partition that has rows."""
+
+    def listed(batches):
+        begun = False
+        for batch in batches:
+            marks = ["," if begun or k else "[" for k in range(len(batch))]
+            begun = begun or len(batch) > 0
+            yield batch.assign(value=[m + v for m, v in zip(marks, batch["value"])])
+        if begun:
+            yield batch.iloc[:0].reindex([0]).assign(value="]")
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(listed, "value string").write.text(path)
