@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.operators import dedup, judging, selection, trajectory
 from millrace.session import build, ship_package
 from millrace.sources import readers, sinks
-from millrace.sources.shared import written, write_text
+from millrace.sources.shared import shared_dir, write_text, written
 
 
 @dataclass
@@ -36,21 +37,23 @@ def ranked(df: DataFrame) -> DataFrame:
     return trajectory.global_rank(df, F.desc("final_reward"), F.asc("index")).withColumnRenamed("__rank", "rank").drop("__rows")
 
 
-def curate(items: DataFrame, settings: selection.Selection, *, ask: Callable[[str, str], tuple[float, str]] | None = None, judged: int = 0, cache: DataFrame | None = None, cache_path: str | None = None) -> Curated:
+def curate(items: DataFrame, settings: selection.Selection, *, ask: Callable[[str, str], tuple[float, str]] | None = None, judged: int = 0, cache: DataFrame | None = None, cache_path: str | None = None, retry_failures: bool = True, rate: float | None = None) -> Curated:
     """Score, judge, dedup, pick and split ``items`` (index, id, group, level, messages). Raises ValueError if too few rows are left or no split fits.
 
-    ``ask`` marks the ``judged`` best rows that ``cache`` has no success for; its verdicts, failures too, are appended to ``cache_path``.
+    ``ask`` marks the ``judged`` best rows that ``cache`` has no success for, at most ``rate`` a second; its verdicts, failures too, are appended to ``cache_path`` batch by batch, so a run that dies loses none it has finished.
+    Without ``retry_failures`` a failure in the cache is a verdict for good.
     """
     scored = written(trajectory.rewarded(trajectory.records(items)), "curation-scored")
     if judged > 0 and ask is not None:
-        known = judging.latest_verdicts(cache) if cache is not None else None
+        known = judging.latest_verdicts(cache, retry_failures=retry_failures) if cache is not None else None
         best = scored.orderBy(F.desc("deterministic_reward"), "index").limit(judged)
-        asked = best if known is None else best.join(known, "message_hash", "left_anti")
-        new = written(judging.judge(asked, judged, ask), "curation-verdicts")
-        if cache_path:
-            judging.append_verdicts(new, cache_path)
-        verdicts = new if known is None else known.join(best.select("message_hash").distinct(), "message_hash", "left_semi").unionByName(new)
-        scored = judging.blended(scored, verdicts)
+        log = cache_path or f"{shared_dir(items.sparkSession)}/millrace/verdicts-{uuid.uuid4().hex}"
+        asked = judging.judge_into(scored, judged, ask, log, known=known, rate=rate)
+        fresh = readers.judge_cache(items.sparkSession, log) if asked else None
+        new = None if fresh is None else judging.latest_verdicts(fresh, retry_failures=False)
+        verdicts = new if known is None else known if new is None else new.unionByName(known.join(new, "message_hash", "left_anti"))
+        if verdicts is not None:
+            scored = judging.blended(scored, verdicts.join(best.select("message_hash").distinct(), "message_hash", "left_semi"))
     rows = written(ranked(scored), "curation-ranked")
     exact = written(_exact(rows), "curation-exact")
     near = written(dedup.near_dedup(exact, "rank", "normalized_prompt", "task_prompt", threshold=settings.near_duplicate_threshold, neighbors=settings.dedup_neighbors), "curation-near")
