@@ -231,8 +231,8 @@ def profile_missing(spark, d):
     return profiling.missing_counts(customers.withColumn("c_acctbal", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))))
 
 
-def _describe_sql(column: str) -> str:
-    return f"SELECT '{column}' AS column, count({column}) AS count, round(avg({column}), 4) AS mean, round(stddev_samp({column}), 4) AS std, round(min({column})::DOUBLE, 4) AS min, round(quantile_cont({column}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({column}::DOUBLE, 0.5), 4) AS p50, round(quantile_cont({column}::DOUBLE, 0.75), 4) AS p75, round(max({column})::DOUBLE, 4) AS max FROM part"
+def _describe_sql(column: str, of: str = "part") -> str:
+    return f"SELECT '{column}' AS column, count({column}) AS count, round(avg({column}), 4) AS mean, round(stddev_samp({column}), 4) AS std, round(min({column})::DOUBLE, 4) AS min, round(quantile_cont({column}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({column}::DOUBLE, 0.5), 4) AS p50, round(quantile_cont({column}::DOUBLE, 0.75), 4) AS p75, round(max({column})::DOUBLE, 4) AS max FROM {of}"
 
 
 @query(" UNION ALL ".join(map(_describe_sql, ("p_partkey", "p_size", "p_retailprice"))))
@@ -240,6 +240,14 @@ def profile_describe(spark, d):
     return profiling.describe(table(spark, d, "part"))
 
 
+_MEASURES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(_describe_sql(c, "lineitem") for c in _MEASURES))
+def profile_describe_lines(spark, d):
+    return profiling.describe(table(spark, d, "lineitem"))
+
+
 # Trajectories.
 
 
