@@ -33,33 +33,51 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"r": out})
 
 
-def exact_dedup(df: DataFrame, rank: str, keys: list[str], optional: tuple[str, ...] = (), few: int = 100_000) -> DataFrame:
+def _scan_group(group: pd.DataFrame) -> pd.DataFrame:
+    """Ranks that a scan keeps of one component."""
+    return next(_scan(iter([group[["r", "k"]].sort_values(["r", "k"], kind="stable")])))
+
+
+def exact_dedup(df: DataFrame, rank: str, keys: list[str], optional: tuple[str, ...] = (), few: int = 100_000, rounds: int = 4, largest: int = 2_000_000) -> DataFrame:
     """The rows that a scan by ``rank`` keeps when it drops each row that shares a key with a row kept before; a dropped row reserves nothing.
 
     Rounds instead of a scan: a row that has the least rank among the undecided rows of all its keys is kept, undecided rows that share a
     key with it are dropped, until nothing is undecided (Blelloch, Fineman and Shun, 2012). Null keys never
     conflict, nor do empty ones of the columns in ``optional``. Ranks must differ. In random orders few rounds decide nearly all rows, but rows that each conflict with
-    the next in rank alone are decided two a round; so once at most ``few`` keys of undecided rows are left, one task scans those. More than that in such chains take as many rounds as they are long.
+    the next in rank alone are decided two a round. So after ``rounds`` rounds the undecided rows are parted into components, which share no key: each of up to ``largest`` keys (some 200 MB in a task) is scanned by itself, many at a
+    time, and only larger ones take further rounds. At most ``few`` keys are scanned at once, without components.
     """
     keyed = F.array(*(F.when(F.col(k) != "", F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) if k in optional else F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in keys))
     links = written(df.select(F.col(rank).alias("r"), F.explode(F.filter(keyed, lambda k: k.isNotNull())).alias("k")), "dedup-keys")
-    kept = written(df.select(F.col(rank).alias("r")).join(links.select("r"), "r", "left_anti"), "dedup-kept")
-    parts, old = [kept], [links]
-    while links.limit(few + 1).count() > few:
-        least = links.groupBy("k").agg(F.min("r").alias("m"))
-        winners = written(links.join(least, "k").groupBy("r").agg(F.min(F.expr("r = m")).alias("w")).where("w").select("r"), "dedup-winners")
-        taken = links.join(winners, "r", "left_semi").select("k").distinct()
-        gone = links.join(taken, "k", "left_semi").select("r").distinct()
-        parts.append(winners)
-        links = written(links.join(gone, "r", "left_anti"), "dedup-keys")
-        old.append(links)
     kind = df.schema[rank].dataType.simpleString()
+    parts = [written(df.select(F.col(rank).alias("r")).join(links.select("r"), "r", "left_anti"), "dedup-kept")]
+    done = 0
+    while links.limit(few + 1).count() > few:
+        if done == rounds:  # what conflicts in long chains is scanned component by component
+            mates = links.join(links.groupBy("k").agg(F.min("r").alias("b")), "k").where("r <> b").select(F.col("r").alias("a"), "b").distinct()
+            member = linked_components(links.select(F.col("r").alias("id")).distinct(), mates).withColumnRenamed("id", "r")
+            sized = member.join(links.groupBy("r").agg(F.count("*").alias("n")), "r").groupBy("component").agg(F.sum("n").alias("n"))
+            small = written(links.join(member, "r").join(sized.where(F.col("n") <= largest), "component").select("component", "r", "k"), "dedup-components")
+            parts.append(written(small.groupBy("component").applyInPandas(_scan_group, f"r {kind}"), "dedup-winners"))
+            links, old = written(links.join(small.select("r").distinct(), "r", "left_anti"), "dedup-keys"), links
+            discard(old, small, member)
+        else:
+            least = links.groupBy("k").agg(F.min("r").alias("m"))
+            winners = written(links.join(least, "k").groupBy("r").agg(F.min(F.expr("r = m")).alias("w")).where("w").select("r"), "dedup-winners")
+            taken = links.join(winners, "r", "left_semi").select("k").distinct()
+            gone = links.join(taken, "k", "left_semi").select("r").distinct()
+            parts.append(winners)
+            links, old = written(links.join(gone, "r", "left_anti"), "dedup-keys"), links
+            discard(old)
+        done += 1
     parts.append(written(links.repartition(1).sortWithinPartitions("r", "k").mapInPandas(_scan, f"r {kind}"), "dedup-winners"))
-    discard(*old)
+    discard(links)
     kept = parts[0]
     for part in parts[1:]:
         kept = kept.unionByName(part)
-    return df.join(kept.withColumnRenamed("r", "__r"), F.col(rank) == F.col("__r"), "left_semi")
+    out = df.join(kept.withColumnRenamed("r", "__r"), F.col(rank) == F.col("__r"), "left_semi")
+    out._millrace_parts = parts
+    return out
 
 
 def char_ngrams(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
@@ -118,10 +136,10 @@ def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = written(spread.join(jump, "new", "left").select("id", "component", F.least("new", "root").alias("new")), "labels")
         discard(labels)
         labels = after.select("id", F.col("new").alias("component"))
+        labels._millrace_path = after._millrace_path
         if after.where("new < component").isEmpty():
             discard(both)
             return labels
-        labels._millrace_path = after._millrace_path
 
 
 def near_dedup(df: DataFrame, rank: str, text_col: str, fallback_col: str | None = None, *, threshold: float = 0.93, neighbors: int | None = 8, max_features: int | None = 45_000) -> DataFrame:

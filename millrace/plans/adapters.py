@@ -64,12 +64,17 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     gathered = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
     return gathered.select(
-        F.col("conv_id").alias("index"), F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("g"), (F.col("conv_id") % 23).cast("string")).alias("group"), F.when(F.size("m") <= 3, "Easy").when(F.size("m") <= 5, "Medium").otherwise("Hard").alias("level"), messages
+        F.col("conv_id").alias("index"), F.col("conv_id").cast("string").alias("id"), F.expr(GROUPED).alias("group"), F.when(F.size("m") <= 3, "Easy").when(F.size("m") <= 5, "Medium").otherwise("Hard").alias("level"), messages
     )
 
 
-#: Content of a message by rule; the same text for Spark and DuckDB.
+#: Group of a conversation by rule: a third of all share one.
+GROUPED = "CASE WHEN conv_id % 3 = 0 THEN 'g0' ELSE concat('g', conv_id % 23) END"
+
+#: Content of a message by rule; the same text for Spark and DuckDB. Every seventh conversation opens with a prompt of one template, in three wordings that differ by a letter or two; every fifth has code that does not parse.
 DECORATED = r"""CASE
+ WHEN role = 'user' AND turn <= 1 AND conv_id % 7 = 1 THEN concat('Please sum up the quarterly report of the northern branch office for the board of directors, with all figures and every open question', CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 's' ELSE ' ?' END)
+ WHEN role = 'assistant' AND (conv_id * 7 + turn) % 4 = 0 AND conv_id % 5 = 0 THEN concat(text, chr(10), '```python', chr(10), 'print((', turn, ')', chr(10), '```')
  WHEN role = 'assistant' AND (conv_id * 7 + turn) % 4 = 0 THEN concat('<think>plan</think>', text, chr(10), '```python', chr(10), 'print(', turn, ')', chr(10), '```')
  WHEN role = 'assistant' AND (conv_id * 7 + turn) % 4 = 1 THEN concat(text, chr(10), '<code>select 1</code>')
  WHEN role = 'assistant' AND (conv_id * 7 + turn) % 4 = 2 THEN concat(text, '<answer>', left(text, 60), '</answer>')
@@ -80,7 +85,7 @@ DECORATED = r"""CASE
 #: Messages, ``msg``, and trajectories, ``traj``, as common table expressions.
 TRAJ = f"""
 msg AS (SELECT conv_id, turn, role, {DECORATED} AS content FROM conversations),
-traj AS (SELECT conv_id AS idx, CAST(conv_id AS VARCHAR) AS id, 'g' || (conv_id % 23) AS grp, CASE WHEN count(*) <= 3 THEN 'Easy' WHEN count(*) <= 5 THEN 'Medium' ELSE 'Hard' END AS level,
+traj AS (SELECT conv_id AS idx, CAST(conv_id AS VARCHAR) AS id, {GROUPED} AS grp, CASE WHEN count(*) <= 3 THEN 'Easy' WHEN count(*) <= 5 THEN 'Medium' ELSE 'Hard' END AS level,
   string_agg(content, chr(10) ORDER BY turn) AS alltext, count(*) AS n_messages,
   coalesce(string_agg(content, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS assistant_text,
   count(*) FILTER (role = 'assistant') AS assistant_turns,

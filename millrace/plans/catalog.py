@@ -332,8 +332,9 @@ def _scored(spark, d) -> DataFrame:
 
 
 _PY = "len(regexp_extract_all(assistant_text, '```python'))"
-#: Blocks are print(n) or a select by construction, so syntax is 1 with a print, 0.5 with selects alone, 0 without blocks.
-_SYNTAX = f"CASE WHEN {_PY} > 0 THEN 1.0 WHEN {_BLOCKS} > 0 THEN 0.5 ELSE 0.0 END"
+#: Blocks are print(n), which parses, print((n), which does not, or a select by construction: the share of the first among the first two, 0.5 with selects alone, 0 without blocks.
+_PARSES = r"len(regexp_extract_all(assistant_text, '```python\nprint\([0-9]+\)\n```'))"
+_SYNTAX = f"CASE WHEN {_PY} > 0 THEN {_PARSES} / {_PY}::DOUBLE WHEN {_BLOCKS} > 0 THEN 0.5 ELSE 0.0 END"
 _COMPLETE = "(" + " + ".join(f"CAST(regexp_matches(alltext, '(?is)<{t}>.*?</{t}>') AS DOUBLE)" for t in X.TAGS) + ") / 4"
 _REWARD = f"""sc AS (SELECT *, round({_RAW}, 9) AS raw, CAST({_SYNTAX} AS DOUBLE) AS syntax_score, CAST({_EXEC} AS DOUBLE) AS exec, {_COMPLETE} AS complete, CAST({_quality_sql('length(prompt)', 12, 300, 2400)} AS DOUBLE) AS pq, CAST({_quality_sql('length(answer)', 20, 350, 3000)} AS DOUBLE) AS aq FROM traj),
 rk AS (SELECT *, (row_number() OVER (ORDER BY raw, idx) - 1) / (SELECT count(*) - 1 FROM sc)::DOUBLE AS cs FROM sc), rw AS (SELECT *, round(0.2 * cs + 0.2 * syntax_score + 0.2 * exec + 0.2 * complete + 0.1 * pq + 0.1 * aq, 8) AS final_reward FROM rk)"""
@@ -466,6 +467,13 @@ def exact_dedup(spark, d):
     return dedup.exact_dedup(docs, "doc_id", ["hash", "opening", "measure"]).select("doc_id")
 
 
+@query(_SCAN)
+def exact_dedup_rounds(spark, d):
+    """The same rows by rounds and components alone, without a scan of all that is left."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), F.substring("text", 1, 40).alias("opening"), F.concat_ws("/", "lang", "n_chars").alias("measure"))
+    return dedup.exact_dedup(docs, "doc_id", ["hash", "opening", "measure"], few=0, rounds=2).select("doc_id")
+
+
 #: Terms of a table ``t`` (id, text).
 _GRAMS = """w AS (SELECT id, unnest(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM t), p AS (SELECT id, ' ' || w || ' ' AS p, count(*) AS c FROM w WHERE w <> '' GROUP BY ALL),
 g AS (SELECT id, c, substring(p, CAST(s AS BIGINT), n) AS term FROM (SELECT id, p, c, n, unnest(range(1, length(p) - n + 2)) AS s FROM p, (VALUES (3), (4), (5)) t(n) WHERE length(p) >= n)), terms AS (SELECT id, term, CAST(sum(c) AS BIGINT) AS tf FROM g GROUP BY ALL)"""

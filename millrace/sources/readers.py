@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +21,17 @@ def _bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def _in_order(df: DataFrame) -> list:
-    """Columns that put the lines of text files into the order of the files, however they are split: file, start of the split, line within it."""
-    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__line")]
+def _in_order(rows: DataFrame, *columns) -> DataFrame:
+    """``columns`` of the lines ``rows`` of text files, and ``index``: 0, 1, ... over all files by path, in the order of their lines, however files are split.
 
-
-_ORDER = ("__file", "__start", "__line")
+    Lines of a split follow one another in a task, so a line's number is its place there plus the lines of the splits before: one aggregation with a row for each split, and no exchange of lines.
+    """
+    placed = rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__line"), *columns)
+    splits = placed.groupBy("__file", "__start").agg(F.count("*").alias("__n"), F.min("__line").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__start")) - F.col("__n")
+    at = splits.select(F.col("__file").alias("__f"), F.col("__start").alias("__s"), "__first", before.alias("__before"))
+    joined = placed.join(F.broadcast(at), (F.col("__file") == F.col("__f")) & (F.col("__start") == F.col("__s")))
+    return joined.withColumn("index", F.col("__before") + F.col("__line") - F.col("__first")).drop("__file", "__start", "__line", "__f", "__s", "__first", "__before")
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +61,7 @@ def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = F
     Raises ValueError if a whole file is no list. A list is read by as many tasks as its file has splits.
     """
     if lines:
-        rows = spark.read.text(path).where(F.trim("value") != "")
-        items = rows.select(*_in_order(rows), F.parse_json("value").alias("item"))
-        items = trajectory.global_rank(items, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("index"), "item")
+        items = _in_order(spark.read.text(path).where(F.trim("value") != ""), F.parse_json("value").alias("item"))
     else:
         items = json_list.items(spark, path).select("index", F.parse_json("text").alias("item"))
     if limit > 0:
@@ -74,9 +77,7 @@ def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = F
 
 def training_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """(index, messages) of JSON lines for training: role and content as text whatever their type, messages without both and lines without messages left out; ``limit`` counts lines that are kept."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    items = lines.select(*_in_order(lines), F.parse_json("value").alias("item"))
-    items = trajectory.global_rank(items, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("index"), "item")
+    items = _in_order(spark.read.text(path).where(F.trim("value") != ""), F.parse_json("value").alias("item"))
     raw = F.coalesce(F.try_variant_get("item", "$.messages", "array<variant>"), F.array().cast("array<variant>"))
     text = lambda m, name: F.try_variant_get(m, f"$.{name}", "string")
     both = F.filter(F.transform(raw, lambda m: F.struct(text(m, "role").alias("role"), text(m, "content").alias("content"))), lambda m: m["role"].isNotNull() & m["content"].isNotNull())
@@ -131,8 +132,7 @@ def judge_cache(spark: SparkSession, path: str) -> DataFrame:
     glm = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("reason", T.StringType()), T.StructField("api_success", T.BooleanType())])
     schema = T.StructType([T.StructField("message_hash", T.StringType()), T.StructField("glm", glm)])
     log = spark.read.schema(schema).json(path)
-    log = log.select(*_in_order(log), "message_hash", "glm.*")
-    return trajectory.global_rank(log, *(F.col(c).asc() for c in _ORDER)).select(F.col("__rank").alias("position"), "message_hash", "score", "reason", "api_success")
+    return _in_order(log, "message_hash", "glm.*").select(F.col("index").alias("position"), "message_hash", "score", "reason", "api_success")
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -319,3 +320,48 @@ def test_chains_of_conflicts_end_in_a_scan(spark):
     for few in (1000, 0):
         kept = sorted(r["rank"] for r in dedup.exact_dedup(df.where("rank < 12") if few == 0 else df, "rank", ["a", "b", "c"], few=few).collect())
         assert kept == list(range(0, 12 if few == 0 else 60, 2))
+
+
+def test_long_chains_are_scanned_by_component(spark):
+    """Chains that rounds would take hundreds of turns for, with a bounded number of jobs; a component above the bound goes on by rounds."""
+    rows = [(c * 3000 + i, f"{c}a{i // 2}", f"{c}b{(i + 1) // 2}") for c in range(3) for i in range(3000 if c else 8)]
+    df = spark.createDataFrame(rows, "rank long, a string, b string")
+    tracker, before = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    kept = sorted(r["rank"] for r in dedup.exact_dedup(df, "rank", ["a", "b"], few=0, rounds=1).collect())
+    assert kept == sorted(r[0] for r in rows if r[0] % 2 == 0)
+    assert len(tracker.getJobIdsForGroup()) - before < 400
+    small = df.where("rank < 8 OR rank >= 6000 AND rank < 6040")
+    kept = sorted(r["rank"] for r in dedup.exact_dedup(small, "rank", ["a", "b"], few=0, rounds=1, largest=20).collect())
+    assert kept == [r for r in range(0, 8, 2)] + list(range(6000, 6040, 2))
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    wanted, k = [], 0
+    for f in range(3):
+        with open(folder / f"part-{f}.jsonl", "w") as out:
+            for _ in range(50):
+                out.write(json.dumps({"messages": [{"role": "user", "content": f"line {k}"}]}) + "\n" * (1 + k % 2))
+                wanted.append((k, f"line {k}"))
+                k += 1
+    from millrace.sources import readers
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = readers.training_lines(spark, str(folder))
+        assert sorted((r["index"], r["messages"][0]["content"]) for r in df.collect()) == wanted
+        items = readers.trajectories(spark, str(folder), lines=True)
+        assert sorted((r["index"], r["messages"][0]["content"]) for r in items.collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_the_table_rows_make_queries_drop_some(spark):
+    """Caps, near copies and code that does not parse are among the trajectories, so that their queries show it."""
+    from millrace.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    total = catalog.QUERIES["traj_messages"](spark, sf).count()
+    assert catalog.QUERIES["capped_topk"](spark, sf).count() < total > catalog.QUERIES["near_dedup"](spark, sf).count()
+    assert catalog.QUERIES["python_syntax"](spark, sf).where("syntax_score IN (0.0, 0.5, 1.0)").select("syntax_score").distinct().count() == 3
