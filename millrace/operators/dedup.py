@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,26 +105,148 @@ def tfidf(terms: DataFrame, *, min_df: int = 2, max_features: int | None = 45_00
     return weighed.join(norm, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def _prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, term, tail) of the indexed terms: from the rarest on, as long as what follows could reach ``threshold`` alone; ``tail`` is the length of the vector from the term on."""
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
+    placed = vectors.join(df, "term").withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
+    return placed.where(F.col("tail") >= threshold - 1e-9).select("id", "term", "tail")
+
+
+def _listed_pairs(prefix: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of vectors that share an indexed term. Where the first one they share stands, what is left of both bounds their product."""
+    left, right = (prefix.select(F.col("id").alias(n), "term", F.col("tail").alias(f"tail_{n}")) for n in "ab")
+    met = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.max(F.col("tail_a") * F.col("tail_b")).alias("most"))
+    candidates = met.where(F.col("most") >= threshold - 1e-9).select("a", "b")
+    x, y = vectors.select(F.col("id").alias("a"), "term", F.col("weight").alias("x")), vectors.select(F.col("id").alias("b"), "term", F.col("weight").alias("y"))
+    return candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+#: Vectors that share an indexed term are paired one by one up to so many; beyond, in blocks of about so many.
+LIST, BLOCK = 200, 2048
+#: A term that so many vectors of two blocks hold is multiplied as a column of a full matrix, rarer ones each by itself.
+FULL = 48
+
+
+def products(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Inner products of sparse vectors (terms, weights), each of ``left`` with each of ``right``."""
+    sides = []
+    for vectors in (left, right):
+        sizes = [len(t) for t, _ in vectors]
+        sides.append((np.repeat(np.arange(len(vectors)), sizes), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])))
+    terms, counts = np.unique(np.concatenate([sides[0][1], sides[1][1]]), return_counts=True)
+    codes = [np.searchsorted(terms, side[1]) for side in sides]
+    full = np.flatnonzero(counts >= FULL)
+    place = np.full(len(terms), -1)
+    place[full] = np.arange(len(full))
+    dense = []
+    for (rows, _, weights), code, vectors in zip(sides, codes, (left, right)):
+        matrix = np.zeros((len(vectors), len(full)))
+        on = place[code] >= 0
+        matrix[rows[on], place[code[on]]] = weights[on]
+        dense.append(matrix)
+    out = dense[0] @ dense[1].T
+    rare = []
+    for (rows, _, weights), code in zip(sides, codes):
+        keep = place[code] < 0
+        order = np.argsort(code[keep], kind="stable")
+        rare.append((code[keep][order], rows[keep][order], weights[keep][order]))
+    for term in np.intersect1d(rare[0][0], rare[1][0]):
+        (la, ha), (lb, hb) = (np.searchsorted(side[0], (term, term + 1)) for side in rare)
+        out[np.ix_(rare[0][1][la:ha], rare[1][1][lb:hb])] += np.outer(rare[0][2][la:ha], rare[1][2][lb:hb])
+    return out
+
+
+def _block_heaps(threshold: float, k: int):
+    """The ``k`` nearest of each vector of two blocks among those of the other."""
+
+    def best(near: np.ndarray, ids: np.ndarray, others: np.ndarray) -> tuple[list, list, list]:
+        out: tuple[list, list, list] = ([], [], [])
+        for row, name in zip(near, ids):
+            found = np.flatnonzero(row >= threshold)
+            if len(found) > k:
+                # The k-th value bounds the heap; of equals at the bound the smaller ids stay.
+                bound = np.partition(row[found], -k)[-k]
+                found = found[row[found] >= bound]
+                found = found[np.lexsort((others[found], -row[found]))][:k]
+            out[0].extend([name] * len(found))
+            out[1].extend(others[found])
+            out[2].extend(row[found])
+        return out
+
+    def of(table: pa.Table) -> pa.Table:
+        block = table["block"].to_numpy()
+        ids, tails = table["id"].to_numpy(), table["tail"].to_numpy()
+        vectors = [(np.asarray(t.as_py(), np.int64), np.asarray(w.as_py(), float)) for t, w in zip(table["terms"], table["weights"])]
+        first, second = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        columns: tuple[list, list, list] = ([], [], [])
+        if len(left) and len(right) and tails[left].max() * tails[right].max() >= threshold - 1e-9:
+            near = np.round(products([vectors[i] for i in left], [vectors[i] for i in right]), 12)
+            near[ids[left][:, None] == ids[right][None, :]] = -1  # a vector is not its own neighbour
+            for found in [best(near, ids[left], ids[right])] + ([best(near.T, ids[right], ids[left])] if first != second else []):
+                for column, values in zip(columns, found):
+                    column.extend(values)
+        return pa.table({"a": pa.array(columns[0], table["id"].type), "b": pa.array(columns[1], table["id"].type), "similarity": pa.array(columns[2], pa.float64())})
+
+    return of
+
+
+def _blocked(prefix: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, similarity): up to ``k`` nearest of each vector for each pair of blocks of a list. Lists of the same vectors are one, read at the first of their terms."""
+    kind = vectors.schema["id"].dataType.simpleString()
+    lists = prefix.groupBy("term").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.hash("id")).alias("h2"))
+    members = prefix.join(lists, "term").groupBy("n", "h1", "h2", "id").agg(F.max("tail").alias("tail"))
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = dealt.select("n", "h1", "h2", "id", "tail", "block", other).select("n", "h1", "h2", "id", "tail", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    entries = vectors.groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w"))).alias("v"))
+    whole = entries.select("id", F.col("v.t").alias("terms"), F.col("v.w").alias("weights"))
+    return pairs.join(whole, "id").groupBy("n", "h1", "h2", "i", "j").applyInArrow(_block_heaps(threshold, k), f"a {kind}, b {kind}, similarity double")
+
+
+def nearest(vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, similarity): for each of the unit vectors (id, term, weight) its up to ``k`` most similar others with at least ``threshold``, equals by id.
+
+    Vectors that are equal are one class, which is compared once. Classes that share an indexed term are candidates: up to ``LIST`` of them pair by pair; beyond, they are dealt into blocks, each two blocks are multiplied in a task and give only
+    the ``k`` nearest of each vector. So the rows given out grow with the vectors times blocks, not with the square of a list. Each class then stands for its first ``k`` + 1 members.
+    """
+    entries = vectors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 7).alias("w")))).alias("v"))
+    named = entries.select("id", F.xxhash64("v").alias("x"), F.hash("v").alias("y"), F.size("v").alias("z"))
+    of = Window.partitionBy("x", "y", "z")
+    member = written(named.select("id", F.min("id").over(of).alias("class"), (F.row_number().over(of.orderBy("id")) - 1).alias("place"), F.count("*").over(of).alias("size")), "vector-classes")
+    own = written(vectors.join(member.where("place = 0").select("id"), "id", "left_semi"), "vector-own")
+    prefix = written(_prefixes(own, threshold), "vector-prefixes")
+    lengths = prefix.groupBy("term").agg(F.count("*").alias("n"))
+    few = prefix.join(lengths.where(F.col("n") <= LIST).select("term"), "term", "left_semi")
+    many = prefix.join(lengths.where(F.col("n") > LIST).select("term"), "term", "left_semi")
+    listed = written(_listed_pairs(few, own, threshold), "vector-pairs")
+    both = listed.unionByName(listed.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(_blocked(many, own, threshold, k))
+    best = both.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    # A class with k others before it needs no more, as each has a member at least.
+    ranked = best.withColumn("__k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("__k") <= k).drop("__k")
+    first = member.where(F.col("place") <= k).select(F.col("class").alias("b"), F.col("id").alias("other"))
+    near = written(ranked.join(first, "b").select(F.col("a").alias("class"), F.col("other").alias("b"), "similarity"), "vector-near")
+    open_ = member.where(F.col("size") <= k).select(F.col("id").alias("a"), "class")
+    mates = member.select(F.col("id").alias("a"), "class").join(first.select(F.col("b").alias("class"), F.col("other").alias("b")), "class").where("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    found = mates.unionByName(open_.join(near, "class").select("a", "b", "similarity"))
+    out = written(found.withColumn("__k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("__k") <= k).drop("__k"), "vector-nearest")
+    discard(member, own, prefix, listed, near)
+    return out
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, neighbors: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of unit vectors (id, term, weight) with at least ``threshold``.
 
-    Only a prefix of each vector is indexed: terms from the rarest on, as long as what follows could still
-    reach the threshold alone. Two vectors that reach it share a term of both prefixes. With ``neighbors``,
-    a pair stays only if one is among the other's most similar so many.
+    Only a prefix of each vector is indexed: two vectors that reach the threshold share a term of both prefixes. With ``neighbors``,
+    a pair stays only if one is among the other's most similar so many, itself counted; then no list of all pairs is made (``nearest``).
     """
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    placed = vectors.join(df, "term").withColumn("__tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
-    prefix = placed.where(F.col("__tail") >= threshold - 1e-9).select("id", "term")
-    left, right = prefix.select(F.col("id").alias("a"), "term"), prefix.select(F.col("id").alias("b"), "term")
-    candidates = left.join(right, "term").where("a < b").select("a", "b").distinct()
-    x, y = vectors.select(F.col("id").alias("a"), "term", F.col("weight").alias("x")), vectors.select(F.col("id").alias("b"), "term", F.col("weight").alias("y"))
-    pairs = candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
     if neighbors is None:
-        return pairs
-    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    near = both.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("k") <= neighbors - 1)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
+        return _listed_pairs(_prefixes(vectors, threshold), vectors, threshold)
+    near = nearest(vectors, threshold, neighbors - 1)
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    pairs._millrace_path = near._millrace_path
+    return pairs
 
 
 def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,5 +273,6 @@ def near_dedup(df: DataFrame, rank: str, text_col: str, fallback_col: str | None
     terms = written(char_ngrams(rows, "id", "text"), "terms")
     vectors = written(tfidf(terms, max_features=max_features), "vectors")
     pairs = cosine_pairs(vectors, threshold, max(2, neighbors) if neighbors else None)
-    best = linked_components(rows.select("id"), pairs).where("id = component").select(F.col("id").alias("__best"))
-    return df.join(best, F.col(rank) == F.col("__best"), "left_semi")
+    groups = linked_components(rows.select("id"), pairs)
+    discard(terms, vectors, pairs)
+    return df.join(groups.where("id = component").select(F.col("id").alias("__best")), F.col(rank) == F.col("__best"), "left_semi")
