@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import discard, written
+from millrace.sources.shared import discard, owning, written
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,9 +77,7 @@ def exact_dedup(df: DataFrame, rank: str, keys: list[str], optional: tuple[str,
     kept = parts[0]
     for part in parts[1:]:
         kept = kept.unionByName(part)
-    out = df.join(kept.withColumnRenamed("r", "__r"), F.col(rank) == F.col("__r"), "left_semi")
-    out._millrace_parts = parts
-    return out
+    return owning(df.join(kept.withColumnRenamed("r", "__r"), F.col(rank) == F.col("__r"), "left_semi"), *parts)
 
 
 def char_ngrams(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: int = 5) -> DataFrame:
@@ -245,8 +243,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float, neighbors: int | None = N
         return _listed_pairs(_prefixes(vectors, threshold), vectors, threshold)
     near = nearest(vectors, threshold, neighbors - 1)
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    pairs._millrace_path = near._millrace_path
-    return pairs
+    return owning(pairs, near)
 
 
 def linked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -275,4 +272,4 @@ def near_dedup(df: DataFrame, rank: str, text_col: str, fallback_col: str | None
     pairs = cosine_pairs(vectors, threshold, max(2, neighbors) if neighbors else None)
     groups = linked_components(rows.select("id"), pairs)
     discard(terms, vectors, pairs)
-    return df.join(groups.where("id = component").select(F.col("id").alias("__best")), F.col(rank) == F.col("__best"), "left_semi")
+    return owning(df.join(groups.where("id = component").select(F.col("id").alias("__best")), F.col(rank) == F.col("__best"), "left_semi"), groups)

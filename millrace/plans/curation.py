@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from millrace.operators import dedup, judging, selection, trajectory
 from millrace.session import build, ship_package
 from millrace.sources import readers, sinks
-from millrace.sources.shared import shared_dir, write_text, written
+from millrace.sources.shared import discard, owning, shared_dir, write_text, written
 
 
 @dataclass
 class Curated:
-    """A split (all columns of the records, and ``split``), and how many rows each step has left."""
+    """A split (all columns of the records, and ``split``; a table in the shared folder, which the caller may ``discard``), and how many rows each step has left."""
 
     split: DataFrame
     source: int
@@ -33,8 +33,16 @@ class Curated:
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """Adds ``rank``: 0 for the best reward, equals by index."""
-    return trajectory.global_rank(df, F.desc("final_reward"), F.asc("index")).withColumnRenamed("__rank", "rank").drop("__rows")
+    """Adds ``rank``: 0 for the best reward, equals by index, which no two rows share. Only these columns are sorted."""
+    order = trajectory.global_rank(df.select("final_reward", "index"), F.desc("final_reward"), F.asc("index"))
+    return owning(df.join(order.select("index", F.col("__rank").alias("rank")), "index"), order)
+
+
+def _step(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
+    """``df`` written, and what it was made of deleted: the tables that it owns and those ``done`` with."""
+    out = written(df, label)
+    discard(*getattr(df, "_millrace_tables", ()), *done)
+    return out
 
 
 def curate(items: DataFrame, settings: selection.Selection, *, ask: Callable[[str, str], tuple[float, str]] | None = None, judged: int = 0, cache: DataFrame | None = None, cache_path: str | None = None, retry_failures: bool = True, rate: float | None = None) -> Curated:
@@ -43,7 +51,8 @@ def curate(items: DataFrame, settings: selection.Selection, *, ask: Callable[[st
     ``ask`` marks the ``judged`` best rows that ``cache`` has no success for, at most ``rate`` a second; its verdicts, failures too, are appended to ``cache_path`` batch by batch, so a run that dies loses none it has finished.
     Without ``retry_failures`` a failure in the cache is a verdict for good.
     """
-    scored = written(trajectory.rewarded(trajectory.records(items)), "curation-scored")
+    scored = _step(trajectory.rewarded(trajectory.records(items)), "curation-scored")
+    first = scored
     if judged > 0 and ask is not None:
         known = judging.latest_verdicts(cache, retry_failures=retry_failures) if cache is not None else None
         best = scored.orderBy(F.desc("deterministic_reward"), "index").limit(judged)
@@ -54,25 +63,29 @@ def curate(items: DataFrame, settings: selection.Selection, *, ask: Callable[[st
         verdicts = new if known is None else known if new is None else new.unionByName(known.join(new, "message_hash", "left_anti"))
         if verdicts is not None:
             scored = judging.blended(scored, verdicts.join(best.select("message_hash").distinct(), "message_hash", "left_semi"))
-    rows = written(ranked(scored), "curation-ranked")
-    exact = written(_exact(rows), "curation-exact")
-    near = written(dedup.near_dedup(exact, "rank", "normalized_prompt", "task_prompt", threshold=settings.near_duplicate_threshold, neighbors=settings.dedup_neighbors), "curation-near")
+    rows = _step(ranked(scored), "curation-ranked", first)
+    source = rows.count()
+    exact = _step(_exact(rows), "curation-exact", rows)
+    after_exact = exact.count()
+    near = _step(dedup.near_dedup(exact, "rank", "normalized_prompt", "task_prompt", threshold=settings.near_duplicate_threshold, neighbors=settings.dedup_neighbors), "curation-near", exact)
+    after_near = near.count()
     size = settings.train_size + settings.val_size
-    pool = written(selection.capped_pool(near, size, settings.max_per_group), "curation-pool")
+    pool = _step(selection.capped_pool(near, size, settings.max_per_group), "curation-pool", near)
     split = selection.group_split(selection.checked_size(pool, size), settings.val_size, settings.seed, settings.trials)
-    return Curated(selection.validated(written(split, "curation-split"), settings), rows.count(), exact.count(), near.count())
+    return Curated(selection.validated(_step(split, "curation-split", pool), settings), source, after_exact, after_near)
 
 
 def _exact(rows: DataFrame) -> DataFrame:
     """Rows kept by id, messages and prompt; an empty prompt is no key."""
     keyed = rows.withColumn("__prompt", F.when(F.col("normalized_prompt") != "", F.col("prompt_hash")))
-    return dedup.exact_dedup(keyed, "rank", ["id", "message_hash", "__prompt"]).drop("__prompt")
+    kept = dedup.exact_dedup(keyed, "rank", ["id", "message_hash", "__prompt"])
+    return owning(kept.drop("__prompt"), kept)
 
 
 def run(spark: SparkSession, path: str, out: str, settings: selection.Selection = selection.Selection(), *, lines: bool = False, limit: int = 0, **judge) -> Curated:
-    """``curate`` the file at ``path`` into the folder ``out``: train, validation, their metadata, audit and manifest."""
+    """``curate`` the file at ``path`` into the folder ``out``: train, validation, their metadata, audit and manifest. Of the tables on the way only that of the returned split stays."""
     ship_package(spark)
-    items = written(readers.trajectories(spark, path, limit, lines), "curation-items")
+    items = _step(readers.trajectories(spark, path, limit, lines), "curation-items")
     found = curate(items, settings, **judge)
     outputs = {name: f"{out}/{name}" for name in ("train.jsonl", "validation.jsonl", "train_metadata.jsonl", "validation_metadata.jsonl", "selection_audit.csv", "selection_manifest.json")}
     raw = found.split.join(items.select("index", "raw"), "index") if "raw" not in found.split.columns else found.split
@@ -83,6 +96,7 @@ def run(spark: SparkSession, path: str, out: str, settings: selection.Selection
     sinks.write_csv(sinks.audit_rows(found.split, "rank"), outputs["selection_audit.csv"], "split", "rank")
     source = {"path": path, "sha256": {r["path"]: r["sha256"] for r in readers.fingerprint(spark, path).collect()}, "processed_count": found.source}
     write_text(spark, outputs["selection_manifest.json"], sinks.manifest(found.split, found.counts(), asdict(settings), source, outputs))
+    discard(items)
     return found
 
 

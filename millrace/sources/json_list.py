@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, owning, written
 
 #: A text, to its end or that of what is read; or a bracket, or a comma.
 _MARK = re.compile(r'"(?:[^"\\]++|\\.)*+("|\Z)|[\[\]{},]', re.S)
@@ -199,4 +199,4 @@ def items(spark: SparkSession, path: str) -> DataFrame:
     counts = rows.groupBy("file", "start").agg(F.count("*").alias("rows"))
     before = counts.select("file", "start", (F.sum("rows").over(Window.orderBy("file", "start")) - F.col("rows")).alias("before"))
     discard(cuts)
-    return rows.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("n") - 1).alias("index"), "text")
+    return owning(rows.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("n") - 1).alias("index"), "text"), rows)

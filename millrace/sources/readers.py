@@ -11,6 +11,7 @@ from millrace.operators import trajectory
 from millrace.operators.commerce import missing_columns
 
 from . import json_list
+from .shared import owning
 
 #: Encodings of an upload, in the order in which they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
@@ -63,16 +64,18 @@ def trajectories(spark: SparkSession, path: str, limit: int = 0, lines: bool = F
     if lines:
         items = _in_order(spark.read.text(path).where(F.trim("value") != ""), F.parse_json("value").alias("item"))
     else:
-        items = json_list.items(spark, path).select("index", F.parse_json("text").alias("item"))
+        listed = json_list.items(spark, path)
+        items = listed.select("index", F.parse_json("text").alias("item"))
     if limit > 0:
         items = items.where(F.col("index") < limit)
     extra = F.try_variant_get("item", "$.extra_info.db_id", "string").alias("extra_db_id")
     df = items.select("index", *_string_fields(F.col("item")), extra, _messages(F.col("item"), "messages").alias("m"), _messages(F.col("item"), "trajectory").alias("t"), F.to_json("item").alias("raw"))
     df = df.withColumn("sid", trajectory.sample_id(F.col("id"), F.col("task_id"), F.col("index")))
-    return df.select(
+    out = df.select(
         "index", F.col("sid").alias("id"), trajectory.group_key(F.col("filename"), F.col("db_id"), F.col("extra_db_id"), F.col("sid")).alias("group"), trajectory.level_of(F.col("level"), F.col("difficulty")).alias("level"),
         trajectory.cleaned_messages(F.col("m"), F.col("t")).alias("messages"), "raw",
     )
+    return out if lines else owning(out, listed)
 
 
 def training_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:

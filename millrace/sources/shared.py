@@ -35,13 +35,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which reads ``tables``, so that ``discard`` deletes them with it once it is no longer read."""
+    df._millrace_tables = [*getattr(df, "_millrace_tables", ()), *tables]
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
+    """Delete tables made by ``written`` that nothing reads any more, and those that the results given here own."""
     for table in tables:
         path = getattr(table, "_millrace_path", None)
         if path:
             target, files = path_and_filesystem(table.sparkSession, path)
             files.delete(target, True)
+        discard(*getattr(table, "_millrace_tables", ()))
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

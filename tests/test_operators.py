@@ -365,3 +365,22 @@ def test_the_table_rows_make_queries_drop_some(spark):
     total = catalog.QUERIES["traj_messages"](spark, sf).count()
     assert catalog.QUERIES["capped_topk"](spark, sf).count() < total > catalog.QUERIES["near_dedup"](spark, sf).count()
     assert catalog.QUERIES["python_syntax"](spark, sf).where("syntax_score IN (0.0, 0.5, 1.0)").select("syntax_score").distinct().count() == 3
+
+
+def test_a_curation_run_leaves_the_split_alone(spark, tmp_path):
+    """Of all tables on the way from a file to its outputs, the shared folder keeps that of the split."""
+    import os
+
+    from millrace.plans import curation
+    from millrace.sources.shared import discard, shared_dir
+
+    words = "copper lemon river violin harbour saddle marble lantern".split()
+    source = tmp_path / "source.json"
+    source.write_text(json.dumps([item(f"t{i}", f"{a} {b}", f"answer {a}", f"g{i}") for i, (a, b) in enumerate(zip(words, words[1:] + words[:1]))]))
+    folder = shared_dir(spark).removeprefix("file://") + "/millrace"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = curation.run(spark, f"file://{source}", f"file://{tmp_path}/out", selection.Selection(train_size=5, val_size=2, max_per_group=1, trials=50))
+    left = set(os.listdir(folder)) - before
+    assert [name.split("-")[:2] for name in left] == [["curation", "split"]] and found.split.count() == 7
+    discard(found.split)
+    assert set(os.listdir(folder)) == before
