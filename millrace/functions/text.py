@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,41 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What folding case does to single characters, as two texts of the same length, and those that become several; by the rule of ``str.casefold``."""
+    folded = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+    single = {a: b for a, b in folded.items() if len(b) == 1}
+    return "".join(single), "".join(single.values()), {a: b for a, b in folded.items() if len(b) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Text without differences of case, as ``str.casefold`` gives it: unlike ``lower``, ß is ss and final sigma is sigma."""
+    before, after, several = _folding()
+    simple = F.translate(text, before, after)
+    whole = simple
+    for a, b in several.items():
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    return F.when(F.rlike(text, F.lit(f"[{''.join(several)}]")), whole).otherwise(simple)
+
+
+def json_text(text: Column) -> Column:
+    """Text as the json module writes it without escaping what is not ASCII; null as null."""
+    escapes = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+    escapes |= {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in escapes}
+    escaped = text
+    for a, b in escapes.items():
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    safe = F.when(F.rlike(text, F.lit(r'[\x00-\x1f"\\]')), escaped).otherwise(text)
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), safe, F.lit('"')))
+
+
+def json_messages(messages: Column) -> Column:
+    """Messages as JSON with sorted keys, byte for byte as the json module writes it; null as an empty list."""
+    one = lambda m: F.concat(F.lit('{"content": '), json_text(m["content"]), F.lit(', "role": '), json_text(m["role"]), F.lit("}"))
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(messages, one), ", "), F.lit("")), F.lit("]"))
+
+
 def normalize_prompt(text: Column) -> Column:
     """Lower case; back-ticked code and numbers become place holders; marks become spaces; runs of white space one space."""
     out = F.regexp_replace(F.lower(text), "`[^`]+`", " CODE ")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import narratives as N
-from millrace.functions.text import filled, money, percent, strip
+from millrace.functions.text import casefold, filled, money, percent, strip
 
 
 def _any(column: Column, patterns: tuple[str, ...]) -> Column:
@@ -28,12 +28,12 @@ def verdicts(responses: DataFrame) -> DataFrame:
     Tasks without a selected entity always pass. A null value counts as empty.
     """
     value, target = F.coalesce("value", F.lit("")), F.coalesce("target", F.lit(""))
-    low = F.lower(value)
-    lacks = lambda language: ~F.forall(F.array(*(F.lit(h.lower()) for h in N.HEADINGS[language])), lambda h: F.contains(low, h))
+    low, own = casefold(value), casefold(target)
+    lacks = lambda language: ~F.forall(F.array(*(F.lit(h.casefold()) for h in N.HEADINGS[language])), lambda h: F.contains(low, h))
     headings = F.when(F.col("language") == N.CHINESE, lacks(N.CHINESE)).otherwise(lacks(N.ENGLISH))
     identifiers = F.regexp_extract_all(value, F.lit(r"(?U)\b(?=[A-Za-z0-9-]*\d)[A-Za-z0-9-]+\b"), F.lit(0))
-    strange = F.exists(identifiers, lambda i: F.lower(i) != F.lower(target))
-    others = F.filter(F.coalesce("known", F.array().cast("array<string>")), lambda e: (F.lower(e) != F.lower(target)) & F.rlike(value, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), _literal(e), F.lit(r"(?![\p{L}\p{N}_])"))))
+    strange = F.exists(identifiers, lambda i: casefold(i) != own)
+    others = F.filter(F.coalesce("known", F.array().cast("array<string>")), lambda e: (casefold(e) != own) & F.rlike(value, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), _literal(e), F.lit(r"(?![\p{L}\p{N}_])"))))
     numbers = F.rlike(F.when(target == "", value).otherwise(F.regexp_replace(value, F.concat(F.lit("(?iu)"), _literal(target)), F.lit(""))), F.lit(r"(?U)[£$€%]|\d"))
     wrong = F.lit(False)
     for task, patterns in N.CONTRADICTIONS.items():
@@ -42,7 +42,7 @@ def verdicts(responses: DataFrame) -> DataFrame:
     reason = (
         F.when(~F.coalesce(F.col("task").isin(*N.CONTRADICTIONS), F.lit(False)), "not-applicable")
         .when(headings, "missing required narrative sections")
-        .when(~F.contains(low, F.lower(target)), "selected entity was omitted")
+        .when(~F.contains(low, own), "selected entity was omitted")
         .when((F.col("task") == N.INVENTORY) & strange, "unverified SKU identifier")
         .when((F.col("task") != N.INVENTORY) & (F.size(others) > 0), F.concat(F.lit("unverified entity comparison: "), F.get(others, 0)))
         .when(numbers, "model repeated an unverified numeric value")

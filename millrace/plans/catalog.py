@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import narratives as N
 from millrace.functions import text as X
-from millrace.operators import commerce, dedup, encoding, guard, judging, profiling, scenario, selection, trajectory
+from millrace.operators import commerce, dedup, encoding, epochs, guard, judging, profiling, scenario, selection, trajectory
 from millrace.session import ship_package
 from millrace.sources import readers, sinks
 from millrace.sources.shared import shared_dir, written
@@ -317,12 +317,12 @@ _RAW = f"1.2 * ln(1 + assistant_turns) + 0.9 * ln(1 + {_BLOCKS}) + 0.8 * ln(1 +
 
 @query(f"WITH {TRAJ} SELECT id, round({_RAW}, 8) AS complexity_raw FROM traj")
 def complexity_raw(spark, d):
-    return trajectory.records(trajectories(spark, d), python_hash=False).select("id", F.round("complexity_raw", 8).alias("complexity_raw"))
+    return trajectory.records(trajectories(spark, d)).select("id", F.round("complexity_raw", 8).alias("complexity_raw"))
 
 
 @query(f"WITH {TRAJ}, c AS (SELECT idx, id, round({_RAW}, 9) AS raw FROM traj) SELECT id, round((row_number() OVER (ORDER BY raw, idx) - 1) / (SELECT count(*) - 1 FROM c)::DOUBLE, 8) AS complexity_score FROM c")
 def complexity_rank(spark, d):
-    scored = trajectory.records(trajectories(spark, d), python_hash=False).select("index", "id", F.round("complexity_raw", 9).alias("complexity_raw"))
+    scored = trajectory.records(trajectories(spark, d)).select("index", "id", F.round("complexity_raw", 9).alias("complexity_raw"))
     return trajectory.percentile_rank(scored, "complexity_raw", "complexity_score").select("id", F.round("complexity_score", 8).alias("complexity_score"))
 
 
@@ -356,6 +356,21 @@ def capped_topk(spark, d):
     return selection.capped_pool(scored, 2500, 6).select("id", "group", "final_reward")
 
 
+@query(
+    f"""WITH {TRAJ}, j AS (SELECT conv_id, string_agg('{{"content": ' || CAST(to_json(content) AS VARCHAR) || ', "role": "' || role || '"}}', ', ' ORDER BY turn) AS j FROM msg GROUP BY conv_id)
+ SELECT CAST(conv_id AS VARCHAR) AS id, sha256('[' || j || ']') AS message_hash FROM j"""
+)
+def message_hashes(spark, d):
+    return trajectories(spark, d).select("id", trajectory.message_hash(F.col("messages")).alias("message_hash"))
+
+
+@query()
+def epoch_order(spark, d):
+    """Where each document stands in the second epoch of a run on four ranks. Tests hold the order against its definition."""
+    docs = trajectory.global_rank(table(spark, d, "documents").select("doc_id"), F.asc("doc_id"))
+    return epochs.epoch(docs.select("doc_id", F.col("__rank").alias("number")), docs.count(), seed=42, epoch=1, world=4).select("doc_id", "position", "rank", "place")
+
+
 def _split(spark, d) -> DataFrame:
     plain = selection.Selection()
     pool = written(selection.capped_pool(_scored(spark, d).withColumn("final_reward", F.round("final_reward", 8)), plain.train_size + plain.val_size, plain.max_per_group), "pool")
@@ -505,7 +520,7 @@ _PROMPTS = f"t AS (SELECT idx AS id, CASE WHEN n <> '' THEN n ELSE prompt END AS
 
 @query(f"WITH RECURSIVE {TRAJ}, {_PROMPTS}, {_GRAMS}, {_SIMILAR} SELECT a AS index FROM reach GROUP BY a HAVING min(b) = a")
 def near_dedup(spark, d):
-    docs = trajectory.records(trajectories(spark, d), python_hash=False).select("index", "normalized_prompt", "task_prompt")
+    docs = trajectory.records(trajectories(spark, d)).select("index", "normalized_prompt", "task_prompt")
     return dedup.near_dedup(docs, "index", "normalized_prompt", "task_prompt").select("index")
 
 
