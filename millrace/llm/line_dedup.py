@@ -3,9 +3,11 @@
 State is a folder of Parquet tables that the cluster shares; each operation adds a numbered folder to it and ends with a marker, so
 a store can be opened again, and an operation that did not end counts for nothing. ``postings`` says which document holds which
 line keys, ``refs`` how many documents hold a key and the smallest of them, ``filters`` has a cuckoo filter for each shard of the keys.
+All three lie in folders by area, a group of shards, so an operation reads the folders of the areas that its keys fall into and no others.
 An insertion asks the filters first: keys that they have not seen are new, only the others are looked up in ``refs``; counts
-are appended, and new keys are added to the filters of their shards. A deletion counts its keys anew in the shards that it touches, and discards from their filters
-the keys that nobody holds any more, so that the lines of the rest come back. Hot keys are counted before they are shuffled; filters never leave their shard.
+are appended, and new keys are added to the filters of their shards. A deletion finds the lines of its documents by one scan of the postings, counts its keys anew in the shards that it touches, and discards from their filters
+the keys that nobody holds any more, so that the lines of the rest come back. After some operations all tables are written anew as one.
+Hot keys are counted before they are shuffled, and their postings are dealt over several files; filters never leave their shard.
 """
 
 from __future__ import annotations
@@ -176,11 +178,11 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
 
-#: Columns of the tables of an operation; ``seq`` is its number.
+#: Columns of the tables of an operation; ``seq`` is its number. Those with an area are in folders by it.
 _TABLES = {
-    "postings": "doc_id long, key binary, seq int",
-    "refs": "shard int, key binary, n_docs long, owner long, seq int",
-    "filters": "shard int, slots binary, n_keys long, seq int",
+    "postings": "doc_id long, key binary, seq int, area int",
+    "refs": "shard int, key binary, n_docs long, owner long, maybe boolean, seq int, area int",
+    "filters": "shard int, slots binary, n_keys long, seq int, area int",
     "deleted": "doc_id long, seq int",
     "resets": "shard int, seq int",
 }
@@ -218,89 +220,129 @@ class LineStore:
     """Reference counts and filters of the lines of all documents inserted so far, in the folder ``path``: what it holds is opened.
 
     There are at least as many shards as shuffle partitions; ``keys_per_shard`` bounds a shard's filter (about 2.4 bytes
-    a key), and so the memory of the task that holds it: keys are counted first, and shards double before they are full. Null document ids hold no keys. One writer at a time.
+    a key), and so the memory of the task that holds it: keys are counted first, and shards double before they are full.
+    ``areas``, a power of two, is the number of folders of a table (at most that of the first shards): many let a small operation read little, one
+    suits a store whose every operation touches all. After ``compact_after`` operations the tables are written anew as one. Null document ids hold no keys. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000, path: str | None = None) -> None:
-        self.spark, self.keys_per_shard = spark, keys_per_shard
+    def __init__(self, spark: SparkSession, keys_per_shard: int = 250_000, path: str | None = None, areas: int = 64, compact_after: int = 32) -> None:
+        if areas < 1 or areas & (areas - 1):
+            raise ValueError("the number of areas must be a power of two")
+        self.spark, self.keys_per_shard, self.compact_after = spark, keys_per_shard, compact_after
         self.path = path or f"{shared_dir(spark)}/millrace/lines-{uuid.uuid4().hex}"
         self.shards = 1
         while self.shards < int(spark.conf.get("spark.sql.shuffle.partitions")):
             self.shards *= 2
+        self.areas = min(areas, self.shards)
+        #: Number of different keys that the filters hold.
+        self.n_keys = 0
         #: Tables of each operation that has ended, and of the one that goes on.
         self.done: dict[int, list[str]] = {}
         for name in sorted(children(spark, self.path), key=int):
-            if "done" in children(spark, f"{self.path}/{name}"):
-                said = json.loads(read_text(spark, f"{self.path}/{name}/done"))
-                self.done[int(name)], self.shards = said["tables"], said["shards"]
-            else:
+            if "done" not in children(spark, f"{self.path}/{name}"):
                 remove(spark, f"{self.path}/{name}")
+                continue
+            said = json.loads(read_text(spark, f"{self.path}/{name}/done"))
+            if said["whole"]:
+                self._forget(list(self.done))
+            self.done[int(name)] = said["tables"]
+            self.areas, self.shards, self.n_keys = said["areas"], said["shards"], said["n_keys"]
+
+    def _forget(self, operations: list[int]) -> None:
+        for seq in operations:
+            self.done.pop(seq)
+            remove(self.spark, f"{self.path}/{seq}")
 
-    def _read(self, table: str) -> DataFrame | None:
+    def _read(self, table: str, areas: list[int] | None = None) -> DataFrame | None:
+        """A table of all operations, or its folders of ``areas``."""
+        parts = None
         paths = [f"{self.path}/{seq}/{table}" for seq, tables in self.done.items() if table in tables]
-        return self.spark.read.schema(_TABLES[table]).parquet(*paths) if paths else None
+        for path in paths:
+            # One operation after the other, since each folder is a table by areas of its own.
+            part = self.spark.read.schema(_TABLES[table]).parquet(path)
+            part = part if areas is None or "area" not in part.columns else part.where(F.col("area").isin(areas))
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
 
     def _write(self, seq: int, table: str, df: DataFrame) -> None:
-        df.withColumn("seq", F.lit(seq)).select(*(c.split()[0] for c in _TABLES[table].split(", "))).write.parquet(f"{self.path}/{seq}/{table}")
+        """Write a table of an operation, those with areas in even shares of an area: it makes few files, and a hot key's rows several."""
+        names = [c.split()[0] for c in _TABLES[table].split(", ")]
+        df = df.withColumn("seq", F.lit(seq))
+        if "area" in names:
+            # Both numbers are powers of two, so all keys of a shard are of one area.
+            df = df.withColumn("area", F.pmod("shard", F.lit(self.areas)).cast("int") if "shard" in df.columns else shard_of(self.areas))
+            df = df.hint("rebalance", "area") if self.areas > 1 else df
+        writer = df.select(names).write
+        (writer.partitionBy("area") if "area" in names else writer).parquet(f"{self.path}/{seq}/{table}")
         self.done.setdefault(seq, []).append(table)
 
     @contextmanager
-    def _operation(self) -> Iterator[int]:
-        """The number of a new operation, which is ended or else undone."""
-        seq = max(self.done, default=-1) + 1
+    def _operation(self, whole: bool = False) -> Iterator[int]:
+        """The number of a new operation, which is ended or else undone. ``whole``: it takes the place of all before it."""
+        before = list(self.done)
+        seq = max(before, default=-1) + 1
+        shards, n_keys = self.shards, self.n_keys
         try:
             yield seq
-            write_text(self.spark, f"{self.path}/{seq}/done", json.dumps({"tables": self.done[seq], "shards": self.shards}))
+            write_text(self.spark, f"{self.path}/{seq}/done", json.dumps({"tables": self.done[seq], "areas": self.areas, "shards": self.shards, "n_keys": self.n_keys, "whole": whole}))
         except BaseException:
             self.done.pop(seq, None)
+            self.shards, self.n_keys = shards, n_keys
             remove(self.spark, f"{self.path}/{seq}")
             raise
+        if whole:
+            self._forget(before)
 
-    def postings(self) -> DataFrame | None:
-        """(doc_id, key) of all documents that are in the store."""
-        found, deleted = self._read("postings"), self._read("deleted")
+    def postings(self, areas: list[int] | None = None) -> DataFrame | None:
+        """(doc_id, key) of all documents that are in the store, of keys in ``areas`` if these are given."""
+        found, deleted = self._read("postings", areas), self._read("deleted")
         if found is None or deleted is None:
-            return found and found.drop("seq")
+            return found and found.select("doc_id", "key")
         last = deleted.groupBy("doc_id").agg(F.max("seq").alias("gone"))
         return found.join(last, "doc_id", "left").where("gone is null or seq > gone").select("doc_id", "key")
 
-    def refs(self) -> DataFrame:
-        """(shard, key, n_docs, owner) of all keys that a document holds."""
-        found, resets = self._read("refs"), self._read("resets")
+    def refs(self, areas: list[int] | None = None) -> DataFrame:
+        """(shard, key, n_docs, owner) of all keys that a document holds, or of those in ``areas``."""
+        found, resets = self._read("refs", areas), self._read("resets")
         if resets is not None:
             last = resets.groupBy("shard").agg(F.max("seq").alias("reset"))
             found = found.join(last, "shard", "left").where("reset is null or seq >= reset")
         return found.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
 
-    def filters(self) -> DataFrame:
-        """(shard, slots, n_keys): the last filter of each shard."""
+    def filters(self, areas: list[int] | None = None) -> DataFrame | None:
+        """(shard, slots, n_keys): the last filter of each shard, or of those in ``areas``."""
+        found = self._read("filters", areas)
         last = F.max_by(F.struct("slots", "n_keys"), "seq").alias("f")
-        return self._read("filters").groupBy("shard").agg(last).select("shard", "f.slots", "f.n_keys")
+        return found and found.groupBy("shard").agg(last).select("shard", "f.slots", "f.n_keys")
+
+    def _touched(self, keys: DataFrame) -> tuple[list[int], int]:
+        """Areas of ``keys`` (key), whose number is a setting, and the number of rows."""
+        return tuple(keys.agg(F.array_sort(F.collect_set(shard_of(self.areas))), F.count("*")).first())
 
     def seen(self, keys: DataFrame) -> DataFrame:
-        """``keys`` (key, n_docs, owner: one row a key) with ``maybe``: false only if no document of the store holds the key. Filters of other shards are not read into tasks."""
+        """``keys`` (key, n_docs, owner: one row a key) with ``shard`` and ``maybe``: false only if no document of the store holds the key. Filters of other areas are not read."""
+        return self._probed(keys, self._touched(keys)[0])
 
+    def _probed(self, keys: DataFrame, areas: list[int]) -> DataFrame:
         def probe(new: pa.Table, stored: pa.Table) -> pa.Table:
             known = new.num_rows and stored.num_rows
             maybe = CuckooFilter(1, stored["slots"][0].as_py()).have(_keys(new)) if known else np.zeros(new.num_rows, bool)
             return new.append_column("maybe", pa.array(maybe, pa.bool_()))
 
         keys = keys.select("key", "n_docs", "owner", shard_of(self.shards).alias("shard"))
-        return keys.groupBy("shard").cogroup(self._touched(keys).groupBy("shard")).applyInArrow(probe, f"{_KEY}, n_docs long, owner long, shard int, maybe boolean")
+        return keys.groupBy("shard").cogroup(self._stored(areas).groupBy("shard")).applyInArrow(probe, f"{_KEY}, n_docs long, owner long, shard int, maybe boolean")
 
-    def _touched(self, keys: DataFrame) -> DataFrame:
-        """Filters of the shards of ``keys``."""
-        if self._read("filters") is None:
-            return self.spark.createDataFrame([], "shard int, slots binary, n_keys long")
-        return self.filters().join(keys.select(F.col("shard").alias("own")).distinct(), F.col("shard") == F.col("own"), "left_semi")
+    def _stored(self, areas: list[int]) -> DataFrame:
+        found = self.filters(areas)
+        return self.spark.createDataFrame([], "shard int, slots binary, n_keys long") if found is None else found
 
-    def _update(self, seq: int, changes: DataFrame) -> None:
+    def _update(self, seq: int, changes: DataFrame, areas: list[int]) -> None:
         """Bring the filters of the shards of ``changes`` (shard, key, adds) up to date; those without room are built anew from the exact keys."""
-        after = written(changes.groupBy("shard").cogroup(self._touched(changes).groupBy("shard")).applyInArrow(_changed(seq), _TABLES["filters"]), "line-filters")
+        after = written(changes.groupBy("shard").cogroup(self._stored(areas).groupBy("shard")).applyInArrow(_changed(seq), "shard int, slots binary, n_keys long, seq int"), "line-filters")
         full = after.where("slots is null").select("shard")
         new = after.where("slots is not null")
         if full.limit(1).count():
-            new = new.unionByName(self._built(self.refs().join(full, "shard", "left_semi")).withColumn("seq", F.lit(seq)))
+            new = new.unionByName(self._built(self.refs(areas).join(full, "shard", "left_semi")).withColumn("seq", F.lit(seq)))
         self._write(seq, "filters", new)
         discard(after)
 
@@ -312,79 +354,102 @@ class LineStore:
         schema = pa.schema([_FILTER.field(k) for k in range(3)])
         return refs.select("shard", "key").groupBy("shard").applyInArrow(build, "shard int, slots binary, n_keys long")
 
+    def _of(self, seq: int, table: str) -> DataFrame:
+        """A table that the operation that goes on has written."""
+        return self.spark.read.schema(_TABLES[table]).parquet(f"{self.path}/{seq}/{table}")
+
+    def _rebuild(self, seq: int, refs: DataFrame) -> None:
+        """Write ``refs`` (key, n_docs, owner: one row a key of the whole store) and all filters anew."""
+        self._write(seq, "refs", refs.withColumns({"shard": shard_of(self.shards), "maybe": F.lit(False)}))
+        whole = self._of(seq, "refs")
+        self.n_keys = whole.count()
+        # Shards without keys get empty filters, lest their old ones be asked.
+        every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"))
+        empty = [F.lit(CuckooFilter.of([]).slots.tobytes()).alias("slots"), F.lit(0).cast("long").alias("n_keys")]
+        none = every.join(whole.select("shard").distinct(), "shard", "left_anti").select("shard", *empty)
+        self._write(seq, "resets", every)
+        self._write(seq, "filters", self._built(whole).unionByName(none))
+
     def _grow(self, seq: int, counts: DataFrame, number: int) -> None:
         """Write ``counts`` and all counts before them by more shards, enough for three times ``number`` keys, and build all filters anew."""
+        stored = counts if self._read("refs") is None else self.refs().select(counts.columns).unionByName(counts)
         while 3 * number > self.shards * self.keys_per_shard:
             self.shards *= 2
-        every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"))
-        stored = counts if self._read("refs") is None else self.refs().select(counts.columns).unionByName(counts)
-        both = written(stored.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner")).withColumn("shard", shard_of(self.shards)), "line-refs")
-        # Shards without keys get empty filters, lest their old ones be asked.
-        empty = [F.lit(CuckooFilter.of([]).slots.tobytes()).alias("slots"), F.lit(0).cast("long").alias("n_keys")]
-        none = every.join(both.select("shard").distinct(), "shard", "left_anti").select("shard", *empty)
-        filters = self._built(both).unionByName(none)
-        self._write(seq, "refs", both)
-        self._write(seq, "resets", every)
-        self._write(seq, "filters", filters)
-        discard(both)
+        self._rebuild(seq, stored.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner")))
 
     def insert(self, held: DataFrame, fresh: bool = False) -> None:
         """Add the documents of ``held`` (doc_id, key). ``fresh``: none of them is in the store yet; else a document gets the union of its keys."""
-        before, shards = self.postings(), self.shards
-        if before is not None and not fresh:
-            held = held.join(before, ["doc_id", "key"], "left_anti")
-        try:
-            with self._operation() as seq:
-                self._write(seq, "postings", held)
-                new = self.spark.read.schema(_TABLES["postings"]).parquet(f"{self.path}/{seq}/postings")
-                counts = written(new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "line-counts")
-                self._count(seq, counts, before is None)
-        except BaseException:
-            self.shards = shards
-            raise
-        discard(counts)
+        first, asked = not self.done, None
+        if not first and not fresh:
+            asked = written(held, "line-held")
+            held = asked.join(self.postings(self._touched(asked)[0]), ["doc_id", "key"], "left_anti")
+        with self._operation() as seq:
+            self._write(seq, "postings", held)
+            counts = written(self._of(seq, "postings").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "line-counts")
+            self._count(seq, counts, first)
+        discard(counts, *([asked] if asked else []))
+        self._compact_if_many()
 
     def _count(self, seq: int, counts: DataFrame, first: bool) -> None:
         """Add ``counts`` (key, n_docs, owner: one row a key) to the counts and filters."""
+        areas, number = self._touched(counts)
         # The number of keys is known before any task holds those of a shard.
-        stored = 0 if first else self.filters().agg(F.sum("n_keys")).first()[0] or 0
-        number = stored + counts.count()
-        if number > self.shards * self.keys_per_shard:
-            self._grow(seq, counts, number)
+        if self.n_keys + number > self.shards * self.keys_per_shard:
+            self._grow(seq, counts, self.n_keys + number)
             return
         if first:
-            unknown = probed = counts.withColumn("shard", shard_of(self.shards))
+            self._write(seq, "refs", counts.withColumns({"shard": shard_of(self.shards), "maybe": F.lit(False)}))
+            unknown = self._of(seq, "refs")
         else:
-            probed = written(self.seen(counts), "line-probed")
+            before = self.refs(areas).select("key")
+            self._write(seq, "refs", self._probed(counts, areas))
+            probed = self._of(seq, "refs")
             # Keys that the filters have not seen need no look at the counts.
-            known = self.refs().select("key").join(probed.where("maybe").select("key"), "key", "left_semi")
-            unknown = probed.where("not maybe").unionByName(probed.where("maybe").join(known, "key", "left_anti"))
+            known = before.join(probed.where("maybe").select("key"), "key", "left_semi")
+            unknown = probed.where("not maybe").unionByName(probed.where("maybe").join(known, "key", "left_anti").select(probed.columns))
         changes = written(unknown.select("shard", "key", F.lit(True).alias("adds")), "line-changes")
-        self._write(seq, "refs", probed)
-        self._update(seq, changes)
-        discard(probed, changes)
+        self.n_keys += changes.count()
+        self._update(seq, changes, areas)
+        discard(changes)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents of ``doc_ids`` (doc_id); ids that the store does not have change nothing."""
-        before = self.postings()
-        if before is None:
+        postings = self.postings()
+        if postings is None:
             return
-        refs = self.refs()
         ids = doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-        gone = written(before.join(ids, "doc_id", "left_semi"), "line-gone")
+        gone = written(postings.join(ids, "doc_id", "left_semi"), "line-gone")
         touched = written(gone.select("key").distinct().withColumn("shard", shard_of(self.shards)), "line-touched")
+        areas, number = self._touched(touched)
+        if not number:
+            discard(gone, touched)
+            return
         shards = touched.select("shard").distinct()
         # The counts of touched shards are written anew, those of touched keys from the documents that stay.
-        rest = refs.join(shards, "shard", "left_semi").join(touched.select("key"), "key", "left_anti").select("shard", "key", "n_docs", "owner")
-        stay = before.join(touched, "key").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+        rest = self.refs(areas).join(shards, "shard", "left_semi").join(touched.select("key"), "key", "left_anti").select("shard", "key", "n_docs", "owner")
+        stay = self.postings(areas).join(touched, "key").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
         still = written(stay.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner")), "line-still")
-        after = written(rest.unionByName(still), "line-refs")
         with self._operation() as seq:
             self._write(seq, "deleted", gone.select("doc_id").distinct())
-            self._write(seq, "refs", after)
+            self._write(seq, "refs", rest.unionByName(still).withColumn("maybe", F.lit(True)))
             self._write(seq, "resets", shards)
-            self._update(seq, touched.join(still.select("key"), "key", "left_anti").select("shard", "key", F.lit(False).alias("adds")))
-        discard(gone, touched, still, after)
+            self._update(seq, touched.join(still.select("key"), "key", "left_anti").select("shard", "key", F.lit(False).alias("adds")), areas)
+            self.n_keys -= number - still.count()
+        discard(gone, touched, still)
+        self._compact_if_many()
+
+    def compact(self) -> None:
+        """Write what the store holds as one operation that takes the place of all before it; deleted documents leave the disk with them."""
+        if not self.done:
+            return
+        held, refs = self.postings(), self.refs().select("key", "n_docs", "owner")
+        with self._operation(whole=True) as seq:
+            self._write(seq, "postings", held)
+            self._rebuild(seq, refs)
+
+    def _compact_if_many(self) -> None:
+        if len(self.done) > self.compact_after:
+            self.compact()
 
     def shared(self, least_docs: int = 2) -> DataFrame:
         """Keys (key, owner) that at least ``least_docs`` documents hold."""
@@ -401,7 +466,7 @@ class LineStore:
     def remove(self) -> None:
         """Delete the folder."""
         remove(self.spark, self.path)
-        self.done = {}
+        self.done, self.n_keys = {}, 0
 
 
 def kept_lines(text: str, drop: list[bytes], least: int) -> tuple[str, int, int]:
@@ -423,7 +488,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     that share an id are one document. The documents are inserted into ``store`` (an empty one by default) in ``batches``
     by a hash of their ids, so that later ones ask the filters of those before them. ``keep_emptied``: whether rows that lose all their words stay, with what is left of their text.
     """
-    fresh, store = store is None, store or LineStore(docs.sparkSession)
+    fresh, store = store is None, store or LineStore(docs.sparkSession, areas=1)
     for k in range(batches):
         store.insert(holdings(docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)) == k), id_col, text_col, least), fresh)
     found = store.drops()

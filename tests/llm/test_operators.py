@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -196,6 +197,51 @@ def test_unfinished_operations_count_for_nothing(spark):
     assert [r.doc_id for r in again.drops().collect()] == [2]
 
 
+def test_operations_read_only_folders_of_their_lines(spark):
+    df = spark.createDataFrame([(i, "\n".join(f"line {i} number {k}" for k in range(40))) for i in range(10)], "doc_id long, text string")
+    store = line_dedup.LineStore(spark)
+    store.insert(held(df))
+    one = spark.createDataFrame([(100, "a line that is new\nline 3 number 5")], "doc_id long, text string")
+    own = {r.area for r in held(one).select(line_dedup.shard_of(store.areas).alias("area")).collect()}
+    folders = [f for table in ("postings", "refs", "filters") for f in Path(store.path.removeprefix("file://"), "0", table).glob("area=*")]
+    others = [f for f in folders if int(f.name.removeprefix("area=")) not in own]
+    assert store.areas == 4 and len(own) <= 2 and len(others) == 3 * (4 - len(own))
+    files = {f: f.read_bytes() for folder in others for f in folder.iterdir() if f.suffix == ".parquet"}
+    for f in files:
+        f.write_bytes(b"no table")  # whoever reads it fails
+        f.with_name(f".{f.name}.crc").unlink()
+    store.insert(held(one))
+    again = line_dedup.LineStore(spark, path=store.path)
+    again.insert(held(one))  # holds nothing new
+    for f, content in files.items():
+        f.write_bytes(content)
+    assert [r.asDict() for r in again.drops().selectExpr("doc_id", "size(keys) as n").collect()] == [{"doc_id": 100, "n": 1}]
+    assert store_state(again)[2] == 401 == again.n_keys
+
+
+def test_compacted_stores_hold_the_same(spark):
+    rng = random.Random(9)
+    pool = [f"line number {i} of all" for i in range(30)]
+    df = spark.createDataFrame([(i, "\n".join(rng.choices(pool, k=4))) for i in range(12)], "doc_id long, text string")
+    store = line_dedup.LineStore(spark, compact_after=3)
+    for k in range(3):
+        store.insert(held(df.where(F.col("doc_id") % 3 == k)))
+    store.delete(df.where("doc_id in (2, 5)").select("doc_id"))  # the fourth operation, after which tables are written anew
+    plain = line_dedup.LineStore(spark)
+    plain.insert(held(df.where("doc_id not in (2, 5)")))
+    assert list(store.done) == [4] and store_state(store) == store_state(plain) and store.n_keys == plain.n_keys
+    # A run that died between its marker and the removal of what it replaces.
+    plain.compact()
+    (Path(plain.path.removeprefix("file://")) / "0" / "refs").mkdir(parents=True)
+    (Path(plain.path.removeprefix("file://")) / "0" / "done").write_text('{"tables": ["refs"], "areas": 4, "shards": 4, "n_keys": 1, "whole": false}')
+    again = line_dedup.LineStore(spark, path=plain.path)
+    assert list(again.done) == [1] and store_state(again) == store_state(plain)
+    again.insert(held(df.where("doc_id in (2, 5)")))
+    everything = line_dedup.LineStore(spark)
+    everything.insert(held(df))
+    assert store_state(again) == store_state(everything)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, edges):
