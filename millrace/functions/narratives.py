@@ -35,7 +35,7 @@ SIMULATED = {
     CHINESE: "{trials} 次固定随机种子模拟 · P5 {p5} · 中位数 {p50} · P95 {p95} · 亏损概率 {loss}。这是规划模拟，不是预测保证。",
 }
 #: The rules by which decisions name their target, and what is said where nothing can be named.
-RULES = {MARKETING: "lowest contribution profit per advertising pound among paid channels", INVENTORY: "highest non-return unit demand among SKUs with sustained transaction frequency"}
+RULES = {PROFIT: "largest positive margin-based estimated profit leakage", MARKETING: "lowest contribution profit per advertising pound among paid channels", INVENTORY: "highest non-return unit demand among SKUs with sustained transaction frequency"}
 NO_TARGET = {
     PROFIT: "Profit Leak requires at least one category with positive revenue",
     MARKETING: "Marketing Efficiency requires at least one channel with positive ad spend",
@@ -43,6 +43,25 @@ NO_TARGET = {
 }
 #: Headings that a narrative must have.
 HEADINGS = {ENGLISH: ("### Interpretation", "### Recommended validation", "### Limitations"), CHINESE: ("### 解读", "### 建议验证", "### 局限性")}
+OPEN_HEADINGS = {ENGLISH: ("### Finding", "### Evidence", "### Recommended validation", "### Limitations"), CHINESE: ("### 发现", "### 证据", "### 建议验证", "### 局限性")}
+#: What a narrator is told where a decision is final, and where there is none.
+PROMPT = {
+    ENGLISH: "You put a finished analysis into words. Its figures and the entity it names are final: compute nothing, rank nothing, replace nothing.\n\nTask: {task}\nQuestion: {question}\nDecision: {decision}\nTotals: {evidence}\n\nRules:\n1. Write about {target} and about no other entity.\n2. Give no amount, share, count or other figure; readers see them beside your text.\n3. {rule}\n4. What goes together is not thereby a cause. Let people act: propose checks, no automatic financial step.\n5. Plain Markdown only, without HTML, XML, SVG, code, tables or tool calls.\n\nWrite under exactly these headings:\n{headings}",
+    CHINESE: "你负责用文字说明一项已经完成的分析。数字与所选对象均为最终结果：不要计算、排名或更换。\n\n任务：{task}\n问题：{question}\n决策：{decision}\n汇总：{evidence}\n\n规则：\n1. 只写 {target}，不写其他对象。\n2. 不要写出金额、比例、数量或任何其他数字，读者会在旁边看到。\n3. {rule}\n4. 同时出现并不等于因果；只建议由人核查，不提出自动的财务操作。\n5. 只用普通 Markdown，不含 HTML、XML、SVG、代码、表格或工具调用。\n\n必须使用以下标题：\n{headings}",
+}
+OPEN_PROMPT = {
+    ENGLISH: "You read an analysis for a small trading team and say what it shows.\n\nTask: {task}\nQuestion: {question}\nTotals: {evidence}\nFirst rows of the table:\n{table}\n\nRules:\n1. Keep observed transactions apart from simulated cost and advertising.\n2. Invent no data, and call nothing a cause that only goes together.\n3. People approve every change of budget, purchasing or price.\n4. Plain Markdown only, without HTML, XML, SVG or tool calls; code only if the question asks for it.\n\nWrite under exactly these headings:\n{headings}",
+    CHINESE: "你为一个小型贸易团队阅读分析结果，并说明其含义。\n\n任务：{task}\n问题：{question}\n汇总：{evidence}\n表格前几行：\n{table}\n\n规则：\n1. 区分观测到的交易与模拟的成本和广告。\n2. 不编造数据，不把相关说成因果。\n3. 预算、采购或价格的任何变化都须由人批准。\n4. 只用普通 Markdown，不含 HTML、XML、SVG 或工具调用；只有问题要求时才写代码。\n\n必须使用以下标题：\n{headings}",
+}
+#: What a narrator must say and may not say of a task.
+TASK_RULES = {
+    (ENGLISH, PROFIT): "Say that costs, advertising, fees and fulfilment are simulated. Propose to check real landed cost, the allocation of advertising, platform fees, fulfilment cost and returns.",
+    (CHINESE, PROFIT): "说明成本、广告、费用与履约均为模拟值；建议核查真实到岸成本、广告分摊、平台费、履约成本和退货。",
+    (ENGLISH, MARKETING): "Say that channels, advertising and contribution costs are simulated. Before budget moves, propose to check attributed revenue, real spend, channel fees, conversion tracking and the quality of cohorts.",
+    (CHINESE, MARKETING): "说明渠道、广告与贡献成本均为模拟值；在移动预算之前，建议核查归因收入、真实支出、渠道费用、转化追踪和客群质量。",
+    (ENGLISH, INVENTORY): "Speak of lasting concentration of demand only; stock on hand, stockouts, buffers and shares of returns are unknown. Propose to check stock on hand, open orders, lead time, reorder point, season and recent demand.",
+    (CHINESE, INVENTORY): "只谈持续的需求集中；现有库存、缺货、缓冲和退货比例均未知。建议核查现有库存、在途订单、交货期、补货点、季节和近期需求。",
+}
 #: Findings by language and task.
 FINDINGS = {
     (ENGLISH, PROFIT): "### Verified finding\n**{target}** has the largest estimated margin-based profit leakage. Its simulated contribution margin is **{margin}**, versus the portfolio margin of **{portfolio}**. The margin gap is **{gap} percentage points**, corresponding to approximately **{leakage}** of contribution profit below the portfolio-margin benchmark.\n\n*Revenue is observed from the transaction sample; cost, advertising, fee and fulfilment inputs are simulated.*",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import cache
 
 from pyspark.sql import Column
@@ -99,11 +101,9 @@ def percent(value: Column, digits: int) -> Column:
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:
-    """``template`` with each ``{name}`` replaced by the text of that name."""
-    text = F.lit(template)
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value)
-    return text
+    """``template`` with each ``{name}`` replaced by the text of that name; what looks like a name in such a text stays."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.lit(part) if k % 2 == 0 else values.get(part, F.lit("{" + part + "}")) for k, part in enumerate(parts)))
 
 
 def divided(a: Column, b: Column) -> Column:

@@ -92,11 +92,36 @@ def narrated(decision: DataFrame, task: str, narrator=None, language: str = N.EN
     return checked.withColumn("narrative", F.when(F.col("passed"), F.col("value")).otherwise(F.col("narrative"))).drop("value", "known", "language", "target", "passed")
 
 
-def prompt(task: str, language: str, question: str, evidence: str, selected: str | None, table: list[dict]) -> str:
-    """Instructions for a narrator: the task, the facts, what it may say, the headings it must use."""
-    head = [f"Task: {N.TASK_LABELS[language].get(task, task)}", f"Question: {question or N.default_question(language, task)}", f"Facts: {evidence}"]
-    if selected is not None:
-        head += [f"Selected entity, computed and final: {selected}", "Speak of this entity only. Repeat no number. Claim no cause. Recommend checks, not actions."]
-    else:
-        head += ["Table:", *(", ".join(f"{k}={v}" for k, v in row.items()) for row in table[:12])]
-    return "\n".join([*head, f"Answer in {language} under these headings:", *N.HEADINGS[language]])
+def _payload(task: str, decision: DataFrame) -> Column:
+    """The decision that a narrator must keep to, as JSON; keys and rules by task are those of the decision's columns."""
+    rule = F.col("selection_rule") if "selection_rule" in decision.columns else F.lit(N.RULES[N.PROFIT])
+    fields = {
+        N.PROFIT: lambda: (F.col("target_category").alias("selected_category"), rule.alias("selection_rule"), F.col("cost_basis")),
+        N.MARKETING: lambda: (F.col("target_entity").alias("selected_channel"), rule.alias("selection_rule"), F.col("cost_basis")),
+        N.INVENTORY: lambda: (F.col("target_entity").alias("selected_sku"), F.col("target_description").alias("description"), rule.alias("selection_rule"), F.col("inventory_status_available")),
+    }
+    return F.to_json(F.struct(*fields[task]()), {"ignoreNullFields": "false"})
+
+
+def _csv(table: DataFrame, rows: int) -> DataFrame:
+    """(table): a header and the first ``rows`` rows as CSV text, in the order of ``table``; the header alone over an empty one."""
+    head = table.limit(rows).select(F.monotonically_increasing_id().alias("at"), F.to_csv(F.struct(*table.columns)).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return head.agg(F.array_join(F.concat(F.array(F.lit(",".join(table.columns))), lines), "\n").alias("table"))
+
+
+def prompts(text: DataFrame, table: DataFrame, decision: DataFrame | None, task: str, question: str = "", language: str = N.ENGLISH, rows: int = 12) -> DataFrame:
+    """(prompt), one row: instructions for a narrator from the evidence of a task.
+
+    With ``decision`` (one row) it holds the payload that is final, the rules of the task and the headings that ``verdicts`` asks for;
+    without one, as for trends, the first ``rows`` rows of ``table``. An empty question becomes the task's own. Only sides of one row are joined.
+    """
+    task = N.canonical_task(task)
+    labels = {"task": F.lit(N.TASK_LABELS[language][task]), "question": F.lit(question.strip() or N.default_question(language, task)), "evidence": F.col("evidence")}
+    if decision is None:
+        values = labels | {"table": F.col("table"), "headings": F.lit("\n".join(N.OPEN_HEADINGS[language]))}
+        return text.crossJoin(_csv(table, rows)).select(filled(N.OPEN_PROMPT[language], values).alias("prompt"))
+    target = F.col("target_category" if task == N.PROFIT else "target_entity")
+    own = decision.limit(1).select(_payload(task, decision).alias("payload"), target.alias("target"))
+    values = labels | {"decision": F.col("payload"), "target": F.col("target"), "rule": F.lit(N.TASK_RULES[language, task]), "headings": F.lit("\n".join(N.HEADINGS[language]))}
+    return text.crossJoin(own).select(filled(N.PROMPT[language], values).alias("prompt"))

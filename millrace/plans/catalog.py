@@ -18,6 +18,7 @@ from millrace.sources import readers, sinks
 from millrace.sources.shared import shared_dir, written
 from millrace.streaming import trend
 
+from . import preparation
 from .adapters import PART_WORDS, TRAJ, TXN, _category_sql, _fraction, table, trajectories, transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +171,43 @@ def dataset_summary(spark, d):
     return commerce.dataset_summary(transactions(spark, d))
 
 
+#: Words that give the lines of a raw sheet their category, by the number of the part.
+_ADDED = ("christmas tree", "mug", "lantern", "notebook", "umbrella", "toy")
+
+
+def _prepared_sql() -> str:
+    added = "CASE l_partkey % 6 " + " ".join(f"WHEN {k} THEN ' {word}'" for k, word in enumerate(_ADDED)) + " END"
+    category = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(upper(description), '{w}')" for w in words) + f" THEN '{name}'" for name, words in commerce.CATEGORY_WORDS.items()) + f" ELSE '{commerce.DEFAULT_CATEGORY}' END"
+    costs = TXN[TXN.index("chan AS") :].replace("rev AS DECIMAL", "quantity * unit_price_gbp AS DECIMAL", 1)
+    return f"""WITH sheet AS (SELECT concat(CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END, l_orderkey) AS invoice_id, CAST(l_partkey AS VARCHAR) AS sku, trim(concat(p_name, {added})) AS description, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity,
+  l_shipdate AS invoice_timestamp, round(l_extendedprice / l_quantity, 2) AS unit_price_gbp, CAST(l_suppkey AS VARCHAR) AS customer_id, CASE WHEN l_linestatus = 'F' THEN 'Unknown' ELSE 'United Kingdom' END AS country FROM lineitem JOIN part ON l_partkey = p_partkey),
+placed AS (SELECT *, row_number() OVER (ORDER BY invoice_timestamp, invoice_id, sku, description, quantity, unit_price_gbp, customer_id, country) AS line_id FROM sheet WHERE unit_price_gbp > 0 AND quantity <> 0),
+raw AS (SELECT *, line_id AS line, invoice_id LIKE 'C%' OR quantity < 0 AS is_return, {category} AS category, {_fraction('channel', 'line_id')} AS f_channel FROM placed),
+{costs}
+SELECT category, channel, count(*) AS n_lines, sum(CAST(is_return AS INT)) AS n_returns, count(DISTINCT invoice_id) AS orders, CAST(sum(line_id) AS BIGINT) AS line_ids, round(CAST(sum(revenue_line) AS DOUBLE), 2) AS revenue, round(CAST(sum(ads) AS DOUBLE), 2) AS ad_spend, round(CAST(sum(profit) AS DOUBLE), 2) AS profit FROM txn GROUP BY ALL"""
+
+
+@query(_prepared_sql())
+def prepared_lines(spark, d):
+    """All lineitems as two exported sheets, read, prepared by the run and read back from its CSV mart."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    back, word = F.col("l_returnflag") == "R", F.element_at(F.array(*(F.lit(f" {w}") for w in _ADDED)), (F.col("l_partkey") % 6 + 1).cast("int"))
+    sheet = table(spark, d, "lineitem").join(parts, "l_partkey").select(
+        F.concat(F.when(back, "C").otherwise(""), F.col("l_orderkey")).alias("Invoice"), F.col("l_partkey").alias("StockCode"), F.concat("p_name", word).alias("Description"), F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("Quantity"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("Price"), F.col("l_suppkey").alias("Customer ID"), F.when(F.col("l_linestatus") != "F", "United Kingdom").alias("Country"),
+    )
+    out = f"{shared_dir(spark)}/millrace/prepared-{uuid.uuid4().hex}"
+    for name, status in (("one", F.col("Country").isNull()), ("two", F.col("Country").isNotNull())):
+        sinks.write_mart(sheet.where(status), f"{out}/{name}.csv")
+    preparation.run(spark, readers.sheets(spark, [f"{out}/one.csv", f"{out}/two.csv"]), out, rows=None)
+    lines = readers.transactions(spark, f"{out}/transactions.csv")
+    total = lambda c: F.round(F.sum(c).cast("double"), 2)
+    return lines.groupBy("category", "channel").agg(
+        F.count("*").alias("n_lines"), F.sum(F.col("is_return").cast("int")).alias("n_returns"), F.countDistinct("invoice_id").alias("orders"), F.sum(F.col("line_id").cast("long")).alias("line_ids"),
+        total(commerce.REVENUE).alias("revenue"), total(commerce.ADS).alias("ad_spend"), total(commerce.PROFIT).alias("profit"),
+    )
+
+
 _LINE = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), l_returnflag, strftime(l_shipdate, '%Y-%m-%d'), CAST(round(l_extendedprice * 100) AS BIGINT))"
 
 
@@ -527,22 +565,41 @@ def near_dedup(spark, d):
 # Guardrail and sinks.
 
 
-def _responses(spark: SparkSession) -> DataFrame:
-    from millrace.functions.narratives import HEADINGS, PROFIT
+#: Responses of a narrator made from documents by rule, and what is known of each: the same texts for Spark and DuckDB.
+_TARGET, _KNOWN = "Gifts", ("Accessories", "Gifts", "Kitchen", "Home Decor", "Seasonal", "Stationery")
+_SAID = """concat(CASE WHEN doc_id % 5 = 4 THEN '### Interpretation' ELSE '{headings}' END, chr(10), CASE WHEN doc_id % 7 = 6 THEN 'It' ELSE 'GIFTS' END, ' stands out. ', CASE WHEN doc_id % 2 = 0 THEN '' ELSE coalesce(text, '') END,
+ CASE doc_id % 11 WHEN 1 THEN ' A look at kitchen wares helps.' WHEN 2 THEN ' Contribution profit was far higher than all revenue.' WHEN 3 THEN ' It is highly cost-effective.' WHEN 4 THEN ' Revenue is a little less than the contribution profit.' WHEN 6 THEN ' It costs £9.' ELSE '' END)""".replace("{headings}", "\n".join(N.HEADINGS[N.ENGLISH]))
+_TASK = f"CASE doc_id % 3 WHEN 0 THEN '{N.PROFIT}' WHEN 1 THEN '{N.MARKETING}' ELSE CASE WHEN doc_id % 13 = 0 THEN '{N.TREND}' ELSE '{N.PROFIT}' END END"
+
 
-    good = "\n".join(f"{h}\nGifts needs a look." for h in HEADINGS["English"])
-    rows = [(good, PROFIT, "English", "Gifts", ["Gifts", "Kitchen"]), (good + " £9", PROFIT, "English", "Gifts", ["Gifts"]), (good + " Kitchen", PROFIT, "English", "Gifts", ["Gifts", "Kitchen"]), ("nothing", PROFIT, "English", "Gifts", ["Gifts"]), ("nothing", "Trend Diagnosis", "English", "", [])]
-    return spark.createDataFrame(rows, "value string, task string, language string, target string, known array<string>")
+def _verdict_sql() -> str:
+    headings = " AND ".join(f"contains(low, '{h.lower()}')" for h in N.HEADINGS[N.ENGLISH])
+    others = " ".join(f"WHEN regexp_matches(value, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){e}($|[^\\p{{L}}\\p{{N}}_])') THEN 'unverified entity comparison: {e}'" for e in _KNOWN if e != _TARGET)
+    wrong = " OR ".join(f"(task = '{t}' AND regexp_matches(low, '{p}'))" for t in (N.PROFIT, N.MARKETING) for p in N.CONTRADICTIONS[t])
+    return f"""WITH said AS (SELECT doc_id, {_SAID} AS value, {_TASK} AS task FROM documents), lowered AS (SELECT *, lower(value) AS low FROM said),
+judged AS (SELECT doc_id, CASE WHEN task = '{N.TREND}' THEN 'not-applicable' WHEN NOT ({headings}) THEN 'missing required narrative sections' WHEN NOT contains(low, '{_TARGET.lower()}') THEN 'selected entity was omitted' {others}
+ WHEN regexp_matches(regexp_replace(value, '(?i){_TARGET}', '', 'g'), '[£$€%]|\\p{{Nd}}') THEN 'model repeated an unverified numeric value' WHEN {wrong} THEN 'financial consistency rule failed' ELSE 'passed' END AS reason FROM lowered)
+SELECT doc_id, reason, reason IN ('passed', 'not-applicable') AS passed FROM judged"""
 
 
-@query("SELECT * FROM (VALUES (true, 'passed'), (false, 'model repeated an unverified numeric value'), (false, 'unverified entity comparison: Kitchen'), (false, 'missing required narrative sections'), (true, 'not-applicable')) t(passed, reason)")
+@query(_verdict_sql())
 def guardrail_verdicts(spark, d):
-    return guard.verdicts(_responses(spark)).select("passed", "reason")
+    said = table(spark, d, "documents").select("doc_id", F.expr(_SAID).alias("value"), F.expr(_TASK).alias("task"))
+    known = F.array(*(F.lit(e) for e in _KNOWN))
+    return guard.verdicts(said.withColumns({"language": F.lit(N.ENGLISH), "target": F.lit(_TARGET), "known": known})).select("doc_id", "reason", "passed")
+
+
+#: Responses with markup in them, made from documents by rule.
+_MARKED = """concat(CASE doc_id % 3 WHEN 0 THEN '<svg width="9">' WHEN 1 THEN '<CODE>' ELSE '' END, CASE WHEN doc_id % 17 = 0 THEN 'short' ELSE replace(coalesce(text, ''), ' the ', '&#x20;the ') END, CASE doc_id % 3 WHEN 0 THEN '</svg>' WHEN 1 THEN '</code >' ELSE '' END,
+ CASE doc_id % 5 WHEN 0 THEN concat(chr(10), '```xml', chr(10), '<a>', chr(10), '```', chr(10), 'end') WHEN 1 THEN concat(chr(10), '```python', chr(10), 'x') WHEN 2 THEN concat(chr(10), ' SVG ', chr(10), 'end') WHEN 3 THEN concat(chr(10), '```svg', chr(10), 'open') ELSE concat(chr(10), chr(10), ' ', chr(10), chr(10), 'end') END)"""
+_CLEANING = r"""WITH a AS (SELECT doc_id, replace({said}, '&#x20;', ' ') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '(?is)```(?:xml|svg)\s*.*?(?:```|\z)', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(?is)</?(?:code|svg|xml)(?:\s+[^>]*)?>', '', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '(?im)^\s*(?:svg|xml)\s*$', '', 'g') AS t FROM c), e AS (SELECT doc_id, trim(regexp_replace(t, '(?:\n\s*){{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM d),
+f AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '```')) % 2 = 1 THEN t || chr(10) || '```' ELSE t END AS t FROM e) SELECT doc_id, CASE WHEN length(t) < 20 THEN '{unusable}' ELSE t END AS text FROM f"""
 
 
-@query("SELECT 'A good and long enough text' AS text")
+@query(_CLEANING.format(said=_MARKED, unusable=N.UNUSABLE))
 def clean_response(spark, d):
-    return spark.createDataFrame([("<svg>A good and&#x20;long enough text</svg>\n\n\n\n",)], "value string").select(guard.cleaned_response(F.col("value")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", guard.cleaned_response(F.expr(_MARKED)).alias("text"))
 
 
 _FOUND = {

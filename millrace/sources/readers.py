@@ -90,7 +90,7 @@ def training_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 def transactions(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """Transaction lines with typed time and returns. CSV columns are strings, but numbers where the analyses add them; Parquet keeps its types."""
-    df = spark.read.csv(path, header=True) if format == "csv" else spark.read.format(format).load(path)
+    df = spark.read.csv(path, header=True, escape='"') if format == "csv" else spark.read.format(format).load(path)
     numbers = [c for c in df.columns if c.startswith("sim_") or c in ("quantity", "unit_price_gbp", "observed_net_revenue_gbp")]
     df = df.withColumns({c: F.col(c).try_cast("decimal(20,4)" if c.endswith("_gbp") and c != "unit_price_gbp" else "double") for c in numbers})
     return df.withColumns({"invoice_timestamp": F.try_to_timestamp(F.col("invoice_timestamp").cast("string")), "is_return": F.lower(strip(F.col("is_return").cast("string"))).isin("true", "1", "yes")})
@@ -106,7 +106,7 @@ def sheets(spark: SparkSession, paths: list[str], format: str = "csv") -> DataFr
     """Exported sheets one below the other."""
     out = None
     for path in paths:
-        df = spark.read.csv(path, header=True) if format == "csv" else spark.read.format(format).load(path)
+        df = spark.read.csv(path, header=True, escape='"') if format == "csv" else spark.read.format(format).load(path)
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -18,7 +18,7 @@ def training_rows(df: DataFrame) -> DataFrame:
     return df.select("messages")
 
 
-#: Scores and counts of a row that its metadata tell.
+#: Scores and counts of a row that its metadata tell.
 _METRICS = ("final_reward", "deterministic_reward", "complexity_score", "complexity_raw", "syntax_score", "execution_consistency_score", "completeness_score", "prompt_quality_score", "final_answer_quality_score", "assistant_turns", "code_blocks", "successful_interpreter_turns", "error_interpreter_turns", "interpreter_turns", "characters")
 
 
@@ -51,7 +51,7 @@ def audit_rows(df: DataFrame, *more: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
-    """One CSV part file in UTF-8 with a byte order mark and one header, for audits and marts, whose size is a setting. Rows go by the columns ``order``, of which only those of the audit are written."""
+    """One CSV part file in UTF-8 with a byte order mark and one header, for audits, whose size is a setting. Rows go by the columns ``order``, of which only those of the audit are written."""
     names = [c for c in df.columns if c in AUDIT or c not in order]
     head = "\ufeff" + ",".join(names)
     rows = df.select(F.struct(F.lit(1).alias("n"), *(F.col(c) for c in order)).alias("place"), F.to_csv(F.struct(*(F.col(c).cast("string") for c in names))).alias("value"))
@@ -60,6 +60,12 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     placed.repartition(1).sortWithinPartitions("line", "place").select("value").write.mode("overwrite").text(path)
 
 
+def write_mart(df: DataFrame, path: str) -> None:
+    """CSV part files, each whole by itself in UTF-8 with a byte order mark and a header, so that marts of any size are written by all tasks. Quotes in texts are doubled; nulls are empty."""
+    first, *rest = df.columns
+    df.toDF("\ufeff" + first, *rest).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss")
+
+
 def manifest(split: DataFrame, counts: dict, settings: dict, source: dict, outputs: dict[str, str]) -> str:
     """A run's source, counts, settings, overlaps, distributions, outputs and time as JSON. Only rows of small aggregates reach the driver."""
     from millrace.operators.selection import distribution, split_checks, split_stats
