@@ -11,7 +11,7 @@ from millrace.operators import trajectory
 from millrace.operators.commerce import missing_columns
 
 from . import json_list
-from .shared import owning
+from .shared import owning, path_and_filesystem
 
 #: Encodings of an upload, in the order in which they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
@@ -115,7 +115,10 @@ def upload(spark: SparkSession, path: str, rows: int = 10_000, probe: int = 1 <<
     """The first ``rows`` rows of a CSV file and its encoding, the first of ``ENCODINGS`` that decodes its first ``probe`` bytes."""
     if not path.lower().endswith(".csv"):
         raise ValueError("a .csv file is expected")
-    head = bytes(_bytes(spark, path).select(F.substring("content", 1, probe)).first()[0])
+    target, files = path_and_filesystem(spark, path)
+    source = files.open(target)
+    head = bytes(source.readNBytes(probe))
+    source.close()
     for encoding in ENCODINGS:
         try:
             head[: len(head) if len(head) < probe else -4].decode(encoding)

@@ -60,6 +60,13 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     placed.repartition(1).sortWithinPartitions("line", "place").select("value").write.mode("overwrite").text(path)
 
 
+def grid_summary(runs: DataFrame, source: dict) -> str:
+    """The runs of a grid of settings and the one of least ``val_loss`` (ties: the first by the other columns) as JSON. Runs without a checkpoint have a null loss and are never chosen; a grid holds a few."""
+    rows = [r.asDict(recursive=True) for r in runs.orderBy(F.col("val_loss").asc_nulls_last(), *(c for c in runs.columns if c != "val_loss")).collect()]
+    chosen = next((r for r in rows if r["val_loss"] is not None and r["val_loss"] == r["val_loss"]), None)
+    return json.dumps({"created_at_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **source, "runs": rows, "selected_by_validation_loss": chosen}, ensure_ascii=False, indent=2)
+
+
 def write_mart(df: DataFrame, path: str) -> None:
     """CSV part files, each whole by itself in UTF-8 with a byte order mark and a header, so that marts of any size are written by all tasks. Quotes in texts are doubled; nulls are empty."""
     first, *rest = df.columns
