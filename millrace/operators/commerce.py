@@ -49,7 +49,7 @@ def category_of(description: Column, words: dict[str, tuple[str, ...]] | None =
     return out.otherwise(default)
 
 
-def cleaned(raw: DataFrame) -> DataFrame:
+def typed(raw: DataFrame) -> DataFrame:
     """Raw sheet rows with typed columns: rows without a time, price or quantity, with a price of 0 or less or a quantity of 0 go."""
     df = raw.withColumnsRenamed(RAW_NAMES)
     df = df.withColumns(
@@ -63,7 +63,11 @@ def cleaned(raw: DataFrame) -> DataFrame:
             "quantity": F.col("quantity").try_cast("double"),
         }
     )
-    df = df.na.drop(subset=["invoice_timestamp", "unit_price_gbp", "quantity"]).where("unit_price_gbp > 0 and quantity <> 0 and not isnan(unit_price_gbp) and not isnan(quantity)")
+    return df.na.drop(subset=["invoice_timestamp", "unit_price_gbp", "quantity"]).where("unit_price_gbp > 0 and quantity <> 0 and not isnan(unit_price_gbp) and not isnan(quantity)")
+
+
+def derived(df: DataFrame) -> DataFrame:
+    """Adds to typed rows what follows from each: return, category, day, revenue."""
     return df.withColumns(
         {
             "is_return": F.startswith(F.upper("invoice_id"), F.lit("C")) | (F.col("quantity") < 0),
@@ -74,6 +78,11 @@ def cleaned(raw: DataFrame) -> DataFrame:
     )
 
 
+def cleaned(raw: DataFrame) -> DataFrame:
+    """Transaction lines of raw sheet rows, those without use aside (``typed``), with ``derived`` columns."""
+    return derived(typed(raw))
+
+
 def exact_sample(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows, chosen by a hash of ``key`` and ``seed``; ``key`` must tell rows apart for the choice to be one of rows."""
     return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"), 256)).limit(n)

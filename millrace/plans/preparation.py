@@ -36,24 +36,25 @@ def lines(raw: DataFrame, rows: int | None = 65_000, seed: int = 42) -> DataFram
 
     Lines of one time are numbered by their other columns, so results do not hang on the order of the sheets.
     """
-    found = commerce.cleaned(raw)
+    found = commerce.typed(raw)
     if rows is not None:
         found = commerce.exact_sample(found, F.to_json(F.struct("invoice_timestamp", *_TIES)), rows, seed)
-    found = commerce.numbered(found, *_TIES)
+    # What follows from a line alone is derived after rows are shuffled for their numbers.
+    found = commerce.derived(commerce.numbered(found, *_TIES))
     return commerce.simulated_costs(found.withColumn("channel", commerce.channel_of(F.col("line_id"))), F.col("line_id"))
 
 
-def run(spark: SparkSession, raw: DataFrame, out: str, rows: int | None = 65_000, seed: int = 42, source: str = "") -> Prepared:
+def run(spark: SparkSession, raw: DataFrame, out: str, rows: int | None = 65_000, seed: int = 42, source: str = "", compression: str = "none") -> Prepared:
     """Prepare ``raw`` into the folder ``out``: ``transactions.parquet`` with typed lines, which all else is made from, and as CSV ``transactions.csv``, ``inventory.csv``, ``ads.csv``, and ``dataset_summary.json``.
 
-    Lines are written once; the marts read them. Only the one row of the summary reaches the driver. A table without valid lines gives empty marts and a summary of zeros and nulls.
+    Lines are written once; the marts read them, and are packed by ``compression`` ("gzip") if it is given. Only the one row of the summary reaches the driver. A table without valid lines gives empty marts and a summary of zeros and nulls.
     """
     ship_package(spark)
-    lines(raw, rows, seed).write.mode("overwrite").parquet(f"{out}/transactions.parquet")
+    lines(raw, rows, seed).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/transactions.parquet")
     kept = spark.read.parquet(f"{out}/transactions.parquet")
     inventory, ads = commerce.inventory_mart(kept), commerce.ads_mart(kept)
     for name, mart in (("transactions", kept), ("inventory", inventory), ("ads", ads)):
-        sinks.write_mart(mart, f"{out}/{name}.csv")
+        sinks.write_mart(mart, f"{out}/{name}.csv", compression)
     facts = commerce.dataset_summary(kept).first().asDict()
     summary = {"seed": seed, "source": source, "rows": facts.pop("n_rows"), **facts, "observed_fields": list(OBSERVED_FIELDS), "simulated_fields": list(SIMULATED_FIELDS)}
     write_text(spark, f"{out}/dataset_summary.json", json.dumps(summary, indent=2, ensure_ascii=False))
@@ -67,11 +68,12 @@ def main() -> None:
     parser.add_argument("--sheet", action="append", default=[], help="a sheet of the workbook; may be given several times")
     parser.add_argument("--rows", type=int, default=65_000, help="size of the sample; 0 keeps all lines")
     parser.add_argument("--seed", type=int, default=42)
+    parser.add_argument("--gzip", action="store_true", help="pack the parts of the CSV marts")
     given = parser.parse_args()
     spark = build("preparation")
     ship_package(spark)
     raw = workbooks.workbook(spark, given.input[0], given.sheet).drop("sheet") if given.sheet else readers.sheets(spark, given.input)
-    print(json.dumps(run(spark, raw, given.output, given.rows or None, given.seed, ", ".join(given.input)).summary, indent=2, ensure_ascii=False))
+    print(json.dumps(run(spark, raw, given.output, given.rows or None, given.seed, ", ".join(given.input), "gzip" if given.gzip else "none").summary, indent=2, ensure_ascii=False))
 
 
 if __name__ == "__main__":

@@ -67,10 +67,10 @@ def grid_summary(runs: DataFrame, source: dict) -> str:
     return json.dumps({"created_at_utc": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **source, "runs": rows, "selected_by_validation_loss": chosen}, ensure_ascii=False, indent=2)
 
 
-def write_mart(df: DataFrame, path: str) -> None:
-    """CSV part files, each whole by itself in UTF-8 with a byte order mark and a header, so that marts of any size are written by all tasks. Quotes in texts are doubled; nulls are empty."""
+def write_mart(df: DataFrame, path: str, compression: str = "none") -> None:
+    """CSV part files, each whole by itself in UTF-8 with a byte order mark and a header, so that marts of any size are written by all tasks. Quotes in texts are doubled; nulls are empty. With ``compression`` ("gzip") each part is packed."""
     first, *rest = df.columns
-    df.toDF("\ufeff" + first, *rest).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss")
+    df.toDF("\ufeff" + first, *rest).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss", compression=compression)
 
 
 def manifest(split: DataFrame, counts: dict, settings: dict, source: dict, outputs: dict[str, str]) -> str:
