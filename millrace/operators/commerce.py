@@ -33,6 +33,9 @@ SIMULATED = frozenset({"channel", "sim_unit_cost_gbp", "sim_allocated_ad_spend_g
 _MONEY = "decimal(20,4)"
 REVENUE, PROFIT, ADS = "observed_net_revenue_gbp", "sim_contribution_profit_gbp", "sim_allocated_ad_spend_gbp"
 
+#: Columns that decisions and their evidence read.
+DECIDED = ("invoice_id", "sku", "description", "quantity", "is_return", "category", "channel", "invoice_timestamp", REVENUE, PROFIT, ADS, "sim_cogs_gbp", "sim_platform_fee_gbp", "sim_fulfilment_cost_gbp")
+
 
 def missing_columns(columns: list[str]) -> list[str]:
     """Required columns that ``columns`` lacks. ``category`` and ``is_return`` count as required too, since the analyses read them."""
